@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import byte_bpe, langid, mpegts, orc_tokens
+from pathloom.llm import byte_bpe, extendible, langid, licenses, main_text, mixture, mpegts, ngram_join, orc_tokens, syncmers
 from pathloom.llm.shared import table
 
+#: The byte limit of a shard in the query; the operator takes it as a parameter.
+SHARD_BYTES = 1 << 20
+
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -20,6 +23,22 @@ def op1_mpegts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpegts.features(mpegts.store(_texts(spark, sf_dir)))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of every document, and the number of documents that it is linked to."""
+    return ngram_join.groups(_texts(spark, sf_dir))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence of every document. Its path is its source, its language and its id."""
+    documents = table(spark, sf_dir, "documents")
+    return licenses.scan(documents.select("doc_id", "text", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path")))
+
+
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix takes."""
+    return mixture.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
 def op5_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's ids in ORC files, catalogued from the files."""
     return orc_tokens.encode_table(_texts(spark, sf_dir))
@@ -33,16 +52,53 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~langid.is_training_row()).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited form."""
+    return syncmers.fingerprints(_texts(spark, sf_dir))
+
+
+def op8_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document."""
+    return extendible.assign(_texts(spark, sf_dir), SHARD_BYTES)
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded and decoded again."""
     return byte_bpe.digests(_texts(spark, sf_dir))
 
 
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return main_text.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mpegts": op1_mpegts,
+    "op2_ngram_join": op2_ngram_join,
+    "op3_license_scan": op3_license_scan,
+    "op4_mix_sources": op4_mix_sources,
     "op5_orc_tokens": op5_orc_tokens,
     "op6_language_id": op6_language_id,
+    "op7_syncmers": op7_syncmers,
+    "op8_extendible_shards": op8_extendible_shards,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_main_text": op10_main_text,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_extendible_shards": f"""
+WITH d AS (
+  SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS bytes, ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT AS h FROM documents
+), over AS (
+  SELECT lv, h >> (60 - lv) AS prefix FROM d, (SELECT unnest(range(0, 60)) AS lv)
+  GROUP BY ALL HAVING sum(bytes) > {SHARD_BYTES} AND min(h) <> max(h)
+), depths AS (
+  SELECT d.doc_id, d.h, any_value(d.bytes) AS bytes, count(o.lv)::INTEGER AS depth FROM d LEFT JOIN over o ON d.h >> (60 - o.lv) = o.prefix GROUP BY d.doc_id, d.h
+), named AS (
+  SELECT doc_id, bytes, depth, CASE WHEN depth = 0 THEN '' ELSE right(lpad(bin(h), 60, '0'), 60)[1:depth] END AS shard FROM depths
+)
+SELECT doc_id, bytes, shard, depth, (sum(bytes) OVER (PARTITION BY shard))::BIGINT AS shard_bytes, count(*) OVER (PARTITION BY shard) AS shard_rows,
+  sum(bytes) OVER (PARTITION BY shard) <= {SHARD_BYTES} AS fits
+FROM named
+""",
+}

@@ -1,0 +1,47 @@
+import pytest
+
+from pathloom.llm import main_text
+
+WEIGHTS = main_text.learn()
+
+
+def test_labelled_pages():
+    pages = list(main_text.labelled_pages())
+    assert sum(main_text.extract(h, WEIGHTS) == t for h, t in pages) >= 0.99 * len(pages)
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("", ""),
+        ("plain words without any tag", "plain words without any tag"),
+        ("<html><body></body></html>", ""),
+        ("<nav><a href='/'>Home</a></nav>", ""),
+        ("<article><h1>Title &amp; more</h1><p>One\n two&nbsp;three<br>four</p><script>var x='</p>';</script><p>Five <b>six<p>Seven</article>", "Title & more\n\nOne two three four\n\nFive six\n\nSeven"),
+        ("<body><div class='sidebar'><p>Buy now</p></div><p>Some sentence of the article that is long enough to count.</p><!-- <p>hidden</p> --><div id=comments><p>First!</p></div>", "Some sentence of the article that is long enough to count."),
+        ("<p>Words before <a title='a > b' href=x>a link</a> and after it in the text of the page.</p><script>never closed", "Words before a link and after it in the text of the page."),
+        ("</div></p>Stray ends do no harm to the words that follow them here.", "Stray ends do no harm to the words that follow them here."),
+    ],
+)
+def test_pages(page, text):
+    assert main_text.extract(page, WEIGHTS) == text
+
+
+def test_region_is_the_best_of_all():
+    import itertools
+    import random
+
+    rng = random.Random(1)
+    for _ in range(200):
+        scores = [(-rng.randint(0, 4) / 2, rng.randint(-5, 5)) for _ in range(8)]
+        value = lambda a, b, scores=scores: sum(w for _, w in scores[a:b]) + sum(t for t, _ in scores[a + 1 : b])
+        best = max([0, *(value(a, b) for a, b in itertools.combinations(range(9), 2))])
+        first, last = main_text.region(scores)
+        assert (value(first, last) if last else 0) >= best - max(abs(t) for t, _ in scores)
+
+
+def test_columns(spark):
+    rows = spark.createDataFrame([(1, "u", "<p>Some words of an article, enough of them to be text.</p>"), (2, None, None), (None, "u", "")], "page_id bigint, url string, html string")
+    got = {r.page_id: (r.url, r.text, r.n_chars) for r in main_text.main_text(rows).collect()}
+    assert got == {1: ("u", "Some words of an article, enough of them to be text.", 52), 2: (None, "", 0), None: ("u", "", 0)}
+    assert main_text.main_text(rows.where("false")).count() == 0
