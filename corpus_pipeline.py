@@ -8,8 +8,9 @@ to target weights (a document stays as often as the mix takes it), byte-level BP
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pathloom.llm import byte_bpe, langid
+from pathloom.llm import byte_bpe, langid, mixture, ngram_join
 from pathloom.llm.shared import table, written
 
 
@@ -19,12 +20,25 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).where("not rejected").select(docs.columns)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near copies."""
+    return ngram_join.one_of_each(docs).select(docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps each document as often as the mix takes it: words taken by words, rounded (a half goes up)."""
+    taken = mixture.mix(docs.select("doc_id", "text", "source")).where("size > 0")
+    taken = taken.select(F.col("doc_id").alias("taken_id"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("times")).where("times > 0")
+    met = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("taken_id")))
+    return met.withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("times")))).select(docs.columns)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document that the mix takes, as digests, with the text decoded from them checked by its hash."""
     return byte_bpe.digests(docs.select("doc_id", "text", "lang", "source"))
 
 
-STAGES = [("language", language), ("encode", encode)]
+STAGES = [("language", language), ("near_copies", near_copies), ("mix", mix), ("encode", encode)]
 
 ORACLE_SQL = None
 
