@@ -27,30 +27,37 @@ from pathloom.llm.shared import new_path, steps, written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
-STRIPE_BYTES = 32 << 20
+STRIPE_BYTES = 16 << 20
 ROW_INDEX_STRIDE = 1000
+#: Bytes of text that are encoded at a time.
+STEP_BYTES = 6 << 20
 BLOOM_FPP = 0.01
 #: Words whose ids a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 1_000_000
+REMEMBERED = 700_000
 #: Characters whose class (letter, digit, space, other) any two Unicode tables agree on. A text of these only
 #: is split here as the vocabulary's own pre-splitter does; any other goes to the library whole.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 PLAIN = re.compile(r"[\t\n\r -~¡-±´-¸º»¿-ɏ]*")
 WORDS = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+")
-LINE = "\n"
-
 _tokenizers: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """The tokenizers library with a bounded memory of words already encoded."""
+    """The tokenizers library's model with a bounded memory of words already encoded."""
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, list[int]] = {}
+        self.model = self.tokenizer.model
+        self.model._resize_cache(0)  # words come here once
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
+        hidden = [b for b in range(256) if b not in shown]
+        self.byte_names = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)}
+        self._forget()
 
-        self.line = self.tokenizer.encode(LINE, add_special_tokens=False).ids[0]
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}  # a word's number
+        self.ids, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)  # of the words, in their order
 
     def encode(self, text: str) -> list[int]:
         return self.encode_many([text])[0].tolist()
@@ -68,12 +75,9 @@ class Encoder:
             else:
                 whole[k] = self.tokenizer.encode(t, add_special_tokens=False).ids
         coded = pa.array(words, pa.string()).dictionary_encode()
-        unique, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        self._learn(unique)
-        lists = [self.known[w] for w in unique]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum()))
-        firsts, counts = (np.cumsum(sizes) - sizes)[index], sizes[index]
+        number = self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        flat, sizes = self.ids, self.sizes
+        firsts, counts = (np.cumsum(sizes) - sizes)[number], sizes[number]
         ends = np.cumsum(counts)
         ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(firsts - (ends - counts), counts)]
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(owner_words)])]
@@ -83,23 +87,21 @@ class Encoder:
             return np.concatenate(parts), np.array([len(x) for x in parts])
         return ids, lengths
 
-    def _learn(self, unique: list[str]) -> None:
-        """Encodes the words not yet known, many in one text: a line feed between two words, none of which
-        has one, is always a match of its own."""
-        known = self.known
-        new = [w for w in unique if w not in known]
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = unique
-        spaces = [w for w in new if w.isspace()]
-        new = [w for w in new if not w.isspace()]
-        for w in spaces:
-            known[w] = self.tokenizer.encode(w, add_special_tokens=False).ids
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            ids = self.tokenizer.encode_batch_fast([LINE.join(some)], add_special_tokens=False)[0].ids
-            cuts = [-1, *np.flatnonzero(np.array(ids) == self.line).tolist(), len(ids)]
-            known.update(zip(some, (ids[a + 1 : b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
+    def _numbers(self, unique: list[str]) -> np.ndarray:
+        """The numbers of the words; those not yet known are encoded."""
+        if len(self.known) + len(unique) > REMEMBERED and self.known:
+            self._forget()
+        found, n = list(map(self.known.get, unique)), len(self.known)
+        places = [k for k, x in enumerate(found) if x is None]
+        new = [unique[k] for k in places]
+        tokenize, names = self.model.tokenize, self.byte_names
+        ids = [[x.id for x in tokenize(w.encode().decode("latin-1").translate(names))] for w in new]
+        self.known.update(zip(new, range(n, n + len(new)), strict=True))
+        self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, ids), np.int64, len(ids))])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), np.int32)])
+        for k, number in zip(places, range(n, n + len(new)), strict=True):
+            found[k] = number
+        return np.array(found, np.int64)
 
 
 def encoder(path: str = VOCABULARY) -> Encoder:
@@ -114,7 +116,7 @@ def write(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", voc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, enc = 0, encoder(vocabulary)
-        for piece, texts in steps(batches, text):
+        for piece, texts in steps(batches, text, STEP_BYTES):
             ids, lengths = enc.encode_many(texts)
             ends = np.cumsum(lengths + 1)
             flat = pa.array(np.insert(ids, np.cumsum(lengths), end_id).astype(np.int32))

@@ -55,15 +55,15 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def steps(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Batches cut into pieces of about STEP_BYTES of text, and their texts (null: empty)."""
+def steps(batches: Iterator[pa.RecordBatch], text: str, most: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Batches cut into pieces of about ``most`` bytes of text, and their texts (null: empty)."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         n, at = batch.num_rows, 0
         sizes = [0 if x is None else x for x in pc.binary_length(column).to_pylist()]
         while at < n:
             end, held = at + 1, sizes[at]
-            while end < n and held + sizes[end] <= STEP_BYTES:
+            while end < n and held + sizes[end] <= most:
                 held += sizes[end]
                 end += 1
             piece = batch.slice(at, end - at)
