@@ -12,6 +12,7 @@ whole; ties go to the first language by name; with no labelled row every text is
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -195,12 +196,14 @@ def train(rows: list[tuple[str, str]]) -> Model:
 
 
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Trains on a bounded sample of labelled rows: the ``sample_rows`` of least hashes of their keys."""
-    rows = (
-        df.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-        .select(F.md5(F.col(key).cast("string")).alias("h"), F.col(text).alias("t"), F.col(lang).alias("l"))
-        .orderBy("h", "t", "l").limit(sample_rows).collect()
-    )
+    """Trains on a bounded sample of labelled rows: the ``sample_rows`` of least hashes of their keys, of each a
+    stretch of SAMPLE_CHARS characters. Tasks send only rows whose hash is likely among these."""
+    h = F.xxhash64(F.col(key), F.lit(SEED))
+    labelled = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).withColumn("h", h)
+    share = min(1.0, 2 * sample_rows / max(1, labelled.count()))
+    place = F.pmod(F.col("h"), F.greatest(F.length(text) - SAMPLE_CHARS, F.lit(1))).cast("int") + 1
+    likely = labelled.where(F.pmod(F.shiftright("h", 8), F.lit(1 << 20)) < math.ceil(share * (1 << 20))) if share < 1 else labelled
+    rows = likely.select("h", F.substring(F.col(text), place, F.lit(SAMPLE_CHARS)).alias("t"), F.col(lang).alias("l")).orderBy("h", "t", "l").limit(sample_rows).collect()
     return train([(r.t, r.l) for r in rows])
 
 
