@@ -59,7 +59,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def with_next(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, text, anchors, next_text, next_anchors``: each row and the next one by descending key.
+    """``key, text, next_text``: each row and the next one by descending key.
 
     Neighbours meet in buckets of ids. The last row of a bucket takes the first row of the next bucket there is, found
     among the buckets and, from one group of buckets to the next, among the groups; the very last takes the first.
@@ -74,12 +74,12 @@ def with_next(df: DataFrame, key: str, text: str) -> DataFrame:
     follows = buckets.join(groups, "grp").select("bucket", F.coalesce("following", "after").alias("following"))
 
     near = Window.partitionBy("bucket").orderBy(F.desc_nulls_last("key"), F.desc("h"))
-    lined = rows.withColumn("anchors", anchors(F.col("text"))).withColumn("h", F.xxhash64("text"))
-    lined = lined.withColumn("next", F.lead(F.struct("text", "anchors")).over(near)).withColumn("n", F.row_number().over(near))
-    inner = lined.where("next is not null").select("key", "text", "anchors", F.col("next.text").alias("next_text"), F.col("next.anchors").alias("next_anchors"))
-    heads = lined.where("n = 1").select(F.col("bucket").alias("following"), F.col("text").alias("next_text"), F.col("anchors").alias("next_anchors"))
-    tails = lined.where("next is null").select("key", "text", "anchors", "bucket").join(follows, "bucket").join(heads, "following")
-    return inner.union(tails.select("key", "text", "anchors", "next_text", "next_anchors"))
+    lined = rows.withColumn("h", F.xxhash64("text"))
+    lined = lined.withColumn("next", F.lead("text").over(near)).withColumn("n", F.row_number().over(near))
+    inner = lined.where("next is not null").select("key", "text", F.col("next").alias("next_text"))
+    heads = lined.where("n = 1").select(F.col("bucket").alias("following"), F.col("text").alias("next_text"))
+    tails = lined.where("next is null").select("key", "text", "bucket").join(follows, "bucket").join(heads, "following")
+    return inner.union(tails.select("key", "text", "next_text"))
 
 
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -87,7 +87,9 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     rows = with_next(df, key, text).withColumn("n_chars", F.length("text").cast("bigint"))
     moved = F.expr("int(n_chars div 3)")
     edited = F.concat(F.left("text", F.col("n_chars").cast("int") - moved), F.left("next_text", moved))
-    rows = rows.withColumn("edited", edited).withColumn("edited_anchors", anchors(F.col("edited")))
+    rows = rows.withColumn("edited", edited)
+    for name, column in (("anchors", "text"), ("edited_anchors", "edited"), ("next_anchors", "next_text")):
+        rows = rows.withColumn(name, anchors(F.col(column)))
     return rows.select(
         F.col("key").alias(key), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digest(F.col("anchors")).alias("fingerprint"), digest(F.col("edited_anchors")).alias("edited_fingerprint"),
         likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"), likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"), F.size("anchors").alias("n_anchors"),
