@@ -41,8 +41,8 @@ def violations(spark: SparkSession, definitions: list[dict]) -> DataFrame:
     say(outcome.where(F.col("outcome") == graphs.UNSATISFIABLE).join(node.where("inbound is not null"), [*KEY, "node_id"], "left_anti"), "reserved_outcome", "node_id")
     say(node.where("inbound is not null").join(outcome.where(F.col("outcome") == graphs.UNSATISFIABLE), [*KEY, "node_id"], "left_anti"), "join_without_unsatisfiable", "node_id")
     say(node.where("entry and inbound is not null"), "entry_is_join", "node_id")
-    signatures = node.groupBy("ref_id", "ref_version").agg(F.countDistinct("signature").alias("n")).where("n > 1")
-    say(node.join(signatures, ["ref_id", "ref_version"], "left_semi"), "signature_conflict", "node_id")
+    signatures = node.groupBy(*KEY, "ref_id", "ref_version").agg(F.countDistinct("signature").alias("n")).where("n > 1")
+    say(node.join(signatures, [*KEY, "ref_id", "ref_version"], "left_semi"), "signature_conflict", "node_id")
 
     wanted = node.where("inbound is not null").select(*KEY, "node_id", F.explode("inbound").alias("edge_id"), F.lit(1).alias("wanted"))
     actual = targets.join(node.where("inbound is not null"), [*KEY, "node_id"], "left_semi").select(*KEY, "node_id", "edge_id", F.lit(1).alias("actual"))
@@ -62,6 +62,15 @@ def _walks(graph: dict) -> bool:
     return graph["entry"] in known and all(s in known and t in known for _, s, t in graphs.arcs(graph))
 
 
+def publication_conflicts(published: dict[str, DataFrame], digests: DataFrame, new: dict[str, DataFrame], new_digests: DataFrame) -> DataFrame:
+    """``rule, subject`` of what keeps new graphs from being published beside others: the same graph version with another
+    digest, or a node version with another signature. The same graph again is no conflict. Digests: KEY, digest."""
+    other = new_digests.withColumnRenamed("digest", "now").join(digests, KEY).where("digest <> now")
+    signed = ["ref_id", "ref_version"]
+    nodes = published["node"].select(*signed, "signature").union(new["node"].select(*signed, "signature")).groupBy(*signed).agg(F.countDistinct("signature").alias("n")).where("n > 1")
+    return other.select(F.lit("graph_digest").alias("rule"), F.concat_ws("@", *KEY).alias("subject")).union(nodes.select(F.lit("node_signature"), F.concat_ws("@", *signed))).distinct()
+
+
 def diff(spark: SparkSession, old: dict, new: dict) -> DataFrame:
     """``part, id, change, field`` between two definitions: parts by id, of kept ones the fields that differ."""
     from pathloom.functions import canon

@@ -199,7 +199,8 @@ def review_loops(graph: dict) -> dict[str, tuple[str, str, str, int]]:
     out = {}
     for n in graph["nodes"]:
         rounds = n.get("review", {}).get("maxRounds", 2)
-        if "review" in n and not n["review"].get("retry") and rounds >= 2:
+        route = n.get("review", {}).get("onReject")
+        if "review" in n and not (isinstance(route, dict) and route.get("retry")) and rounds >= 2:
             x = n["nodeId"]
             out[f"{x}::review"] = (f"{x}::rework.out", x, f"{x}::rework", rounds)
     return out

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.functions import columns
-from pathloom.operators import joins, paths, routing
+from pathloom.operators import joins, paths, replay, routing
+from pathloom.plans import checks, gates, graphs
+from pathloom.plans.examples import GATE, PICKING, PICKING_OLD
 from pathloom.sources.derived import EVENT_JOURNEY_SQL, LINE_OFFERS_SQL, event_journey, line_offers, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -252,3 +254,54 @@ def failed_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select("l_orderkey", "l_linenumber", "l_returnflag")  # noqa: E741
     met = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey"))
     return met.select(F.col("o_orderkey").alias("unit_id"), F.col("c_name").alias("principal_id"), F.col("l_linenumber").alias("attempt"), F.col("l_returnflag").alias("error_code"))
+
+
+@query("""WITH RECURSIVE arcs(a, b) AS (VALUES ('received', 'pick-1'), ('received', 'pick-2'), ('received', 'pick-3'), ('pick-1', 'pack'), ('pick-2', 'pack'), ('pick-3', 'pack'), ('pack', 'ask'), ('ask', 'received')),
+r(node_id) AS (SELECT 'received' UNION SELECT b FROM r JOIN arcs ON a = node_id) SELECT node_id FROM r""")
+def reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the picking graph that its entry reaches."""
+    return spark.createDataFrame([(n,) for n in graphs.distances(PICKING)], "node_id string")
+
+
+@query()
+def turn_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Worst-case occurrences and turns of the older, acyclic picking graph."""
+    found = graphs.turn_budget(PICKING_OLD)["nodes"]
+    return spark.createDataFrame([(n, x["depth"], x["occurrences"], x["turns"]) for n, x in found.items()], "node_id string, depth int, occurrences bigint, turns bigint")
+
+
+@query()
+def graph_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with the picking graph once a terminal is taken away."""
+    return checks.violations(spark, [PICKING | {"terminals": PICKING["terminals"][1:]}])
+
+
+@query()
+def graph_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What changed from the older picking graph."""
+    return checks.diff(spark, PICKING_OLD, PICKING)
+
+
+@query()
+def gate_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The worst case of a gate flow."""
+    return spark.createDataFrame(list(gates.compile_flow(GATE)["bounds"].items()), "bound string, most bigint")
+
+
+def _picking_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of each order on the older picking graph: three picks, of which those whose place and customer add up to a
+    multiple of three are out of stock."""
+    pick = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("ord")
+    t = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("unit_id"), "o_custkey", pick)
+    outcome = F.when(F.col("ord") == 0, "ready").when((F.col("o_custkey") + F.col("ord")) % 3 == 0, "out").otherwise("done")
+    nothing = [F.lit(None).cast("string").alias(c) for c in ("output_json", "error_code")]
+    return t.select("unit_id", "ord", F.when(F.col("ord") == 0, "received").otherwise(F.concat(F.lit("pick-"), F.col("ord").cast("string"))).alias("node_id"), outcome.alias("outcome"), *nothing, F.lit(None).cast("boolean").alias("retryable"))
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS unit_id, CAST(5 + CAST(d < 3 AS INTEGER) AS BIGINT) AS records, d >= 3 AS fired, d < 3 AS unsatisfiable
+FROM (SELECT o_orderkey, CAST((o_custkey + 1) % 3 <> 0 AS INTEGER) + CAST((o_custkey + 2) % 3 <> 0 AS INTEGER) + CAST((o_custkey + 3) % 3 <> 0 AS INTEGER) AS d FROM orders)""")
+def replay_liveness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order replayed: whether its join of all picks fired or became unsatisfiable."""
+    made = replay.replay(_picking_turns(spark, sf_dir), PICKING_OLD)
+    fired = F.exists("effects", lambda e: e["kind"] == "join_queued")
+    return made.groupBy("unit_id").agg(F.count("*").alias("records"), F.bool_or(fired).alias("fired"), F.bool_or(F.col("kind") == "join_unsatisfiable").alias("unsatisfiable"))
