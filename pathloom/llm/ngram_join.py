@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pathloom.llm.shared import map_text, steps, written
 
 WORDS, THRESHOLD = 5, 0.8
-#: A pair of similarity 0.8 shares no band with probability 5e-5, one of 0.85 with 5e-7.
+#: A pair of similarity 0.8 shares no band with probability 3e-5, one of 0.85 with 2e-7.
 BANDS, BAND_ROWS = 26, 5
 HASHES = BANDS * BAND_ROWS
 #: MinHash values to a step of the comparison, and the posterior below which a pair is dropped.

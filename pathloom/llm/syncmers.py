@@ -4,8 +4,8 @@ Units are runs of visible characters, at most 12 long. A k-mer of units is an an
 s-mers, by hash, lies at one of its edges. The choice looks at the k-mer alone, so texts that share a passage
 share its anchors whatever stands around it, and their positions match up to an offset.
 
-Defined cases: a null text is an empty one, without anchors; a text of fewer than k units has one anchor, its
-whole; two texts without anchors are alike (1.0), one without and one with aren't (0.0); texts of any length are
+Defined cases: a null text is an empty one, without anchors; a text of fewer than k units, or
+with none chosen, has one anchor, its whole; two texts without anchors are alike (1.0), one without and one with aren't (0.0); texts of any length are
 read whole. In descending order of ids null comes last and rows of one id stand by the hash of their texts; the
 only document is its own next.
 """
@@ -43,7 +43,7 @@ def _chosen(units: Column, smers: Column, make) -> Column:
     at = F.filter(F.sequence(F.lit(0), F.size(units) - K), lambda i: F.least(F.get(smers, i), F.get(smers, i + 2)) <= F.get(smers, i + 1))
     many = F.transform(at, lambda i: make(i, F.hash(F.get(smers, i), F.get(smers, i + 2))))
     one = F.transform(F.array(F.lit(0)), lambda i: make(i, F.hash(units)))
-    return F.when(F.size(units) >= K, many).when(F.size(units) > 0, one).otherwise(F.slice(one, 1, 0))
+    return F.when(F.size(units) >= K, let(many, lambda m: F.when(F.size(m) > 0, m).otherwise(one))).when(F.size(units) > 0, one).otherwise(F.slice(one, 1, 0))
 
 
 def digest(found: Column) -> Column:

@@ -14,7 +14,7 @@ def _brute(spark, text):
         return [(0, None)]
     pairs = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(zip(units, units[1:], strict=False))], "k int, a string, b string")
     s = [r.h for r in pairs.select("k", F.xxhash64("a", "b").alias("h")).orderBy("k").collect()]
-    return [k for k in range(len(units) - 3) if min(s[k : k + 3]) in (s[k], s[k + 2])]
+    return [k for k in range(len(units) - 3) if min(s[k : k + 3]) in (s[k], s[k + 2])] or [(0, None)]
 
 
 def test_anchors_are_closed_syncmers(spark, prose):
@@ -25,6 +25,11 @@ def test_anchors_are_closed_syncmers(spark, prose):
         assert [x["at"] for x in got] == ([0] if want and want[0] == (0, None) else want)
 
 
+def test_every_text_with_a_unit_has_an_anchor(spark):
+    rows = spark.createDataFrame([(f"w{k} x{k} y{k} z{k}",) for k in range(40)] + [("a",), ("",), (None,)], "text string").select(F.size(syncmers.anchors(F.col("text"))).alias("n"))
+    assert [r.n for r in rows.collect()] == [1] * 41 + [0, 0]
+
+
 def test_anchors_need_no_context(spark):
     passage = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron"
     rows = spark.createDataFrame([("x y z " + passage + " w",), (passage,)], "text string").select(syncmers.anchors(F.col("text")).alias("a")).collect()
