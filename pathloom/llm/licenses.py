@@ -45,6 +45,8 @@ TERM = re.compile(r"[^\W_]+")
 CUE = re.compile(r"licen[cs]|copyright|permission|public domain|rights reserved", re.I)
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|unlicense)([.\-_].*)?$"
 THRESHOLD = 0.75
+#: Places that the files of one directory are dealt to.
+SALTS = 32
 
 
 @dataclass
@@ -153,6 +155,8 @@ def scan(df: DataFrame, key: str = "doc_id", path: str = "path", text: str = "te
     near = rest.where("path is not null").select(F.get(directories("path"), F.lit(0)).alias("dir")).distinct()
     above = near.select("dir", F.posexplode(F.concat(F.array("dir"), F.when(F.col("dir") != "", directories("dir")).otherwise(F.array().cast("array<string>")))).alias("far", "up"))
     given = above.join(holders.withColumnRenamed("dir", "up"), "up").groupBy("dir").agg(F.min(F.struct("far", "best")).alias("found")).select("dir", "found.best")
-    inherited = rest.withColumn("dir", F.get(directories("path"), F.lit(0))).join(given, "dir", "left")
+    # files of one directory meet its licence in SALTS places
+    given = given.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    inherited = rest.withColumn("dir", F.get(directories("path"), F.lit(0))).withColumn("salt", F.pmod(F.xxhash64("key", "path"), F.lit(SALTS)).cast("int")).join(given, ["dir", "salt"], "left")
     inherited = inherited.select("key", "path", F.col("best.own").alias("license"), F.col("best.score").alias("score"), F.when(F.col("best").isNotNull(), "inherited").alias("origin"), F.col("best.path").alias("license_path"))
     return own.union(inherited).withColumnRenamed("key", key)
