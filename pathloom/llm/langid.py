@@ -162,10 +162,11 @@ def train(rows: list[tuple[str, str]]) -> Model:
         texts.append(t[at : at + SAMPLE_CHARS])
     y = np.array([languages.index(lang) for _, lang in rows])
     aside = rng.random(len(rows)) < CALIBRATION_SHARE if len(rows) >= 50 else np.zeros(len(rows), bool)
-    ids, owners = subwords(texts)
-    order = np.argsort(owners, kind="stable")
-    ids, ends = ids[order], np.cumsum(np.bincount(owners, minlength=len(texts)))
-    parts = np.split(ids, ends[:-1]) if len(texts) else []
+    parts: list[np.ndarray] = []
+    for at in range(0, len(texts), 100):
+        ids, owners = subwords(texts[at : at + 100])
+        ends = np.cumsum(np.bincount(owners, minlength=len(texts[at : at + 100])))
+        parts += np.split(ids[np.argsort(owners, kind="stable")].astype(np.int32), ends[:-1])
     embed = rng.uniform(-1 / DIMENSION, 1 / DIMENSION, (BUCKETS, DIMENSION))
     seen = np.zeros(BUCKETS, bool)
     out, bias = np.zeros((DIMENSION, len(languages))), np.zeros(len(languages))
