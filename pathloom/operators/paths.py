@@ -68,7 +68,7 @@ def open_occurrences(occurrences: DataFrame, settled: DataFrame, dead: DataFrame
 
 def queue_positions(open_: DataFrame, node: str = "node_id", by: str = "enqueue_sequence") -> DataFrame:
     """Places in each node's queue, 1 is next."""
-    return open_.withColumn("queue_position", F.row_number().over(Window.partitionBy(node).orderBy(by)))
+    return open_.withColumn("queue_position", F.row_number().over(Window.partitionBy(node).orderBy(by)).cast("bigint"))
 
 
 def queued(open_: DataFrame, principal: str, node: str, limit: int = 100) -> DataFrame:

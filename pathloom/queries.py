@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pathloom.functions import columns
 from pathloom.operators import joins, paths, replay, routing
 from pathloom.plans import checks, gates, graphs
 from pathloom.plans.examples import GATE, PICKING, PICKING_OLD
+from pathloom.sources import tables
 from pathloom.sources.derived import EVENT_JOURNEY_SQL, LINE_OFFERS_SQL, event_journey, line_offers, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -305,3 +306,39 @@ def replay_liveness(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = replay.replay(_picking_turns(spark, sf_dir), PICKING_OLD)
     fired = F.exists("effects", lambda e: e["kind"] == "join_queued")
     return made.groupBy("unit_id").agg(F.count("*").alias("records"), F.bool_or(fired).alias("fired"), F.bool_or(F.col("kind") == "join_unsatisfiable").alias("unsatisfiable"))
+
+
+@query("""SELECT conv_id AS unit_id, turn AS queue_id, role AS node_id, CASE WHEN role = 'user' THEN 'human' ELSE 'model' END AS kind, strlen(text) AS bytes, sha256(text) AS output_digest,
+  count(*) OVER (PARTITION BY conv_id, role ORDER BY turn) AS visit FROM conversations""")
+def unit_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn of a conversation with its output's size and digest, and which visit to its node it is."""
+    c = table(spark, sf_dir, "conversations")
+    visit = F.count("*").over(Window.partitionBy("conv_id", "role").orderBy("turn"))
+    kind = F.when(F.col("role") == "user", "human").otherwise("model")
+    return c.select(F.col("conv_id").alias("unit_id"), F.col("turn").alias("queue_id"), F.col("role").alias("node_id"), kind.alias("kind"), F.octet_length("text").cast("bigint").alias("bytes"), columns.raw_body_digest(F.col("text")).alias("output_digest"), visit.alias("visit"))
+
+
+@query("SELECT conv_id AS unit_id, turn, role AS actor_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS decision FROM conversations WHERE role = 'user'")
+def human_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The people's turns of each conversation, in order."""
+    c = table(spark, sf_dir, "conversations").where("role = 'user'")
+    return c.select(F.col("conv_id").alias("unit_id"), "turn", F.col("role").alias("actor_id"), F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("bigint").alias("decision"))
+
+
+@query("""SELECT o_orderpriority AS node_id, count(*) AS turns, count(*) FILTER (o_orderstatus = 'F') AS succeeded, count(*) FILTER (o_orderstatus = 'P') AS skipped, count(*) FILTER (o_orderstatus = 'O') AS rejected FROM orders GROUP BY ALL""")
+def worker_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of each node by how they ended."""
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("node_id"))
+    return o.agg(F.count("*").alias("turns"), *(F.count_if(F.col("o_orderstatus") == s).alias(n) for s, n in (("F", "succeeded"), ("P", "skipped"), ("O", "rejected"))))
+
+
+@query("""WITH s AS (SELECT c_custkey AS unit_id, CASE WHEN c_nationkey < 5 THEN 'b' ELSE 'a' END AS seal FROM customer), k AS (SELECT c_custkey AS unit_id, 'a' AS was FROM customer WHERE c_acctbal < 2000)
+SELECT CASE WHEN was IS NULL THEN 'new' WHEN was = seal THEN 'replay' ELSE 'conflict' END AS result, count(*) AS units FROM s LEFT JOIN k USING (unit_id) GROUP BY ALL""")
+def admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers admitted to a store that knows some of them: new, replayed, or in conflict."""
+    c = table(spark, sf_dir, "customer")
+    seeds = c.select(F.col("c_custkey").alias("unit_id"), F.when(F.col("c_nationkey") < 5, "b").otherwise("a").alias("admission_digest"))
+    known = c.where("c_acctbal < 2000").select(F.col("c_custkey").alias("unit_id"), F.lit("a").alias("admission_digest"))
+    new, conflicts = tables.admit(seeds, known)
+    named = new.select("unit_id", F.lit("new").alias("r")).union(conflicts.select("unit_id", F.lit("conflict")))
+    return seeds.join(named, "unit_id", "left").groupBy(F.coalesce("r", F.lit("replay")).alias("result")).agg(F.count("*").alias("units"))

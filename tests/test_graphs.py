@@ -108,11 +108,6 @@ def test_gates():
             gates.compile_flow(flow)
 
 
-def test_prompts():
-    found = gates.compile_prompt(["be kind"], ["sum up", "be brief"], [["c"]], ["json"])
-    assert found["text"] == "safety:\n1. be kind\n\ntask:\n1. sum up\n2. be brief\n\ncomponent 1:\n1. c\n\noutput:\n1. json"
-
-
 def test_publication(spark):
     digests = lambda gs: spark.createDataFrame([(g["graphId"], g["version"], graphs.seal(g)["digest"]) for g in gs], "graph_id string, version bigint, digest string")
     old, again = [GRAPHS["join"], GRAPHS["filter-chain"]], [GRAPHS["join"]]
