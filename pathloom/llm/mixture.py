@@ -18,6 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathloom.llm.extendible import key_hash
 from pathloom.llm.shared import written
 
 WEIGHTS = (5, 2, 1)
@@ -82,8 +83,8 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     sized = written(df.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), words(text).alias("size")), "mix-sizes")
     sources = written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share), "mix-sources")
     rows, total = sized.count(), sources.agg(F.sum("target")).first()[0] or 0.0
-    block = max(1, min(MOST_WORDS, int(total // SLOTS)))
-    slots = math.ceil(total / block)
+    block = max(1, min(MOST_WORDS, int(round(total, 3) // SLOTS)))
+    slots = math.ceil(round(total, 3) / block)
 
     blocks = F.greatest(F.ceil(F.col("source_size") / block), F.lit(1))
     taken = schedule(sources, slots, spark).join(sources.select("id", blocks.alias("blocks")), "id")
@@ -91,7 +92,7 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
 
     buckets = math.isqrt(rows) + 1
     named = sized.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
-    named = named.select("key", "d.source", "size", "id", "source_size", "target", F.xxhash64("key", F.lit(17)).alias("h"))
+    named = named.select("key", "d.source", "size", "id", "source_size", "target", key_hash("key").alias("h"))
     named = named.withColumn("bucket", F.pmod(F.col("h"), F.lit(buckets)))
     at = Window.partitionBy("id", "bucket").orderBy("h", "key", "size")
     bases = named.groupBy("id", "bucket").agg(F.sum("size").alias("n"))

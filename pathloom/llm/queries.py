@@ -86,6 +86,56 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_join": """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS shingle FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY ALL
+), met AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 10 * c >= 8 * (x.n + y.n - c)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+)
+SELECT d.doc_id, (SELECT min(b) FROM reach r WHERE r.a = d.doc_id) AS class_id, (SELECT count(*) FROM links l WHERE l.a = d.doc_id) AS links FROM documents d
+""",
+    "op4_mix_sources": f"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT AS h FROM documents
+), named AS (
+  SELECT source, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS id, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
+), caps AS (
+  SELECT *, [5.0, 2.0, 1.0][id % 3 + 1]::DOUBLE AS weight, source_size * 2.0::DOUBLE AS cap FROM named
+), levels AS (
+  SELECT *, cap / weight AS ratio, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY cap / weight, id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM caps
+), targets AS (
+  SELECT source, id, source_size, least(cap, weight * (SELECT arg_min(level, (ratio, id)) FROM levels WHERE level <= ratio)) AS target FROM levels
+), whole AS (
+  SELECT total, greatest(1, least({mixture.MOST_WORDS}, floor(total / {mixture.SLOTS})))::BIGINT AS block FROM (SELECT round(sum(target), 3) AS total FROM targets)
+), spans AS (
+  SELECT id, coalesce(lag(high) OVER (ORDER BY id), 0) AS low, high FROM (
+    SELECT id, CASE WHEN id = max(id) OVER () THEN 2.0 ELSE sum(target) OVER (ORDER BY id) / sum(target) OVER () END AS high FROM targets WHERE target > 0)
+), slots AS (
+  SELECT slot, (slot % {mixture.POINTS} * {mixture.GOLDEN} % {mixture.POINTS}) / {mixture.POINTS}.0::DOUBLE AS point FROM (SELECT unnest(range(0, CAST(ceil(total / block) AS BIGINT))) AS slot FROM whole)
+), ranked AS (
+  SELECT id, row_number() OVER (PARTITION BY id ORDER BY slot) - 1 AS rank FROM slots ASOF JOIN spans ON point >= low
+), taken AS (
+  SELECT id, rank % blocks AS block, count(*) AS passes FROM ranked JOIN (SELECT id, greatest(1, ceil(source_size / (SELECT block FROM whole)))::BIGINT AS blocks FROM targets) USING (id)
+  WHERE rank < {mixture.PASSES} * blocks GROUP BY ALL
+), lined AS (
+  SELECT doc_id, s.source, size, id, source_size, target, sum(size) OVER (PARTITION BY id ORDER BY h % (CAST(floor(sqrt((SELECT count(*) FROM sized))) AS BIGINT) + 1), h, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT AS past
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+), pieces AS (
+  SELECT *, past - size AS start, unnest(range((past - size) // (SELECT block FROM whole), (past - 1) // (SELECT block FROM whole) + 1)) AS block FROM lined WHERE size > 0
+), got AS (
+  SELECT doc_id, sum((least(past, (p.block + 1) * w.block) - greatest(start, p.block * w.block)) * passes)::BIGINT AS taken FROM pieces p CROSS JOIN whole w JOIN taken t ON t.id = p.id AND t.block = p.block GROUP BY ALL
+)
+SELECT doc_id, source, size, source_size, target, coalesce(taken, 0) AS taken FROM lined LEFT JOIN got USING (doc_id)
+""",
     "op8_extendible_shards": f"""
 WITH d AS (
   SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS bytes, ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT AS h FROM documents
