@@ -3,8 +3,8 @@
 A text is the mean of the embeddings of its character n-grams within words (with the spaces around them),
 hashed into a fixed number of rows. After training, embedding times output weights is one table of class
 scores a row, so a prediction is a mean of table rows. A temperature fitted on rows kept aside calibrates the
-probabilities; a text is rejected when the best language is less likely right than ``reject_below``, or
-when it has no letter.
+probabilities; a text is rejected when it has no letter, or when the best language is less likely right than
+``reject_below`` and fewer of its n-grams are known than of nearly all rows kept aside.
 
 Defined cases: null, empty or letterless text is ``und`` with score 0 and rejected; long texts are read
 whole; ties go to the first language by name; with no labelled row every text is ``und``.
@@ -122,27 +122,42 @@ class Model:
     table: np.ndarray  # rows x languages, float32
     bias: np.ndarray
     temperature: float
+    seen: np.ndarray  # rows that training texts have
+    usual: float = 0.0  # share of its rows seen that all but a hundredth of the rows kept aside reach
 
     def logits(self, texts: list[str]) -> np.ndarray:
-        sums, n = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
+        return self._read(texts)[0]
+
+    def _read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of the languages, and the share of each text's rows that training has seen."""
+        sums, n, known = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts)), np.zeros(len(texts))
         for group in _groups(texts):
             at = np.array([k for k, _ in group])
             rows, owners = subwords([t for _, t in group])
             np.add.at(n, at, np.bincount(owners, minlength=len(group)))
+            np.add.at(known, at, np.bincount(owners, self.seen[rows], len(group)))
             for c in range(len(self.languages)):
                 np.add.at(sums[:, c], at, np.bincount(owners, self.table[:, c][rows], len(group)))
-        return sums / np.maximum(n, 1)[:, None] + self.bias
+        return sums / np.maximum(n, 1)[:, None] + self.bias, known / np.maximum(n, 1)
 
     def probabilities(self, texts: list[str]) -> np.ndarray:
         return _softmax(self.logits(texts) / self.temperature)
 
-    def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
+    def judge(self, texts: list[str], reject_below: float = REJECT_BELOW) -> tuple[list[str], list[float], list[bool]]:
+        """Language, probability, and whether a text is rejected: it has no letter, or no language is likely enough
+        and too few of its n-grams are known. A text that mixes learned languages is unsure but known, and stays."""
         if not self.languages:
-            return [UNKNOWN] * len(texts), [0.0] * len(texts)
-        p = self.probabilities(texts)
+            return [UNKNOWN] * len(texts), [0.0] * len(texts), [True] * len(texts)
+        logits, known = self._read(texts)
+        p = _softmax(logits / self.temperature)
         best = p.argmax(1)
-        known = [has_letter(t) for t in texts]
-        return [self.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], [float(p[i, b]) if known[i] else 0.0 for i, b in enumerate(best)]
+        lettered = [has_letter(t) for t in texts]
+        score = [float(p[k, b]) if x else 0.0 for k, (b, x) in enumerate(zip(best, lettered, strict=True))]
+        pred = [self.languages[b] if x else UNKNOWN for b, x in zip(best, lettered, strict=True)]
+        return pred, score, [not x or (y < reject_below and z < self.usual) for x, y, z in zip(lettered, score, known.tolist(), strict=True)]
+
+    def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
+        return self.judge(texts)[:2]
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -154,7 +169,7 @@ def train(rows: list[tuple[str, str]]) -> Model:
     """A model of (text, language) rows; the same rows in the same order give the same model."""
     languages = sorted({lang for _, lang in rows})
     if not languages:
-        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0)
+        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, np.zeros(BUCKETS, bool))
     rng = np.random.default_rng(SEED)
     texts = []
     for t, _ in rows:
@@ -188,10 +203,11 @@ def train(rows: list[tuple[str, str]]) -> Model:
             bias -= rate * p * 0.1
             embed[rows_k] -= rate * len(rows_k) ** 0.5 * weights[:, None] * back
     embed[~seen] = 0  # n-grams that no labelled text has say nothing
-    model = Model(languages, (embed @ out).astype(np.float32), bias, 1.0)
+    model = Model(languages, (embed @ out).astype(np.float32), bias, 1.0, seen, 0.5)
     if aside.any():
         kept = np.flatnonzero(aside)
-        logits = model.logits([texts[k] for k in kept])
+        logits, known = model._read([texts[k] for k in kept])
+        model.usual = float(np.quantile(known, 0.01))
         model.temperature = min((1.25**k for k in range(16)), key=lambda t: -np.log(_softmax(logits / t)[np.arange(len(kept)), y[kept]] + 1e-12).mean())
     return model
 
@@ -214,8 +230,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", reject_below: float
     shared = spark.sparkContext.broadcast(model)  # BUCKETS x languages floats: a fixed size
 
     def fn(texts: list[str]) -> list[list]:
-        pred, score = shared.value.predict(texts)
-        return [pred, score, [p == UNKNOWN or s < reject_below for p, s in zip(pred, score, strict=True)]]
+        return list(shared.value.judge(texts, reject_below))
 
     return map_text(df, text, {"lang_pred": "string", "score": "double", "rejected": "boolean"}, fn)
 

@@ -27,6 +27,8 @@ def test_odd_texts(model):
     assert model.predict(["", " \n", "123 --"]) == (["und"] * 3, [0.0] * 3)
     (pred,), (score,) = model.predict(["你好世界 再见"])
     assert pred in WORDS and score < langid.REJECT_BELOW
+    foreign, mixed = "你好世界 再见 что это такое", "the and of with " * 20 + "der und nicht mit " * 20
+    assert model.judge([foreign, mixed, "12", "the and of"])[2] == [True, False, True, False]
     assert langid.train([]).predict(["some text"]) == (["und"], [0.0])
     assert langid.train([("only one", "en")]).predict(["some text"])[0] == ["en"]
 
