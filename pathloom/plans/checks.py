@@ -52,14 +52,17 @@ def violations(spark: SparkSession, definitions: list[dict]) -> DataFrame:
     say(ended, "terminal_and_routed", F.concat_ws(":", "node_id", "outcome"))
     covered = named.where("unconditional").select(*KEY, "node_id", "outcome").union(terminal.select(*KEY, "node_id", "outcome"))
     say(outcome.join(covered, [*KEY, "node_id", "outcome"], "left_anti"), "uncovered_outcome", F.concat_ws(":", "node_id", "outcome"))
-    reached = spark.createDataFrame([(g["graphId"], g["version"], n) for g in definitions if _walks(g) for n in graphs.distances(g)] or [("", 0, "")], "graph_id string, version bigint, node_id string")
+    reached = spark.createDataFrame([(g["graphId"], g["version"], n) for g in definitions for n in graphs.distances(_known(g))], "graph_id string, version bigint, node_id string")
     say(node.join(reached, [*KEY, "node_id"], "left_anti"), "unreachable", "node_id")
     return reduce(DataFrame.union, found).distinct()
 
 
-def _walks(graph: dict) -> bool:
+def _known(graph: dict) -> dict:
+    """The graph with its known entry and what edges there are between known nodes, as a walk needs it."""
     known = {n["nodeId"] for n in graph["nodes"]}
-    return graph["entry"] in known and all(s in known and t in known for _, s, t in graphs.arcs(graph))
+    edges = [e | {"to": [t for t in e["to"] if t in known]} for e in graph["edges"] if e["from"] in known]
+    nodes = graph["nodes"] if graph["entry"] in known else [{"nodeId": graph["entry"]}, *graph["nodes"]]
+    return graph | {"nodes": nodes, "edges": edges}
 
 
 def publication_conflicts(published: dict[str, DataFrame], digests: DataFrame, new: dict[str, DataFrame], new_digests: DataFrame) -> DataFrame:

@@ -34,6 +34,22 @@ PICKING = _picking(
     [_edge("too-few", "pack", "join_unsatisfiable", "ask"), _edge("retry", "ask", "again", "received")], [("pack", "packed"), ("ask", "enough")],
 )
 
+
+def _broken(k: int, **parts) -> dict:
+    return PICKING | {"version": 100 + k} | parts
+
+
+_N, _E, _T = PICKING["nodes"], PICKING["edges"], PICKING["terminals"]
+#: The picking graph with one thing wrong each.
+PICKING_BROKEN = [
+    _broken(0, terminals=_T[1:]), _broken(1, entry="nowhere"), _broken(2, edges=[*_E, _edge("lost", "pick-9", "done", "pack")]), _broken(3, edges=[_edge("start", "received", "ready", *_PICKS, "pick-9"), *_E[1:]]),
+    _broken(4, terminals=[*_T, {"nodeId": "pack", "outcome": "dropped"}]), _broken(5, edges=[*_E, _edge("odd", "pick-1", "odd", "ask")]), _broken(6, nodes=[*_N[:-1], _N[-1] | {"input": "order.v2"}]),
+    _broken(7, nodes=[*_N[:-1], _N[-1] | {"kind": "model"}]), _broken(8, nodes=[_N[0], _node("pick-1", "done", "out", "join_unsatisfiable"), *_N[2:]]), _broken(9, entry="pack"),
+    _broken(10, nodes=[*_N[:2], _N[2] | {"ref": _N[1]["ref"], "kind": "agent"}, *_N[3:]]), _broken(11, nodes=[n | {"join": {"inbound": ["pick-1-done"], "require": {"nOf": 2}}} if "join" in n else n for n in _N]),
+    _broken(12, terminals=[*_T, {"nodeId": "received", "outcome": "ready"}]), _broken(13, nodes=[*_N, _node("alone", "done")]), _broken(14, nodes=[_node("pack", "packed", join=n["join"]) if "join" in n else n for n in _N]),
+    _broken(15, edges=[_edge("start", "received", "ready", *_PICKS) | {"when": {"outcome": "ready", "where": [{"pointer": "/payload/open", "equals": True}]}}, *_E[1:]]),
+]
+
 GATE = {
     "entry": "rules", "levels": {"rules": 1, "model": 2},
     "tiers": {

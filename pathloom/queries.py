@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pathloom import graph_sql
 from pathloom.functions import columns
 from pathloom.operators import joins, paths, replay, routing
 from pathloom.plans import checks, gates, graphs
-from pathloom.plans.examples import GATE, PICKING, PICKING_OLD
+from pathloom.plans.examples import GATE, PICKING, PICKING_BROKEN, PICKING_OLD
 from pathloom.sources import tables
 from pathloom.sources.derived import EVENT_JOURNEY_SQL, LINE_OFFERS_SQL, event_journey, line_offers, table
 
@@ -264,26 +265,26 @@ def reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(n,) for n in graphs.distances(PICKING)], "node_id string")
 
 
-@query()
+@query(graph_sql.TURN_BUDGET)
 def turn_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Worst-case occurrences and turns of the older, acyclic picking graph."""
     found = graphs.turn_budget(PICKING_OLD)["nodes"]
     return spark.createDataFrame([(n, x["depth"], x["occurrences"], x["turns"]) for n, x in found.items()], "node_id string, depth int, occurrences bigint, turns bigint")
 
 
-@query()
+@query(graph_sql.GRAPH_VIOLATIONS)
 def graph_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is wrong with the picking graph once a terminal is taken away."""
-    return checks.violations(spark, [PICKING | {"terminals": PICKING["terminals"][1:]}])
+    """What is wrong with picking graphs that have something wrong each."""
+    return checks.violations(spark, PICKING_BROKEN)
 
 
-@query()
+@query(graph_sql.GRAPH_DIFF)
 def graph_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What changed from the older picking graph."""
     return checks.diff(spark, PICKING_OLD, PICKING)
 
 
-@query()
+@query(graph_sql.GATE_BOUNDS)
 def gate_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The worst case of a gate flow."""
     return spark.createDataFrame(list(gates.compile_flow(GATE)["bounds"].items()), "bound string, most bigint")
