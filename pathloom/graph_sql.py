@@ -15,7 +15,7 @@ def _value(x: object) -> str:
     return "'" + str(x).replace("'", "''") + "'"
 
 
-def _literal(head: str, rows: list[tuple]) -> str:
+def literal(head: str, rows: list[tuple]) -> str:
     return f"{head} AS (VALUES {', '.join('(' + ', '.join(map(_value, r)) + ')' for r in rows)})"
 
 
@@ -24,7 +24,7 @@ def _named(edge: dict) -> list[str]:
 
 
 def _arcs(graphs: list[dict]) -> str:
-    return _literal("arc(v, edge_id, source, target)", [(g["version"], e["edgeId"], e["from"], t) for g in graphs for e in g["edges"] for t in e["to"]])
+    return literal("arc(v, edge_id, source, target)", [(g["version"], e["edgeId"], e["from"], t) for g in graphs for e in g["edges"] for t in e["to"]])
 
 
 def _violations(graphs: list[dict]) -> str:
@@ -32,14 +32,14 @@ def _violations(graphs: list[dict]) -> str:
     joins = [(v, n, n["join"]) for v, n in nodes if "join" in n]
     sign = lambda n: json.dumps([n["kind"], n["input"], sorted(n["outcomes"]["outcomes"]), n.get("outputs", {})], sort_keys=True)
     tables = [
-        _literal("graph(v, name, entry)", [(g["version"], g["graphId"], g["entry"]) for g in graphs]),
-        _literal("node(v, node_id, ref, kind, input, bound, signature)", [(v, n["nodeId"], f"{n['ref']['id']}@{n['ref']['version']}", n["kind"], n["input"], "binding" in n, sign(n)) for v, n in nodes]),
-        _literal("joining(v, node_id, n_of, envelope)", [(v, n["nodeId"], None if j["require"] == "all" else j["require"]["nOf"], j.get("compose") == "envelope") for v, n, j in joins]),
-        _literal("inbound(v, node_id, edge_id)", [(v, n["nodeId"], e) for v, n, j in joins for e in j["inbound"]]),
-        _literal("outcome(v, node_id, outcome, made)", [(v, n["nodeId"], o, n.get("outputs", {}).get(o)) for v, n in nodes for o in n["outcomes"]["outcomes"]]),
-        _literal("named(v, edge_id, source, outcome, always)", [(g["version"], e["edgeId"], e["from"], o, "where" not in e["when"]) for g in graphs for e in g["edges"] for o in _named(e)]),
+        literal("graph(v, name, entry)", [(g["version"], g["graphId"], g["entry"]) for g in graphs]),
+        literal("node(v, node_id, ref, kind, input, bound, signature)", [(v, n["nodeId"], f"{n['ref']['id']}@{n['ref']['version']}", n["kind"], n["input"], "binding" in n, sign(n)) for v, n in nodes]),
+        literal("joining(v, node_id, n_of, envelope)", [(v, n["nodeId"], None if j["require"] == "all" else j["require"]["nOf"], j.get("compose") == "envelope") for v, n, j in joins]),
+        literal("inbound(v, node_id, edge_id)", [(v, n["nodeId"], e) for v, n, j in joins for e in j["inbound"]]),
+        literal("outcome(v, node_id, outcome, made)", [(v, n["nodeId"], o, n.get("outputs", {}).get(o)) for v, n in nodes for o in n["outcomes"]["outcomes"]]),
+        literal("named(v, edge_id, source, outcome, always)", [(g["version"], e["edgeId"], e["from"], o, "where" not in e["when"]) for g in graphs for e in g["edges"] for o in _named(e)]),
         _arcs(graphs),
-        _literal("terminal(v, node_id, outcome)", [(g["version"], t["nodeId"], t["outcome"]) for g in graphs for t in g["terminals"]]),
+        literal("terminal(v, node_id, outcome)", [(g["version"], t["nodeId"], t["outcome"]) for g in graphs for t in g["terminals"]]),
     ]
     return f"""WITH RECURSIVE {', '.join(tables)},
 reached(v, node_id) AS (SELECT v, entry FROM graph UNION SELECT a.v, a.target FROM reached r JOIN arc a ON a.v = r.v AND a.source = r.node_id JOIN node n ON n.v = a.v AND n.node_id = a.target),
@@ -69,7 +69,7 @@ SELECT name AS graph_id, CAST(v AS BIGINT) AS version, rule, subject FROM found
 
 
 def _budget(graph: dict) -> str:
-    return f"""WITH RECURSIVE {_literal("node(node_id, is_join, attempts)", [(n["nodeId"], "join" in n, n["turn"]["maxAttempts"]) for n in graph["nodes"]])}, {_arcs([graph])},
+    return f"""WITH RECURSIVE {literal("node(node_id, is_join, attempts)", [(n["nodeId"], "join" in n, n["turn"]["maxAttempts"]) for n in graph["nodes"]])}, {_arcs([graph])},
 step AS (SELECT DISTINCT source, target, is_join FROM arc JOIN node ON node_id = target),
 walk(node_id, depth) AS (SELECT '{graph["entry"]}', 0 UNION SELECT target, depth + 1 FROM walk JOIN step ON source = node_id),
 pass(node_id, way) AS (SELECT node_id, node_id FROM node WHERE is_join OR node_id = '{graph["entry"]}' UNION ALL SELECT target, way || '>' || target FROM pass JOIN step ON source = node_id WHERE NOT is_join)
@@ -82,7 +82,7 @@ def _parts(head: str, graph: dict) -> str:
     for part, key in (("node", "nodeId"), ("edge", "edgeId")):
         for x in graph[f"{part}s"]:
             rows += [(part, x[key], k, json.dumps(sorted(v["outcomes"]) if k == "outcomes" else v, sort_keys=True)) for k, v in x.items() if k != key]
-    return _literal(f"{head}(part, id, field, value)", rows)
+    return literal(f"{head}(part, id, field, value)", rows)
 
 
 def _diff(old: dict, new: dict) -> str:
@@ -93,7 +93,7 @@ UNION ALL SELECT part, id, 'changed', field FROM a FULL JOIN b USING (part, id,
 
 def _bounds(flow: dict) -> str:
     tiers = [(s["step_id"], s["kind"] == "model", *(flow["tiers"][s["budget_tier_id"]][k] for k in ("max_attempts", "timeout_ms", "max_tokens_per_attempt", "max_cost_micro_usd_per_attempt"))) for s in flow["steps"]]
-    return f"""WITH RECURSIVE {_literal("tier(step_id, model, n, ms, tokens, usd)", tiers)}, {_literal("move(source, kind, target)", [(t["source_step_id"], t["kind"], t.get("target_step_id")) for t in flow["transitions"]])},
+    return f"""WITH RECURSIVE {literal("tier(step_id, model, n, ms, tokens, usd)", tiers)}, {literal("move(source, kind, target)", [(t["source_step_id"], t["kind"], t.get("target_step_id")) for t in flow["transitions"]])},
 cost AS (SELECT step_id, 1 AS steps, CAST(model AS INT) * n AS model_calls, n AS attempts, CAST(model AS INT) * n * tokens AS tokens, CAST(model AS INT) * n * usd AS cost_micro_usd, n * ms AS elapsed_ms FROM tier),
 way AS (SELECT * FROM cost WHERE step_id = '{flow["entry"]}' UNION ALL SELECT c.step_id, w.steps + c.steps, w.model_calls + c.model_calls, w.attempts + c.attempts, w.tokens + c.tokens, w.cost_micro_usd + c.cost_micro_usd, w.elapsed_ms + c.elapsed_ms
   FROM way w JOIN move m ON m.source = w.step_id JOIN cost c ON c.step_id = m.target),

@@ -11,14 +11,11 @@ import json
 from collections import defaultdict, deque
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import groupby
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from pathloom.functions import canon
+from pathloom.operators.folds import folded
 from pathloom.operators.routing import matches
 from pathloom.plans.graphs import UNSATISFIABLE, UNSATISFIABLE_CONTRACT
 
@@ -198,34 +195,14 @@ def fold(unit_id: str, plan: Plan, turns: Iterable[dict]) -> Iterator[dict]:
         yield from unit.turn(t["node_id"], t.get("outcome"), output, t.get("error_code"), t.get("retryable") is not False)
 
 
-#: Records to a batch of output.
-BATCH = 4000
 TURN = ("unit_id", "node_id", "outcome", "output_json", "error_code", "retryable")
 
 
 def replay(turns: DataFrame, graph: dict) -> DataFrame:
-    """Journeys of ``unit_id, ord, node_id, outcome, output_json, error_code, retryable`` rows over one graph.
-
-    Units meet by a hash of their id and are folded one after the other as their sorted rows stream by.
-    """
-    schema = T._parse_datatype_string(JOURNEY)
-    arrow = to_arrow_schema(schema)
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
-            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in TURN]
-            for row in zip(*columns, strict=True):
-                yield dict(zip(TURN, row, strict=True))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan, made = Plan(graph), []
-        for unit_id, own in groupby(rows(batches), key=lambda r: r["unit_id"]):
-            for record in fold(unit_id, plan, own):
-                made.append(record)
-                if len(made) >= BATCH:
-                    yield pa.RecordBatch.from_pylist(made, arrow)
-                    made = []
-        if made:
-            yield pa.RecordBatch.from_pylist(made, arrow)
-
-    return turns.repartition("unit_id").sortWithinPartitions("unit_id", "ord").select(*TURN).mapInArrow(run, schema)
+    """Journeys of ``unit_id, ord, node_id, outcome, output_json, error_code, retryable`` rows over one graph."""
+
+    def start():
+        plan = Plan(graph)
+        return lambda key, own: fold(key[0], plan, own)
+
+    return folded(turns, ("unit_id",), TURN, JOURNEY, start)

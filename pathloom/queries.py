@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pathloom import graph_sql
 from pathloom.functions import columns
-from pathloom.operators import joins, paths, replay, routing
+from pathloom.operators import joins, leases, paths, replay, routing
 from pathloom.plans import checks, gates, graphs
 from pathloom.plans.examples import GATE, PICKING, PICKING_BROKEN, PICKING_OLD
 from pathloom.sources import tables
@@ -343,3 +343,35 @@ def admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     new, conflicts = tables.admit(seeds, known)
     named = new.select("unit_id", F.lit("new").alias("r")).union(conflicts.select("unit_id", F.lit("conflict")))
     return seeds.join(named, "unit_id", "left").groupBy(F.coalesce("r", F.lit("replay")).alias("result")).agg(F.count("*").alias("units"))
+
+
+#: By turn modulo 4, the commands to an occurrence and what they come to: node, command, ms, token, actor, evidence, extension,
+#: disposition, attempt index.
+LEASE_SCRIPTS = [
+    (0, "received", "claim", 0, "a", None, None, None, "claimed", None), (0, "received", "prepare", 10, "a", None, None, None, "reserved", 1), (0, "received", "heartbeat", 9000, "a", None, None, 30000, "extended", 1),
+    (0, "received", "complete", 38999, "a", None, "e", None, "completed", 1), (0, "received", "prepare", 38999, "a", None, None, None, "cached", 1), (0, "received", "settle", 38999, "a", None, "e", None, "settled", 1),
+    (0, "received", "settle", 40000, "a", None, "e", None, "replayed", 1), (0, "received", "settle", 40000, "a", None, "f", None, "conflict", 1), (0, "received", "claim", 90000, "b", None, None, None, "closed", 1),
+    (1, "received", "claim", 0, "a", None, None, None, "claimed", None), (1, "received", "claim", 29999, "b", None, None, None, "held", None), (1, "received", "claim", 30000, "b", None, None, None, "claimed", None),
+    (1, "received", "prepare", 30001, "a", None, None, None, "lease_lost", None), (1, "received", "prepare", 30001, "b", None, None, None, "reserved", 1), (1, "received", "fail", 30002, "b", None, "e", None, "failed", 1),
+    (1, "received", "prepare", 30003, "b", None, None, None, "reserved", 2), (1, "received", "fail", 30004, "b", None, "g", None, "dead", 2), (1, "received", "claim", 99999, "c", None, None, None, "closed", 2),
+    (2, "ask", "claim", 0, "a", None, None, None, "refused", None), (2, "ask", "claim_external", 0, "a", "x", "e", None, "claimed", None), (2, "ask", "claim_external", 5, "b", "x", "e", None, "claimed", None),
+    (2, "ask", "claim_external", 5, "b", "x", "f", None, "held", None), (2, "ask", "prepare", 6, "a", None, None, None, "reserved", 1), (2, "ask", "settle", 7, "a", "x", "f", None, "conflict", 1),
+    (2, "ask", "settle", 7, "a", "x", "e", None, "settled", 1), (2, "ask", "claim_external", 8, "d", "x", "e", None, "settled", 1), (2, "ask", "claim_external", 8, "d", "y", "e", None, "conflict", 1),
+    (3, "received", "claim", 0, "a", None, None, None, "claimed", None), (3, "received", "complete", 1, "a", None, "e", None, "conflict", None), (3, "received", "heartbeat", 1, "a", None, None, 30001, "refused", None),
+    (3, "received", "prepare", 2, "a", None, None, None, "reserved", 1), (3, "received", "fail", 3, "a", None, "e", None, "failed", 1), (3, "received", "fail", 4, "a", None, "e", None, "replayed", 1), (3, "received", "complete", 5, "a", None, "f", None, "conflict", 1),
+]
+
+
+@query(f"""WITH {graph_sql.literal("script(kind, step, node_id, command, disposition, attempt_index)", [(s[0], k, s[1], s[2], s[8], s[9]) for k, s in enumerate(LEASE_SCRIPTS)])},
+used AS (SELECT kind, node_id, coalesce(max(attempt_index), 0) AS used FROM script GROUP BY ALL),
+t AS (SELECT conv_id, turn, kind, node_id, sum(used) OVER (PARTITION BY conv_id, node_id ORDER BY turn) - used AS before FROM conversations JOIN used ON kind = turn % 4)
+SELECT CAST(conv_id AS VARCHAR) AS unit_id, CAST(turn AS VARCHAR) AS queue_id, turn * 100 + step AS ord, command, disposition, CAST(coalesce(before + attempt_index, 0) AS BIGINT) AS attempt_number, coalesce(attempt_index, 0) AS attempt_index
+FROM t JOIN script USING (kind, node_id)""")
+def lease_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What scripted commands to each conversation's turns come to."""
+    head = "kind int, step bigint, node_id string, command string, ms bigint, token string, actor string, evidence string, extend_ms bigint"
+    script = spark.createDataFrame([(s[0], k, *s[1:8]) for k, s in enumerate(LEASE_SCRIPTS)], head)
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("unit_id"), F.col("turn").cast("string").alias("queue_id"), "turn", (F.col("turn") % 4).cast("int").alias("kind"))
+    met = c.join(F.broadcast(script), "kind")  # a few dozen rows
+    numbered = met.select("*", (F.col("turn") * 100 + F.col("step")).alias("ord"), (F.col("turn") * 1_000_000 + F.col("ms")).alias("at_ms"), F.lit(None).cast("string").alias("principal"), F.lit(True).alias("retryable"))
+    return leases.decisions(numbered, PICKING).select("unit_id", "queue_id", "ord", "command", "disposition", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("attempt_number", "attempt_index")))

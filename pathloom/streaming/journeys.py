@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from pathloom.operators.leases import COMMAND, DECISION, Turns
 from pathloom.operators.replay import JOURNEY, Plan, ReplayError, Unit
 
 
@@ -52,6 +53,26 @@ def replay_stream(turns: DataFrame, graph: dict) -> DataFrame:
     return turns.groupBy("unit_id").applyInPandasWithState(run, JOURNEY, "last bigint, unit binary", "append", GroupStateTimeout.NoTimeout)
 
 
+def lease_stream(commands: DataFrame, graph: dict) -> DataFrame:
+    """The decisions on a stream of commands, with the state of a unit's turns at a node kept by their key; ``ord`` orders the
+    commands of one batch, and a command at or below the last one seen has its decision already."""
+    nodes = {n["nodeId"]: n for n in graph["nodes"]}
+
+    def run(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, turns = -1, Turns(nodes.get(key[1]))
+        if state.exists:
+            last, blob = state.get
+            turns = pickle.loads(blob)
+        rows = pd.concat(list(batches)).sort_values("ord").astype(object)
+        new = [c for c in rows.where(rows.notna(), None).to_dict("records") if c["ord"] > last]
+        made = [turns.decide(c) for c in new]
+        state.update((int(new[-1]["ord"]) if new else last, pickle.dumps(turns)))
+        if made:
+            yield pd.DataFrame(made)[[f.split(" ")[0] for f in DECISION.split(", ")]]
+
+    return commands.select(*COMMAND).groupBy("unit_id", "node_id").applyInPandasWithState(run, DECISION, "last bigint, turns binary", "append", GroupStateTimeout.NoTimeout)
+
+
 def append_once(path: str, keys: list[str]):
     """A ``foreachBatch`` function that appends rows whose keys the table at ``path`` lacks, so a batch that runs again
     adds nothing."""
