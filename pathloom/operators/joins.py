@@ -52,3 +52,18 @@ def envelopes(disposed: DataFrame, join: list[str], payload_json: str) -> DataFr
     taken = disposed.where("disposition = 'accepted' and fired_at is not null")
     parts = F.transform(F.sort_array(F.collect_list(F.struct("edge_ord", "edge_id", F.col(payload_json).alias("p")))), lambda x: F.concat(F.lit('{"edgeId":"'), x["edge_id"], F.lit('","payload":'), x["p"], F.lit("}")))
     return taken.groupBy(*join).agg(F.concat(F.lit('{"inputs":['), F.array_join(parts, ","), F.lit("]}")).alias("envelope_json"))
+
+
+def progress(journey: DataFrame, graph: dict) -> DataFrame:
+    """``unit_id, node_id, edge_id, edge_ord, need, state`` of every join's inbound edges in each unit of replayed journeys."""
+    rows = []
+    for n in graph["nodes"]:
+        if "join" in n:
+            edges, require = n["join"]["inbound"], n["join"]["require"]
+            rows += [(n["nodeId"], e, k, len(edges) if require == "all" else require["nOf"]) for k, e in enumerate(edges)]
+    inbound = journey.sparkSession.createDataFrame(rows, "node_id string, edge_id string, edge_ord int, need bigint")
+    effects = journey.select("unit_id", F.explode("effects").alias("e")).where("e.kind = 'join_impossible' or (e.kind = 'join_offer' and e.disposition = 'accepted')")
+    known = effects.select("unit_id", F.col("e.node_id").alias("node_id"), F.col("e.edge_ids")[0].alias("edge_id"), F.when(F.col("e.kind") == "join_offer", "offered").otherwise("impossible").alias("state"))
+    every = journey.select("unit_id").distinct().join(F.broadcast(inbound))  # a graph has at most 2,048 edges
+    met = every.join(known, ["unit_id", "node_id", "edge_id"], "left")
+    return met.select("unit_id", "node_id", "edge_id", "edge_ord", "need", F.coalesce("state", F.lit("pending")).alias("state"))

@@ -88,6 +88,11 @@ def claim(open_: DataFrame, batch: int, cursor: str | None = None) -> DataFrame:
     return rows.drop("node_head", "lane_head").join(chosen, ["node_id", "ref_id", "lane"], "left_semi").orderBy("enqueue_sequence").limit(batch)
 
 
+def claimable(open_: DataFrame, graphs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(open occurrences of a worker's graphs, those withheld from it), by ``graph_digest``."""
+    return open_.join(graphs, "graph_digest", "left_semi"), open_.join(graphs, "graph_digest", "left_anti")
+
+
 def goal_closures(nodes: DataFrame, members: DataFrame, resolutions: DataFrame) -> DataFrame:
     """Each unit's goals: closed by its one resolution, else unentered, else dead when a member is dead and none open, else open.
 
@@ -117,6 +122,18 @@ def waits(events: DataFrame, unit: str, at: str, tie: str) -> DataFrame:
     return events.withColumn("wait_ms", F.timestamp_diff("MILLISECOND", before, F.col(at))).where("wait_ms is not null")
 
 
+def durations(events: DataFrame, unit: str, at: str) -> DataFrame:
+    """Milliseconds from each unit's first record to its last."""
+    return events.groupBy(unit).agg(F.timestamp_diff("MILLISECOND", F.min(at), F.max(at)).alias("duration_ms"))
+
+
+def node_measures(journey: DataFrame) -> DataFrame:
+    """Each node's turns, retries (failures that may run again), dead letters, and units that came."""
+    failed = F.col("kind") == "turn_failed"
+    dead = failed & F.coalesce(F.col("terminal"), F.lit(False))
+    return _turns(journey).groupBy("node_id").agg(F.count("*").alias("turns"), F.count_if(failed & ~dead).alias("retries"), F.count_if(dead).alias("dead_letters"), F.countDistinct("unit_id").alias("units"))
+
+
 def percentiles(df: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
     """Discrete percentiles of an integer column."""
     return df.groupBy(by).agg(F.count("*").alias("n"), *(F.expr(f"percentile_disc({p}) within group (order by {value})").cast("bigint").alias(name) for name, p in shares.items()))

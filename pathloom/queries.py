@@ -292,16 +292,16 @@ def gate_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _picking_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of each order on the older picking graph: three picks, of which those whose place and customer add up to a
-    multiple of three are out of stock."""
+    multiple of five are out of stock."""
     pick = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("ord")
     t = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("unit_id"), "o_custkey", pick)
-    outcome = F.when(F.col("ord") == 0, "ready").when((F.col("o_custkey") + F.col("ord")) % 3 == 0, "out").otherwise("done")
+    outcome = F.when(F.col("ord") == 0, "ready").when((F.col("o_custkey") + F.col("ord")) % 5 == 0, "out").otherwise("done")
     nothing = [F.lit(None).cast("string").alias(c) for c in ("output_json", "error_code")]
     return t.select("unit_id", "ord", F.when(F.col("ord") == 0, "received").otherwise(F.concat(F.lit("pick-"), F.col("ord").cast("string"))).alias("node_id"), outcome.alias("outcome"), *nothing, F.lit(None).cast("boolean").alias("retryable"))
 
 
 @query("""SELECT CAST(o_orderkey AS VARCHAR) AS unit_id, CAST(5 + CAST(d < 3 AS INTEGER) AS BIGINT) AS records, d >= 3 AS fired, d < 3 AS unsatisfiable
-FROM (SELECT o_orderkey, CAST((o_custkey + 1) % 3 <> 0 AS INTEGER) + CAST((o_custkey + 2) % 3 <> 0 AS INTEGER) + CAST((o_custkey + 3) % 3 <> 0 AS INTEGER) AS d FROM orders)""")
+FROM (SELECT o_orderkey, CAST((o_custkey + 1) % 5 <> 0 AS INTEGER) + CAST((o_custkey + 2) % 5 <> 0 AS INTEGER) + CAST((o_custkey + 3) % 5 <> 0 AS INTEGER) AS d FROM orders)""")
 def replay_liveness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order replayed: whether its join of all picks fired or became unsatisfiable."""
     made = replay.replay(_picking_turns(spark, sf_dir), PICKING_OLD)
@@ -375,3 +375,26 @@ def lease_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     met = c.join(F.broadcast(script), "kind")  # a few dozen rows
     numbered = met.select("*", (F.col("turn") * 100 + F.col("step")).alias("ord"), (F.col("turn") * 1_000_000 + F.col("ms")).alias("at_ms"), F.lit(None).cast("string").alias("principal"), F.lit(True).alias("retryable"))
     return leases.decisions(numbered, PICKING).select("unit_id", "queue_id", "ord", "command", "disposition", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("attempt_number", "attempt_index")))
+
+
+@query(f"""WITH {EVENT_JOURNEY_SQL} SELECT node_id, count(*) AS turns, count(*) FILTER (kind = 'turn_failed' AND NOT terminal) AS retries, count(*) FILTER (kind = 'turn_failed' AND terminal) AS dead_letters, count(DISTINCT unit_id) AS units
+FROM journey GROUP BY ALL""")
+def node_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns, retries and dead letters of each node."""
+    return paths.node_measures(event_journey(spark, sf_dir))
+
+
+@query("""WITH d AS (SELECT user_id, (epoch_us(max(ts)) - epoch_us(min(ts))) // 1000 AS ms FROM events GROUP BY ALL)
+SELECT 'all' AS units, count(*) AS n, quantile_disc(ms, 0.5) AS p50, quantile_disc(ms, 0.95) AS p95 FROM d""")
+def unit_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Median and 95th percentile of the time from a unit's first event to its last."""
+    d = paths.durations(table(spark, sf_dir, "events"), "user_id", "ts")
+    return paths.percentiles(d.withColumn("units", F.lit("all")), "units", "duration_ms", {"p50": 0.5, "p95": 0.95})
+
+
+@query("""WITH o AS (SELECT o_orderkey, 5 - o_custkey % 5 AS first_out FROM orders)
+SELECT CAST(o_orderkey AS VARCHAR) AS unit_id, 'pick-' || k || '-done' AS edge_id, CASE WHEN k < first_out THEN 'offered' WHEN k = first_out THEN 'impossible' ELSE 'pending' END AS state FROM o, (VALUES (1), (2), (3)) p(k)""")
+def join_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each order's join has from each pick: an offer, no more hope of one, or (once that settles the join) nothing."""
+    made = replay.replay(_picking_turns(spark, sf_dir), PICKING_OLD)
+    return joins.progress(made, PICKING_OLD).select("unit_id", "edge_id", "state")

@@ -43,6 +43,16 @@ def usage_events(turns: DataFrame) -> DataFrame:
     return rows.select("*", F.sha2(body, 256).alias("dedupe_key"))
 
 
+def dead_letters(journey: DataFrame) -> DataFrame:
+    """One row for each failure for good."""
+    return journey.where("kind = 'turn_failed' and terminal").select("unit_id", "sequence", "queue_id", "node_id", "attempt_number", "attempt_index", "error_code")
+
+
+def listed(rows: DataFrame, by: str, unit: str | None = None, limit: int = 100) -> DataFrame:
+    """The first rows of an append-only table in its order ``by``, of one unit or of all."""
+    return (rows if unit is None else rows.where(F.col("unit_id") == unit)).orderBy(by).limit(limit)
+
+
 def integrity(units: DataFrame, occurrences: DataFrame, journey: DataFrame, known: DataFrame) -> DataFrame:
     """``rule, subject`` of rows whose other half is missing; empty for a sound store."""
     checks = [
