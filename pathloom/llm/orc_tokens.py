@@ -13,7 +13,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -95,10 +94,14 @@ class Encoder:
         places = [k for k, x in enumerate(found) if x is None]
         new = [unique[k] for k in places]
         tokenize, names = self.model.tokenize, self.byte_names
-        ids = [[x.id for x in tokenize(w.encode().decode("latin-1").translate(names))] for w in new]
+        ids, sizes = [], []  # flat: a list kept for each word would keep the garbage collector busy
+        for w in new:
+            found_ids = tokenize(w.encode().decode("latin-1").translate(names))
+            sizes.append(len(found_ids))
+            ids += [x.id for x in found_ids]
         self.known.update(zip(new, range(n, n + len(new)), strict=True))
-        self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, ids), np.int64, len(ids))])
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), np.int32)])
+        self.sizes = np.concatenate([self.sizes, np.array(sizes, np.int64)])
+        self.ids = np.concatenate([self.ids, np.array(ids, np.int32)])
         for k, number in zip(places, range(n, n + len(new)), strict=True):
             found[k] = number
         return np.array(found, np.int64)
