@@ -41,6 +41,25 @@ def test_targets_and_words(which, request):
     assert sorted(map(str, mixture.mix(df).collect())) == sorted(map(str, rows))
 
 
+def test_small_sources_meet_their_targets(spark, monkeypatch):
+    """Blocks above one word, sources below one block and sources whose last block is short."""
+    monkeypatch.setattr(mixture, "SLOTS", 16)
+    sizes = {"a": 300, "b": 1000, "c": 1500, "d": 6007, "e": 1, "f": 70_001, "g": 90_000, "h": 40_123}
+    rows = []
+    for s, n in sizes.items():
+        while n:
+            size = min(n, 7 + 13 * (len(rows) % 11))
+            rows.append((len(rows), "w " * size, s))
+            n -= size
+    taken, total = defaultdict(int), 1.5 * sum(sizes.values())
+    for r in mixture.mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect():
+        taken[r.source] += r.taken
+        assert 0 <= r.taken <= 2 * r.size
+    assert total // 16 > 4096
+    for s, t in _brute_targets(sizes).items():
+        assert taken[s] == pytest.approx(t, rel=0.006, abs=5), s
+
+
 def test_schedule_is_ranked_and_even(spark):
     sources = spark.createDataFrame([(0, 50.0), (1, 30.0), (2, 0.0), (3, 20.0)], "id int, target double")
     rows = sorted(map(tuple, mixture.schedule(sources, 20_000, spark).collect()))
