@@ -7,7 +7,7 @@ ancestor directory that has a licence file (LICENSE, LICENCE, COPYING, UNLICENSE
 directories are exploded, root last, and joined by path.
 
 Defined cases: a null or empty text has no statement; a null path has no directories and inherits nothing; of
-equal scores the first template by name wins, of licence files in one directory the best score, then the first
+equal scores the first template by name wins, but "All rights reserved" only counts where no other licence is stated; of licence files in one directory the best score, then the first
 path; rows that repeat a path are files of their own; an empty table gives no rows.
 """
 
@@ -23,28 +23,126 @@ from pyspark.sql import functions as F
 
 from pathloom.llm.shared import map_text, written
 
-#: Statements of well-known licences, in common wordings; fixed values.
+_DISCLAIMER = (
+    " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO,"
+    " THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."
+)
+_BSD_2 = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+    " 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+    " 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer"
+    " in the documentation and/or other materials provided with the distribution."
+)
+_BSD_3 = _BSD_2 + (
+    " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software"
+    " without specific prior written permission."
+)
+_FSF = "Free Software Foundation, Inc."
+
+
+def _gnu(what: str, name: str, version: str, mark: str) -> str:
+    """The notice that a file under a GNU licence begins with."""
+    return (
+        f"This {what} is free software{mark} you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation,"
+        f" either version {version} of the License, or (at your option) any later version."
+    )
+
+
+def _gnu_only(what: str, name: str, version: str) -> str:
+    return f"This {what} is free software; you can redistribute it and/or modify it under the terms of the GNU {name} version {version} as published by the Free Software Foundation."
+
+
+def _cc(name: str) -> str:
+    """The opening of a Creative Commons licence."""
+    return (
+        f"Creative Commons {name} International Public License. By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions"
+        f" of this Creative Commons {name} International Public License"
+    )
+
+
+#: Statements of well-known licences, in common wordings: notices in a sentence, the headers of files, and of the
+#: licences' own texts the whole (of short ones) or the sections that tell them from others; fixed values.
 TEMPLATES = {
-    "AGPL-3.0": ("Licensed under the GNU Affero General Public License, version 3.",),
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0"),
-    "BSD-2-Clause": ("Licensed under the BSD 2-Clause License.", "SPDX-License-Identifier: BSD-2-Clause"),
-    "BSD-3-Clause": ("Licensed under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause"),
-    "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    "CC0-1.0": ("Dedicated to the public domain under the CC0 1.0 license.",),
-    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0"),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0"),
-    "LGPL-3.0": ("Licensed under the GNU Lesser General Public License, version 3.",),
-    "MIT": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "SPDX-License-Identifier: MIT"),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
+    "AGPL-3.0": (
+        "Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0", _gnu("program", "Affero General Public License", "3", ":"),
+        "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 " + _FSF,
+    ),
+    "Apache-2.0": (
+        "Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+    ),
+    "BSD-2-Clause": ("Licensed under the BSD 2-Clause License.", "SPDX-License-Identifier: BSD-2-Clause", _BSD_2 + _DISCLAIMER),
+    "BSD-3-Clause": (
+        "Licensed under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause", _BSD_3 + _DISCLAIMER,
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    ),
+    "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", _cc("Attribution 4.0")),
+    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", _cc("Attribution-NonCommercial 4.0")),
+    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", _cc("Attribution-ShareAlike 4.0")),
+    "CC0-1.0": (
+        "Dedicated to the public domain under the CC0 1.0 license.", "SPDX-License-Identifier: CC0-1.0",
+        "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.",
+        "The laws of most jurisdictions throughout the world automatically confer exclusive Copyright and Related Rights (defined below) upon the creator and subsequent owner(s)",
+    ),
+    "GFDL-1.2": ("Licensed under the GNU Free Documentation License, Version 1.2.", "GNU Free Documentation License Version 1.2, November 2002 Copyright (C) 2000,2001,2002 " + _FSF),
+    "GFDL-1.3": (
+        "Licensed under the GNU Free Documentation License, Version 1.3.",
+        "GNU Free Documentation License Version 1.3, 3 November 2008 Copyright (C) 2000, 2001, 2002, 2007, 2008 " + _FSF,
+    ),
+    "GPL-1.0": (_gnu("program", "General Public License", "1", ";"), "GNU GENERAL PUBLIC LICENSE Version 1, February 1989 Copyright (C) 1989 " + _FSF),
+    "GPL-2.0": (
+        "This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0",
+        _gnu("program", "General Public License", "2", ";"), _gnu_only("program", "General Public License", "2"),
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 " + _FSF,
+    ),
+    "GPL-3.0": (
+        "This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0",
+        _gnu("program", "General Public License", "3", ":"), _gnu_only("program", "General Public License", "3"),
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 " + _FSF,
+    ),
+    "ISC": (
+        "Licensed under the ISC License.", "SPDX-License-Identifier: ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,"
+        " provided that the above copyright notice and this permission notice appear in all copies.",
+    ),
+    "LGPL-2.0": (
+        "Licensed under the GNU Library General Public License, version 2.", "SPDX-License-Identifier: LGPL-2.0", _gnu("library", "Library General Public License", "2", ";"),
+        "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1991 " + _FSF,
+    ),
+    "LGPL-2.1": (
+        "Licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-2.1", _gnu("library", "Lesser General Public License", "2.1", ";"),
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 " + _FSF,
+    ),
+    "LGPL-3.0": (
+        "Licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0", _gnu("library", "Lesser General Public License", "3", ":"),
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 " + _FSF,
+    ),
+    "MIT": (
+        "Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "SPDX-License-Identifier: MIT",
+    ),
+    "MPL-1.1": (
+        "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use this file except in compliance with the License.",
+        "Mozilla Public License Version 1.1 1. Definitions. 1.0.1. Commercial Use",
+    ),
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0",
+        "Mozilla Public License Version 2.0 1. Definitions 1.1. Contributor",
+    ),
     "Proprietary": ("All rights reserved.", "Copyright. All rights reserved."),
-}
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense",
+    ),
+}
+#: Says only that rights are kept; where a text has another statement as well, that one counts.
+WEAKEST = "Proprietary"
 TERM = re.compile(r"[^\W_]+")
 #: A statement has one of these terms.
 CUE = re.compile(r"licen[cs]|copyright|permission|public domain|rights reserved", re.I)
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|unlicense)([.\-_].*)?$"
 THRESHOLD = 0.75
+#: Words whose windows are scored at a time.
+CHUNK_WORDS = 4096
 #: Places that the files of one directory are dealt to.
 SALTS = 32
 
@@ -73,46 +171,78 @@ class Scanner:
         vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
         return cls([name for name, _ in said], [len(ts) for _, ts in said], column, idf, math.log(n + 1) + 1, vectors)
 
-    def best(self, text: str) -> tuple[str | None, float]:
-        """The template nearest to any statement of a text, and the cosine."""
-        top: tuple[float, int] = (0.0, 0)
+    def best(self, text: str, threshold: float = THRESHOLD) -> tuple[str | None, float]:
+        """The template nearest to any statement of a text, and the cosine. ``WEAKEST`` only counts if no other template
+        reaches the threshold."""
+        tops: dict[bool, tuple[float, int]] = {True: (0.0, 0), False: (0.0, 0)}
         reach = max(self.lengths)
-        at = 0
-        while found := CUE.search(text, at):
-            # the words around the cue, far enough for the longest template on either side
-            begin, end = found.start(), found.end()
-            left = TERM.findall(text[max(0, begin - 24 * reach) : begin].lower())[-reach:]
-            right = TERM.findall(text[begin : end + 24 * reach].lower())[:reach]
-            top = max(top, self._around(left, right), key=lambda x: (x[0], -x[1]))
-            at = end
+        for begin, end, cues in self._stretches(text, 24 * reach):
+            found = [(m.group().lower(), m.end()) for m in TERM.finditer(text, begin, end)]
+            ends = np.array([e for _, e in found])
+            said = np.zeros(len(found) + 1, np.int64)
+            at = np.searchsorted(ends, cues, side="right")
+            said[at[at < len(found)]] = 1
+            words = [w for w, _ in found]
+            for first in range(0, len(words), CHUNK_WORDS):
+                last = first + CHUNK_WORDS + reach - 1
+                for k, score in self._scores(words[first:last], said[first : min(last, len(words))]):
+                    weak = self.names[k] == WEAKEST
+                    if (score, -k) > (tops[weak][0], -tops[weak][1]):
+                        tops[weak] = (score, k)
+        top = max(tops.values(), key=lambda x: (x[0], -x[1])) if tops[False][0] < threshold else tops[False]
         return (self.names[top[1]], float(top[0])) if top[0] > 0 else (None, 0.0)
 
-    def _around(self, left: list[str], right: list[str]) -> tuple[float, int]:
-        words = left + right
+    @staticmethod
+    def _stretches(text: str, around: int):
+        """(begin, end, cues) of the parts of a text that lie near cues."""
+        begin, end, cues = 0, -1, []
+        for found in CUE.finditer(text):
+            at = found.start()
+            if cues and at - around > end:
+                yield begin, end, cues
+                cues = []
+            begin = begin if cues else max(0, at - around)
+            end = min(len(text), at + around)
+            cues.append(at)
+        if cues:
+            yield begin, end, cues
+
+    def _scores(self, words: list[str], said: np.ndarray):
+        """For each length of templates, (template, cosine) of the best window of so many words that has a cue."""
         ids = np.array([self.column.get(w, -1) for w in words])
-        size = len(ids)
-        top: tuple[float, int] = (0.0, 0)
+        weights = np.where(ids >= 0, self.idf[ids], self.unknown)
+        # what each word adds to the product with each template; windows are differences of running sums
+        parts = np.where(ids[:, None] >= 0, self.vectors.T[ids] * weights[:, None], 0.0)
+        sums, cues = np.vstack([np.zeros((1, parts.shape[1])), np.cumsum(parts, axis=0)]), np.concatenate([[0], np.cumsum(said)])
         for n in sorted(set(self.lengths)):
+            if n > len(words):
+                break
             kinds = [k for k, m in enumerate(self.lengths) if m == n]
-            for start in range(max(0, len(left) - n + 1), max(0, min(len(left), size - n)) + 1):
-                window = ids[start : start + n]
-                known = window[window >= 0]
-                if 2 * len(known) < n:
-                    continue
-                counts = np.bincount(known, minlength=len(self.idf)) * self.idf
-                norm = math.sqrt(float(counts @ counts) + sum(c * c for c in self._unknown(words[start : start + n])))
-                scores = self.vectors[kinds] @ counts / norm
-                k = int(scores.argmax())
-                if scores[k] > top[0] + 1e-12:
-                    top = (float(scores[k]), kinds[k])
-        return top
-
-    def _unknown(self, words: list[str]) -> list[float]:
+            places = np.flatnonzero(cues[n:] > cues[:-n])
+            if not len(places):
+                continue
+            products = (sums[n:] - sums[:-n])[places][:, kinds]
+            scores = products / np.sqrt(self._squares(words, weights, n)[places])[:, None]
+            for j, k in enumerate(kinds):
+                yield k, round(float(scores[:, j].max()), 12)
+
+    @staticmethod
+    def _squares(words: list[str], weights: np.ndarray, n: int) -> np.ndarray:
+        """The squared norms of all windows of n words: a word that is there c times weighs c times."""
         counts: dict[str, int] = {}
-        for w in words:
-            if w not in self.column:
-                counts[w] = counts.get(w, 0) + 1
-        return [c * self.unknown for c in counts.values()]
+        out, total, w = [], 0.0, weights.tolist()
+        for k, word in enumerate(words):
+            c = counts.get(word, 0)
+            total += w[k] * w[k] * (2 * c + 1)
+            counts[word] = c + 1
+            if k >= n:
+                old = words[k - n]
+                c = counts[old]
+                total -= w[k - n] * w[k - n] * (2 * c - 1)
+                counts[old] = c - 1
+            if k >= n - 1:
+                out.append(total)
+        return np.array(out)
 
 
 def fit(df: DataFrame, text: str = "text", templates: dict[str, tuple[str, ...]] = TEMPLATES) -> Scanner:
@@ -139,7 +269,7 @@ def scan(df: DataFrame, key: str = "doc_id", path: str = "path", text: str = "te
     shared = spark.sparkContext.broadcast(scanner or fit(df, text))  # a few hundred terms
 
     def fn(texts: list[str]) -> list[list]:
-        found = [shared.value.best(t) for t in texts]
+        found = [shared.value.best(t, threshold) for t in texts]
         return [[n for n, _ in found], [s for _, s in found]]
 
     files = df.select(F.col(key).alias("key"), F.col(path).alias("path"), F.col(text).alias("text"))

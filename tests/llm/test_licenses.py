@@ -29,6 +29,44 @@ def test_noise_and_places():
     assert scanner.best("nothing of the kind")[0] is None and scanner.best("")[0] is None
 
 
+GNU = "you can redistribute it and/or modify\n# it under the terms of the GNU {} as published by\n# the Free Software Foundation{} either version {} of the License, or\n# (at your option) any later version.\n"
+BSD = """Copyright (c) 2019, Some Body. All rights reserved.
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution.
+{}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."""
+CLAUSE = "3. Neither the name of Some Body nor the names of its contributors may be used to endorse or promote products\nderived from this software without specific prior written permission.\n"
+REAL = [
+    ("GPL-3.0", "# This program is free software: " + GNU.format("General Public License", ",", 3) + "# This program is distributed in the hope that it will be useful"),
+    ("GPL-2.0", "# This program is free software; " + GNU.format("General Public License", ";", 2)),
+    ("AGPL-3.0", "# This program is free software: " + GNU.format("Affero General Public License", ",", 3)),
+    ("LGPL-2.1", "# This library is free software; " + GNU.format("Lesser General Public License", ";", "2.1")),
+    ("LGPL-3.0", "# This library is free software: " + GNU.format("Lesser General Public License", ",", 3)),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\nCopyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\nEveryone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("BSD-2-Clause", BSD.format("")),
+    ("BSD-2-Clause", BSD.format("").replace(" All rights reserved.", "")),
+    ("BSD-3-Clause", BSD.format(CLAUSE)),
+    ("ISC", "Copyright 2020 Some Body\nPermission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use"),
+    ("Apache-2.0", "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/\nTERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n1. Definitions."),
+    ("MIT", "Copyright (c) 2020 Some Body. All rights reserved.\nReleased under the MIT License."),
+    ("Proprietary", "Copyright (c) 2020 Some Body. All rights reserved."),
+]
+
+
+def test_files_headers_and_texts():
+    spoken = {t: 80 for t in "the of to and in or a is this that it for with any be by you are as under".split()}
+    for frequencies, n in (({}, 0), (spoken, 100)):
+        scanner = licenses.Scanner.of(licenses.TEMPLATES, frequencies, n)
+        for name, text in REAL:
+            for around in ("{}", "import os\n" * 50 + "{}\n" + "x = 1\n" * 3000):
+                found, score = scanner.best(around.format(text))
+                assert found == name and score >= licenses.THRESHOLD, (name, found, score, text)
+
+
 def test_inheritance(spark):
     mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
     files = [
