@@ -1,10 +1,12 @@
-"""Document fingerprints: closed syncmers over words.
+"""Document fingerprints: closed syncmers over words, or characters where there are no words.
 
-Units are runs of visible characters, at most 12 long. A k-mer of units is an anchor when the least of its inner
+Units are runs of visible characters, cut to 12 where they are longer. Cuts depend on where a run starts, so single
+characters are the units of scripts that are written without spaces, of runs of more than LONG characters, and of
+texts of fewer than k runs. A text's edited form and its next text are read in the text's own units. A k-mer of units is an anchor when the least of its inner
 s-mers, by hash, lies at one of its edges. The choice looks at the k-mer alone, so texts that share a passage
 share its anchors whatever stands around it, and their positions match up to an offset.
 
-Defined cases: a null text is an empty one, without anchors; a text of fewer than k units, or
+Defined cases: a null text is an empty one, without anchors; a text of fewer than k characters, or
 with none chosen, has one anchor, its whole; two texts without anchors are alike (1.0), one without and one with aren't (0.0); texts of any length are
 read whole. In descending order of ids null comes last and rows of one id stand by the hash of their texts; the
 only document is its own next.
@@ -18,20 +20,40 @@ from pyspark.sql import functions as F
 from pathloom.llm.shared import let
 
 K, S = 4, 2
-UNIT = r"\S{1,12}"
+#: Thai, Lao, Burmese and Khmer; Han, kana and their marks, also beyond the basic plane.
+UNSPACED = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\u30FF\u3400-\u9FFF\uF900-\uFAFF\uFF01-\uFF9F\x{20000}-\x{3FFFF}"
+UNIT = rf"[{UNSPACED}]|[^\s{UNSPACED}]{{1,12}}"
+#: A run of so many characters has K units of 12; one that starts elsewhere in it shares none of them.
+LONG = 48
+LONG_RUN = rf"(?<!\S)\S{{{LONG + 1}}}"
+#: K runs.
+WORDS = r"\S" + r"\s++\S++" * (K - 2) + r"\s++\S"
 #: Ids to a bucket of neighbours, and buckets to a group of them.
 BUCKET, GROUP = 512, 2048
 LAST = -(1 << 62)
 
 
+def few_words(text: Column) -> Column:
+    """Whether a text has fewer than K runs, so that its units are characters."""
+    return ~F.coalesce(text, F.lit("")).rlike(WORDS)
+
+
+def units(text: Column, characters: Column) -> Column:
+    """The units of a text, ``array<string>``; single characters where ``characters`` holds."""
+    text = F.coalesce(text, F.lit(""))
+    all_of = lambda t, pattern: F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+    by_run = F.flatten(F.transform(all_of(text, r"\S+"), lambda r: F.when(F.length(r) > LONG, all_of(r, r"\S")).otherwise(all_of(r, UNIT))))
+    return F.when(characters, all_of(text, r"\S")).when(text.rlike(LONG_RUN), by_run).otherwise(all_of(text, UNIT))
+
+
 def positions_and_anchors(text: Column) -> Column:
     """The anchors of a text with their positions in units, ``array<struct<at, anchor>>``."""
-    return let(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(UNIT), F.lit(0)), lambda u: let(_smers(u), lambda s: _chosen(u, s, lambda i, a: F.struct(i.alias("at"), a.alias("anchor")))))
+    return let(units(text, few_words(text)), lambda u: let(_smers(u), lambda s: _chosen(u, s, lambda i, a: F.struct(i.alias("at"), a.alias("anchor")))))
 
 
-def anchors(text: Column) -> Column:
+def anchors(text: Column, characters: Column | None = None) -> Column:
     """The anchors of a text in their order, ``array<int>``."""
-    return let(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(UNIT), F.lit(0)), lambda u: let(_smers(u), lambda s: _chosen(u, s, lambda i, a: a)))
+    return let(units(text, few_words(text) if characters is None else characters), lambda u: let(_smers(u), lambda s: _chosen(u, s, lambda i, a: a)))
 
 
 def _smers(units: Column) -> Column:
@@ -87,9 +109,9 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     rows = with_next(df, key, text).withColumn("n_chars", F.length("text").cast("bigint"))
     moved = F.expr("int(n_chars div 3)")
     edited = F.concat(F.left("text", F.col("n_chars").cast("int") - moved), F.left("next_text", moved))
-    rows = rows.withColumn("edited", edited)
+    rows = rows.withColumn("edited", edited).withColumn("few", few_words(F.col("text")))
     for name, column in (("anchors", "text"), ("edited_anchors", "edited"), ("next_anchors", "next_text")):
-        rows = rows.withColumn(name, anchors(F.col(column)))
+        rows = rows.withColumn(name, anchors(F.col(column), F.col("few")))
     return rows.select(
         F.col("key").alias(key), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digest(F.col("anchors")).alias("fingerprint"), digest(F.col("edited_anchors")).alias("edited_fingerprint"),
         likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"), likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"), F.size("anchors").alias("n_anchors"),

@@ -36,6 +36,20 @@ def test_anchors_need_no_context(spark):
     assert set(rows[1].a) <= set(rows[0].a) and len(rows[1].a) >= 4
 
 
+def test_unspaced_passages_and_short_texts(spark):
+    import random
+
+    rng = random.Random(3)
+    han, base64 = ("".join(chr(rng.randint(a, b)) for _ in range(2000)) for a, b in ((0x4E00, 0x9FA5), (0x41, 0x5A)))
+    lines = "\n".join(han[k : k + 40] for k in range(0, 400, 40)) + "\n"
+    pairs = [(han, "x" + han), (base64, "x" + base64), ("some words before it " + base64 + " end", "these words and others before it xy" + base64), (lines, "\u4f60" + lines.replace("\n", " "))]
+    rows = spark.createDataFrame(pairs, "a string, b string").select(syncmers.likeness(syncmers.anchors(F.col("a")), syncmers.anchors(F.col("b"))).alias("like")).collect()
+    assert all(r.like > 0.9 for r in rows), rows
+    short = [(9, han[:30]), (7, "an extraordinarily longwinded"), (5, base64[:45]), (3, "unrelated text that has several words"), (2, "\u4f60\u597d")]
+    got = {r.doc_id: r for r in syncmers.fingerprints(spark.createDataFrame(short, "doc_id bigint, text string")).collect()}
+    assert all(0.3 < got[k].near_edited < 1 and got[k].near_next < 0.1 for k in (9, 7, 5)) and got[2].n_anchors == 1
+
+
 def _check(df):
     docs = sorted(((r.doc_id, r.text or "") for r in df.collect()), key=lambda x: (x[0] is None, -(x[0] or 0)))
     rows = syncmers.fingerprints(df).collect()
