@@ -1,6 +1,9 @@
 import hashlib
+import random
 import re
 
+import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from pathloom.llm import syncmers
@@ -37,8 +40,6 @@ def test_anchors_need_no_context(spark):
 
 
 def test_unspaced_passages_and_short_texts(spark):
-    import random
-
     rng = random.Random(3)
     han, base64 = ("".join(chr(rng.randint(a, b)) for _ in range(2000)) for a, b in ((0x4E00, 0x9FA5), (0x41, 0x5A)))
     lines = "\n".join(han[k : k + 40] for k in range(0, 400, 40)) + "\n"
@@ -78,6 +79,89 @@ def test_fingerprints(prose, monkeypatch):
     assert sorted(map(str, again)) == sorted(map(str, rows))
 
 
+def _xx(*values):
+    """Spark's xxhash64 of strings or longs."""
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else (v & (1 << 64) - 1).to_bytes(8, "little"), seed=seed)
+    return seed
+
+
+def _signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _anchors(units):
+    """{anchor: first position} by the definition."""
+    if len(units) < 4:
+        return {_xx(*units) >> 1: 0} if units else {}
+    s, out = [_signed(_xx(a, b)) for a, b in zip(units, units[1:], strict=False)], {}
+    for k in range(len(units) - 3):
+        if min(s[k : k + 3]) in (s[k], s[k + 2]):
+            out.setdefault(_xx(s[k], s[k + 2]) >> 1, k)
+    return out or {_xx(*units) >> 1: 0}
+
+
+def _fingerprint(text):
+    runs, characters = text.split(), re.findall(r"\S", text)
+    units = characters if len(runs) < 4 else [u for r in runs for u in (re.findall(r"\S{1,12}", r) if len(r) <= 48 else r)]
+    words, fine = {} if len(runs) < 4 else _anchors(units), _anchors(characters) if len(runs) < 16 else {}
+    out = [f"{_xx(*units) :016x}", str(len(words) or len(fine))]
+    for found in (words, fine):
+        least = sorted(found)[:64]
+        out += ["-".join(f"{x:016x}" for x in least), "-".join(str(found[x]) for x in least)]
+    return ".".join(out)
+
+
+def _near(x, y):
+    """The likeness of two fingerprints, from their texts alone."""
+    parts = [[dict(zip([int(h, 16) for h in p[k].split("-") if h], [int(n) for n in p[k + 1].split("-") if n], strict=True)) for k in (2, 4)] for p in (x.split("."), y.split("."))]
+    for k in (1, 0):
+        a, b = parts[0][k], parts[1][k]
+        if a and b:
+            most = min([max(s) for s in (a, b) if len(s) == 64], default=1 << 64)
+            offsets = sorted(a[h] - b[h] for h in a.keys() & b.keys() if h <= most)
+            slack = max(64, max(*a.values(), *b.values()) // 8)
+            return sum(abs(o - offsets[len(offsets) // 2]) <= slack for o in offsets) / len([h for h in a.keys() | b.keys() if h <= most])
+    return float(not any(parts[0]) and not any(parts[1]))
+
+
+def test_fingerprints_and_likeness_by_brute_force(spark, prose):
+    rng = random.Random(8)
+    long = [" ".join(f"w{rng.randint(0, 3000)}" for _ in range(1500)) for _ in range(2)]
+    moved = " ".join(long[0].split()[700:] + long[0].split()[:700])
+    extra = [(-1, long[0]), (-2, long[0].replace("w1", "v1")), (-3, moved), (-4, long[1]), (-5, ""), (-6, " "), (-7, "a b"), (-8, "one two three four five " * 3), (-9, "x" * 200 + " y z w")]
+    docs = sorted([(r.doc_id, r.text) for r in prose.collect()] + extra, reverse=True)
+    got = {r.doc_id: r for r in syncmers.fingerprints(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    for k, (key, text) in enumerate(docs):
+        after = docs[(k + 1) % len(docs)][1]
+        edited = text[: len(text) - len(text) // 3] + after[: len(text) // 3]
+        r, own = got[key], _fingerprint(text)
+        assert (r.fingerprint, r.edited_fingerprint) == (own, _fingerprint(edited)), key
+        assert r.near_edited == pytest.approx(_near(own, _fingerprint(edited))) and r.near_next == pytest.approx(_near(own, _fingerprint(after))), key
+    assert got[-1].near_next > 0.05 and got[-3].near_next < 0.05
+
+
+def test_hot_ids_and_clashing_columns(spark, monkeypatch):
+    """Ids that many rows repeat, with other and with equal texts, null ids, and ids that aren't numbers."""
+    monkeypatch.setattr(syncmers, "HOT", 8)
+    monkeypatch.setattr(syncmers, "HOT_PARTS", 10)
+    rows = [(k % 7 if k % 3 else None, f"word{k % 50} of some text that is number {k % 50} here", k) for k in range(300)] + [(5, "copy " * 20, k) for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, bucket int").withColumn("at", F.lit("x")).withColumn("sketch", F.lit(1))
+    got = syncmers.fingerprints(df).collect()
+    assert sorted(str((r.doc_id, r.n_chars)) for r in got) == sorted(str((k, len(t))) for k, t, _ in rows)
+    follows = syncmers.with_next(df, "doc_id", "text").collect()
+    assert sorted(r.next_text for r in follows) == sorted(t for _, t, _ in rows)  # everyone is someone's next, once
+    ids = {}
+    for k, t, _ in rows:
+        ids.setdefault(t, set()).add(k)
+    order = [6, 5, 4, 3, 2, 1, 0, None]
+    for r in follows:
+        assert ids[r.next_text] & {r.key, order[(order.index(r.key) + 1) % 8]}
+    named = df.selectExpr("concat('id-', doc_id) AS doc_id", "text")
+    assert sorted(str(r.doc_id) for r in syncmers.fingerprints(named).collect()) == sorted(str(None if k is None else f"id-{k}") for k, _, _ in rows)
+
+
 def test_odd_rows(odd, nothing, spark):
     distinct = odd.dropDuplicates(["doc_id"])
     _check(distinct)
