@@ -48,7 +48,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every text, learned from the rows that aren't held out."""
     documents = table(spark, sf_dir, "documents")
     model = langid.fit(documents.where(langid.is_training_row()).select("doc_id", "text", "lang"))
-    found = langid.predict(documents.select("doc_id", "text"), model)
+    found = langid.predict(documents.select("doc_id", "text"), model, drop=("text",))
     return found.select("doc_id", (~langid.is_training_row()).alias("held_out"), "lang_pred", "score", "rejected")
 
 
