@@ -4,8 +4,9 @@ Each file holds a range of document ids in ascending order, with the place of ea
 within the file. Readers take stripes in parallel; min/max row indexes and Bloom filters skip stripes and
 row groups when documents are looked up.
 
-Defined cases: a null or empty text has only the end id; null ids come first; rows of one id stand in the
-order of their texts; long texts are encoded whole; an empty table gives no rows.
+Defined cases: a null or empty text has only the end id; null ids come first; ids may be of any type that sorts; rows of one id stand in the
+order of their texts; long texts are encoded whole; an empty table gives no rows; columns but the id and the text are left
+out, so none can clash. The string of a special token in a text becomes its id, as the library's plain call has it.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.model._resize_cache(0)  # words come here once
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
@@ -67,7 +68,7 @@ class Encoder:
         owner_words = np.zeros(len(texts), np.int64)
         whole: dict[int, list[int]] = {}
         for k, t in enumerate(texts):
-            if PLAIN.fullmatch(t):
+            if PLAIN.fullmatch(t) and not any(a in t for a in self.added):
                 found = WORDS.findall(t)
                 owner_words[k] = len(found)
                 words += found
@@ -129,24 +130,26 @@ def write(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", voc
             before = int(ends[-1])
             yield pa.RecordBatch.from_arrays([piece.column(piece.schema.get_field_index(key)), lists, starts], ["key", "ids", "before"])
 
-    ranged = df.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).repartitionByRange("key").sortWithinPartitions("key", "text")
+    kind = dict(df.select(key).dtypes)[key]
+    ranged = df.select(F.col(key).alias("key"), F.col(text).alias("text")).repartitionByRange("key").sortWithinPartitions("key", "text")
     key, text = "key", "text"
     (
-        ranged.mapInArrow(run, "key bigint, ids array<int>, before bigint")
-        .write.option("compression", "zstd").option("orc.stripe.size", STRIPE_BYTES).option("orc.row.index.stride", ROW_INDEX_STRIDE)
+        ranged.mapInArrow(run, f"key {kind}, ids array<int>, before bigint")
+        .write.option("maxRecordsPerFile", 0)  # ``before`` counts from the start of a partition, so each is one file
+        .option("compression", "zstd").option("orc.stripe.size", STRIPE_BYTES).option("orc.row.index.stride", ROW_INDEX_STRIDE)
         .option("orc.create.index", "true").option("orc.bloom.filter.columns", "key").option("orc.bloom.filter.fpp", BLOOM_FPP)
         .orc(path)
     )
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of written files, and the file of each."""
-    return spark.read.schema("key bigint, ids array<int>, before bigint").orc(path).withColumn("file", F.col("_metadata.file_name"))
+def read(spark: SparkSession, path: str, kind: str = "bigint") -> DataFrame:
+    """The rows of written files, and the file of each; ``kind`` is the type of the ids."""
+    return spark.read.schema(f"key {kind}, ids array<int>, before bigint").orc(path).withColumn("file", F.col("_metadata.file_name"))
 
 
-def lookup(spark: SparkSession, path: str, keys: list[int]) -> DataFrame:
+def lookup(spark: SparkSession, path: str, keys: list, kind: str = "bigint") -> DataFrame:
     """The ids of some documents; stripes and row groups without them are skipped by their metadata."""
-    return read(spark, path).where(F.col("key").isin([int(k) for k in keys])).select("key", "ids")
+    return read(spark, path, kind).where(F.col("key").isin(list(keys))).select("key", "ids")
 
 
 def summed(df: DataFrame) -> DataFrame:
@@ -161,18 +164,20 @@ def summed(df: DataFrame) -> DataFrame:
             crcs = [zlib.crc32(data[b - 4 * n : b]) for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("file"), batch.column("before"), pa.array(sizes), pa.array(crcs, pa.int64())], ["key", "file", "before", "n_tokens", "ids_crc32"])
 
-    return df.select("key", "file", "before", "ids").mapInArrow(run, "key bigint, file string, before bigint, n_tokens bigint, ids_crc32 bigint")
+    kind = dict(df.select("key").dtypes)["key"]
+    return df.select("key", "file", "before", "ids").mapInArrow(run, f"key {kind}, file string, before bigint, n_tokens bigint, ids_crc32 bigint")
 
 
-def catalogue(spark: SparkSession, path: str) -> DataFrame:
+def catalogue(spark: SparkSession, path: str, kind: str = "bigint", key: str = "doc_id") -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of written files; start counts the ids of all documents before.
 
-    Starts are a document's place in its file plus the ids in earlier files: a running sum over one row a file.
+    Starts are a document's place in its file plus the ids in earlier files: a running sum, in one task, over one row a
+    file, of which there are as many as partitions.
     """
-    rows = written(summed(read(spark, path)), "orc-catalogue")
+    rows = written(summed(read(spark, path, kind)), "orc-catalogue")
     files = rows.groupBy("file").agg(F.min("key").alias("least"), F.sum("n_tokens").alias("n"))
     files = files.select("file", (F.sum("n").over(Window.orderBy(F.col("least").asc_nulls_first(), "file")) - F.col("n")).alias("offset"))
-    return rows.join(files, "file").select(F.col("key").alias("doc_id"), (F.col("offset") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    return rows.join(files, "file").select(F.col("key").alias(key), (F.col("offset") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def encode_table(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -180,4 +185,4 @@ def encode_table(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     spark = df.sparkSession
     path = new_path(spark, "orc-tokens")
     write(df, path, key, text)
-    return catalogue(spark, path)
+    return catalogue(spark, path, dict(df.select(key).dtypes)[key], key)

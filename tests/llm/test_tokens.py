@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pathloom.llm import byte_bpe, orc_tokens
@@ -48,7 +49,6 @@ def test_empty_tables(nothing, spark):
 
 def test_orc_catalogue(odd, prose):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     rows = odd.select("doc_id", "text").union(prose.select("doc_id", "text"))
     ordered = sorted(rows.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text is not None, r.text or ""))
     want, start = [], 0
@@ -70,7 +70,42 @@ def test_orc_files_are_read_by_metadata(spark, prose, tmp_path):
     assert "PushedFilters: [In(key" in found._jdf.queryExecution().toString()
 
 
-@pytest.mark.parametrize("text", ["", " ", "\n", "a b²³", "it's 'll we'LL -- '' 's's", "你好 <|endoftext|> a", "\x1c \x85x", "héllo wörld don't  stop\n\n foo123 bar_baz 'sabc \r\n\t x"])
+def _rows_read(df):
+    """Rows that the scan of an executed plan gave out."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    scan = plan.collectLeaves().apply(0)
+    return scan.metrics().apply("numOutputRows").value()
+
+
+def test_row_groups_and_absent_ids_are_skipped(spark, tmp_path):
+    """One file of 5,000 even ids: a lookup reads one row group, and none where the Bloom filter knows the id to be absent."""
+    path = str(tmp_path / "ids")
+    orc_tokens.write(spark.range(5000).selectExpr("id * 2 AS doc_id", "concat('text number ', id) AS text").repartition(1), path)
+    assert spark.read.orc(path).select(F.input_file_name()).distinct().count() == 1
+    assert _rows_read(orc_tokens.read(spark, path)) == 5000
+    found = orc_tokens.lookup(spark, path, [4444])
+    assert _rows_read(found) <= orc_tokens.ROW_INDEX_STRIDE and [r.key for r in found.collect()] == [4444]
+    absent = [_rows_read(orc_tokens.lookup(spark, path, [k])) for k in (1, 1999, 4001, 5555, 8887)]
+    assert absent.count(0) >= 4  # a Bloom filter is wrong once in a hundred times
+
+
+def test_files_and_ids_of_any_kind(spark):
+    """A session that limits rows a file changes nothing; ids may be text; clashing columns are left out."""
+    df = spark.range(20).selectExpr("id AS doc_id", "repeat('word ', int(id)) AS text", "'x' AS key", "1 AS before", "2 AS ids", "3 AS file")
+    plain = sorted(map(tuple, orc_tokens.encode_table(df).collect()))
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 3)
+    try:
+        assert sorted(map(tuple, orc_tokens.encode_table(df).collect())) == plain
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    starts = [r[1] for r in plain]
+    assert starts == [sum(r[2] for r in plain[:k]) for k in range(20)]
+    named = orc_tokens.encode_table(df.selectExpr("concat('id-', 10 + doc_id) AS doc_id", "text")).collect()
+    assert sorted((r[1:] for r in named)) == sorted(r[1:] for r in plain) and {r.doc_id for r in named} == {f"id-{10 + k}" for k in range(20)}
+
+
+@pytest.mark.parametrize("text", ["", " ", "\n", "a b²³", "it's 'll we'LL -- '' 's's", "你好 <|endoftext|> a", "a <|endoftext|> b", "\x1c \x85x", "héllo wörld don't  stop\n\n foo123 bar_baz 'sabc \r\n\t x"])
 def test_words_encode_as_whole_texts_do(text):
     e = orc_tokens.encoder()
     assert e.encode(text) == e.tokenizer.encode(text, add_special_tokens=False).ids
