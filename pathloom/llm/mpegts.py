@@ -6,8 +6,10 @@ and, every so many units, a random-access point. ``demux`` parses any such strea
 program tables with their checksums, continuity counters, reassembled elementary packets, time stamps and
 random-access points.
 
-Defined cases: null or empty text is stored as one unit of filler; damaged streams don't raise, but are
-reported (``ok`` false, counted continuity errors, checksum errors); null media parses as an empty stream.
+Defined cases: null or empty text is stored as one unit of filler; texts of any length are stored whole; rows that repeat are
+stored each, equal texts alike; damaged streams don't raise, but are reported (``ok`` false, counted continuity errors,
+checksum errors); null media parses as an empty stream; an empty table gives no rows; extra columns pass, those named like an
+output are replaced.
 """
 
 from __future__ import annotations
@@ -227,24 +229,22 @@ def _reassemble(stream: Stream, p: np.ndarray, at: np.ndarray, starts: np.ndarra
     first = (ends - (PACKET - starts[at]))[opens]
     last = np.concatenate([first[1:], ends[-1:]])
     flags = (control[at] & 2 == 2) & (p[at, 4] > 0) & (p[at, 5] & 0x40 == 0x40)
-    keep = np.zeros(len(joined), bool)
-    place = 0
-    for begin, end, rap in zip(first.tolist(), last.tolist(), flags[opens].tolist(), strict=True):
-        if end - begin < 9 or joined[begin] or joined[begin + 1] or joined[begin + 2] != 1:
-            continue
-        size = int(joined[begin + 4]) << 8 | int(joined[begin + 5])
-        body = begin + 9 + int(joined[begin + 8])
-        stop = min(end, begin + 6 + size) if size else end
-        stamp = -1
-        if joined[begin + 7] & 0x80 and body - begin >= PES_HEAD:
-            s = joined[begin + 9 : begin + PES_HEAD].astype(np.int64)
-            stamp = int((s[0] >> 1 & 7) << 30 | s[1] << 22 | s[2] >> 1 << 15 | s[3] << 7 | s[4] >> 1)
-        keep[body:stop] = True
-        stream.pts.append(stamp)
-        stream.places.append(place)
-        stream.random_access.append(rap)
-        place += max(0, stop - body)
-    stream.data = joined[keep].tobytes()
+    # heads of all packets at once; what is no head (or is cut off) is left out with what follows it
+    head = np.concatenate([joined, np.zeros(PES_HEAD, np.uint8)])[first[:, None] + np.arange(PES_HEAD)].astype(np.int64)
+    fine = (last - first >= 9) & (head[:, 0] == 0) & (head[:, 1] == 0) & (head[:, 2] == 1)
+    first, last, head, rap = first[fine], last[fine], head[fine], flags[opens][fine]
+    size, body = head[:, 4] << 8 | head[:, 5], first + 9 + head[:, 8]
+    stop = np.where(size > 0, np.minimum(last, first + 6 + size), last)
+    body = np.minimum(body, stop)
+    stamp = (head[:, 9] >> 1 & 7) << 30 | head[:, 10] << 22 | head[:, 11] >> 1 << 15 | head[:, 12] << 7 | head[:, 13] >> 1
+    stamped = (head[:, 7] & 0x80 == 0x80) & (head[:, 8] >= PES_HEAD - 9) & (last - first >= PES_HEAD)
+    edges = np.zeros(len(joined) + 1, np.int8)
+    np.add.at(edges, body, 1)
+    np.add.at(edges, stop, -1)
+    stream.data = joined[np.cumsum(edges[:-1]) > 0].tobytes()
+    stream.pts = np.where(stamped, stamp, -1).tolist()
+    stream.places = (np.cumsum(stop - body) - (stop - body)).tolist()
+    stream.random_access = rap.tolist()
 
 
 STREAM_FIELDS = {
@@ -276,12 +276,14 @@ def parse(df: DataFrame, media: str = "media") -> DataFrame:
 
 
 def features(df: DataFrame, media: str = "media") -> DataFrame:
-    """Replaces stored streams by digests of the payload read back, of the stream, and a feature string:
-    programs, packets, elementary packets, random-access points, span of time stamps, mean and deviation of
+    """Replaces stored streams by digests of the payload read back, of the stream, a feature string, and its random-access
+    points with their time stamps.
+
+    Feature: programs, packets, elementary packets, random-access points, span of time stamps, mean and deviation of
     the samples, continuity errors."""
 
     def fn(column: list[bytes]) -> list[list]:
-        out: list[list] = [[] for _ in range(6)]
+        out: list[list] = [[] for _ in range(7)]
         for stored in column:
             stored = stored or b""
             found = demux(stored)
@@ -290,9 +292,10 @@ def features(df: DataFrame, media: str = "media") -> DataFrame:
             n, total, squares = len(samples), int(samples.sum(dtype=np.int64)), int(np.dot(samples.astype(np.float64), samples))
             mean = total / max(n, 1)
             feature = f"programs={len(found.programs)};packets={found.packets};pes={len(s.pts)};rap={sum(s.random_access)};pts={min(s.pts, default=-1)}-{max(s.pts, default=-1)};mean={mean:.4f};sd={max(0.0, squares / max(n, 1) - mean * mean) ** 0.5:.4f};cc_errors={found.continuity_errors};ok={int(found.ok)}"
-            for target, value in zip(out, (n, hashlib.sha256(s.data).hexdigest(), zlib.crc32(s.data[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature), strict=True):
+            points = [{"place": at, "pts": p} for at, p, rap in zip(s.places, s.pts, s.random_access, strict=True) if rap]
+            for target, value in zip(out, (n, hashlib.sha256(s.data).hexdigest(), zlib.crc32(s.data[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, points), strict=True):
                 target.append(value)
         return out
 
-    fields = {"payload_bytes": "bigint", "payload_sha256": "string", "tail_crc32": "bigint", "media_bytes": "bigint", "media_sha256": "string", "feature": "string"}
+    fields = {"payload_bytes": "bigint", "payload_sha256": "string", "tail_crc32": "bigint", "media_bytes": "bigint", "media_sha256": "string", "feature": "string", "access_points": "array<struct<place:bigint,pts:bigint>>"}
     return map_text(df, media, fields, fn, drop=(media,))
