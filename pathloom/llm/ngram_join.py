@@ -5,14 +5,17 @@ share a band of MinHash values are candidates. Candidates are compared increment
 time, and dropped once the posterior probability (uniform prior) that their similarity reaches the threshold
 falls below the tolerance; the rest is verified exactly on the shingle sets.
 
-A bucket of candidates is cut into tiles of two blocks each; a task compares a tile in memory and returns a row per
-class: its number of links there and the least class that the tile's links reach from it. So no pairs are
+A bucket of candidates is cut into tiles of two blocks each, of a bounded number of members and shingles. First a task compares
+the signatures of a tile and tells which members have a candidate left; then the shingle sets of these alone meet in the tile
+and give a row per class: its number of links there and the least class that the tile's links reach from it. So no pairs are
 written, whatever the size of a group, yet every pair is compared, in the first band that it shares. Buckets with
 the same members count once, for the first of their bands. Groups are the connected components of the links.
 
 Defined cases: null, empty and white texts have no shingles, are never linked and are groups of their own; a text of
 fewer than five words is one shingle, so only equal ones link; words are runs of visible characters in lower
-case; rows that repeat an id are documents of their own with one group; an empty table gives no rows.
+case; texts of any length are read whole; rows that repeat an id are documents of their own with one group, and of rows
+that a group keeps alike (same id, same text) the one of the least hash stays; an empty table gives no rows; extra columns
+may have any name.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.shared import map_text, steps, written
+from pathloom.llm.shared import dropped, fresh, map_text, written
 
 WORDS, THRESHOLD = 5, 0.8
 #: A pair of similarity 0.8 shares no band with probability 3e-5, one of 0.85 with 2e-7.
@@ -37,8 +40,8 @@ BANDS, BAND_ROWS = 26, 5
 HASHES = BANDS * BAND_ROWS
 #: MinHash values to a step of the comparison, and the posterior below which a pair is dropped.
 STEP, TOLERANCE = 26, 1e-7
-#: Members of a block; a tile has two.
-BLOCK = 256
+#: Members of a block, and their shingles, on average; a tile has two.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 18
 #: Shingles that are hashed at a time.
 SHINGLES = 4096
 
@@ -74,16 +77,6 @@ def minhash(found: np.ndarray) -> np.ndarray:
     return best
 
 
-def bands(signature: np.ndarray) -> np.ndarray:
-    """A hash of each band of MinHash values."""
-    parts = signature.reshape(*signature.shape[:-1], BANDS, BAND_ROWS).astype(np.uint64)
-    out = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), parts.shape[:-1]).copy()
-    for k in range(BAND_ROWS):
-        out = (out ^ parts[..., k]) * _MIX
-        out ^= out >> np.uint64(29)
-    return out.view(np.int64)
-
-
 @lru_cache
 def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> tuple[tuple[int, int], ...]:
     """(n, m) by steps: of n compared values at least m must match, or the posterior that the similarity reaches
@@ -146,23 +139,22 @@ def _alike(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
     return both >= threshold * (len(a) + len(b) - both) - 1e-9
 
 
-def tile_links(texts: list[str], blocks: np.ndarray, same: bool, band: int, threshold: float = THRESHOLD, words: int = WORDS) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """The sets of a tile's members, and its links as two lists of places. Within one block all pairs count, else
-    those across; a pair that shares an earlier band than ``band`` is left to it."""
-    sets = [shingles(t, words) for t in texts]
-    signatures = np.stack([minhash(s) for s in sets])
-    keys = bands(signatures)
+def candidates(signatures: np.ndarray, blocks: np.ndarray, same: bool, band: int, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a tile's members (places) that pass every step. Within one block all pairs count, else those across; a
+    pair that shares an earlier band than ``band`` is left to it."""
     if same:
-        first, second = np.triu_indices(len(sets), 1)
+        first, second = np.triu_indices(len(signatures), 1)
     else:
         left, right = np.flatnonzero(blocks == blocks.min()), np.flatnonzero(blocks != blocks.min())
         first, second = (x.ravel() for x in np.meshgrid(left, right, indexing="ij"))
-    if not len(first):
-        return sets, first, second
-    own = ~(keys[first, :band] == keys[second, :band]).any(1) if band else np.ones(len(first), bool)
-    first, second = first[own], second[own]
     kept = survivors(signatures[first], signatures[second], threshold)
-    return sets, *linked_pairs(sets, first[kept], second[kept], threshold)
+    first, second = first[kept], second[kept]
+    if band and len(first):
+        shape = (len(signatures), BANDS, BAND_ROWS)
+        early = signatures.reshape(shape)[:, :band]
+        own = ~(early[first] == early[second]).all(2).any(1)
+        first, second = first[own], second[own]
+    return first, second
 
 
 def _roots(n: int, first: np.ndarray, second: np.ndarray) -> list[int]:
@@ -186,77 +178,110 @@ def _name(found: np.ndarray) -> bytes | None:
 
 
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """``key, class, bands`` for each row: a digest of its set of shingles (null: no shingles) and its bands."""
+    """``key, h, class, size, signature`` for each row: a hash of its text, a digest of its set of shingles (null: no shingles),
+    their number and its MinHash values."""
 
     def fn(texts: list[str]) -> list[list]:
-        names: list = []
-        keys: list = []
+        out: list[list] = [[], [], []]
         for t in texts:
             found = shingles(t, words)
-            names.append(_name(found))
-            keys.append(bands(minhash(found)).tolist() if len(found) else None)
-        return [names, keys]
+            for target, value in zip(out, (_name(found), len(found), minhash(found).tobytes() if len(found) else None), strict=True):
+                target.append(value)
+        return out
 
-    return map_text(df.select(F.col(key).alias("key"), F.col(text).alias("text")), "text", {"class": "binary", "bands": "array<bigint>"}, fn, drop=("text",))
+    rows = df.select(F.col(key).alias("key"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    return map_text(rows, "text", {"class": "binary", "size": "int", "signature": "binary"}, fn, drop=("text",))
 
 
-def tiles(df: DataFrame, members: DataFrame, key: str, text: str, words: int = WORDS) -> DataFrame:
-    """``class, weight, text, band, value, low, high, block``: members of the buckets of candidates, once for each
-    tile that they are in."""
-    banded = members.select("class", F.posexplode("bands").alias("band", "value"))
+def buckets(members: DataFrame) -> DataFrame:
+    """``class, band, value, low, high, block``: members of the buckets of candidates, once for each tile that they are in."""
+    hashes = F.array(*(F.xxhash64(F.lit(k), F.substring("signature", 4 * BAND_ROWS * k + 1, 4 * BAND_ROWS)) for k in range(BANDS)))
+    banded = members.select("class", "size", F.posexplode(hashes).alias("band", "value"))
     h = F.xxhash64("class")
-    buckets = banded.groupBy("band", "value").agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 20)).alias("s")).where("n > 1")
+    found = banded.groupBy("band", "value").agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 20)).alias("s"), F.sum("size").alias("size")).where("n > 1")
     # buckets with the same members: the first band compares them
-    firsts = buckets.groupBy("n", "x", "s").agg(F.min(F.struct("band", "value")).alias("b")).select("b.band", "b.value", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.least(F.ceil(F.col("size") / BLOCK_SHINGLES), "n")).cast("int").alias("blocks")
+    firsts = found.groupBy("n", "x", "s", "size").agg(F.min(F.struct("band", "value")).alias("b")).select("b.band", "b.value", blocks)
     placed = banded.join(firsts, ["band", "value"]).withColumn("block", F.pmod(F.xxhash64("class", "band"), F.col("blocks")).cast("int"))
-    placed = written(placed, "join-candidates")
-    wanted = placed.select("class").distinct().join(members.select("class", "weight", F.col("key").alias("least")), "class")
-    # a class's text: of the row of its least id whose shingles are the class's
-    texts = df.select(F.col(key).alias("key"), F.col(text).alias("text")).join(wanted, F.col("key").eqNullSafe(F.col("least"))).select("class", "weight", "text")
-    texts = map_text(texts, "text", {"found": "binary"}, lambda ts: [[_name(shingles(t, words)) for t in ts]])
-    texts = texts.where("found = class").groupBy("class").agg(F.first("weight").alias("weight"), F.first("text").alias("text"))
-    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(texts, "class")
-    return met.select("class", "weight", "text", "band", "value", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block")
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return met.select("class", "band", "value", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block")
+
+
+TILE = ("band", "value", "low", "high")
 
 
-def links(tiled: DataFrame, threshold: float = THRESHOLD, words: int = WORDS) -> DataFrame:
-    """``class, root, links`` of each tile's linked classes: the least class that the tile's links reach from it, and
-    the number of documents in the classes linked to it there."""
-    at = ("band", "value", "low", "high")
+def _by_tile(df: DataFrame, columns: tuple[str, ...], work, schema: str) -> DataFrame:
+    """What ``work`` makes of each tile: of its key and the lists of its columns, sorted by class."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            for piece, texts in steps(iter([batch]), "text"):
-                columns = [piece.column(piece.schema.get_field_index(c)).to_pylist() for c in (*at, "block", "class", "weight")]
-                yield from zip(*columns, texts, strict=True)
+            yield from zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (*TILE, "class", "block", *columns)), strict=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (band, _, low, high), found in groupby(rows(batches), key=lambda r: r[:4]):
-            tile = sorted(found, key=lambda r: r[5])
-            if len(tile) < 2:
+        for at, found in groupby(rows(batches), key=lambda r: r[:4]):
+            members = list(found)
+            blocks = np.array([r[5] for r in members])
+            if len(members) < 2 or (at[2] != at[3] and blocks.min() == blocks.max()):
                 continue
-            blocks = np.array([r[4] for r in tile])
-            if low != high and blocks.min() == blocks.max():
-                continue
-            _, first, second = tile_links([r[7] for r in tile], blocks, low == high, band, threshold, words)
-            if not len(first):
-                continue
-            weights = np.array([r[6] for r in tile])
-            total = np.bincount(first, weights[second], len(tile)) + np.bincount(second, weights[first], len(tile))
-            roots = _roots(len(tile), first, second)
-            linked = np.flatnonzero(total).tolist()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([tile[k][5] for k in linked], pa.binary()), pa.array([tile[roots[k]][5] for k in linked], pa.binary()), pa.array(total[linked].astype(np.int64))], ["class", "root", "links"]
-            )
+            if made := work(at, [r[4] for r in members], blocks, *([r[6 + k] for r in members] for k in range(len(columns)))):
+                yield made
+
+    return df.repartition(*TILE).sortWithinPartitions(*TILE, "class").select(*TILE, "class", "block", *columns).mapInArrow(run, schema)
+
+
+def _signatures(column: list) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint32).reshape(len(column), HASHES)
+
+
+def pruned(placed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``placed`` (buckets with ``signature`` as bytes) whose class has a candidate left in the tile, without the signature."""
+
+    def work(at: tuple, names: list, blocks: np.ndarray, signatures: list) -> pa.RecordBatch | None:
+        first, second = candidates(_signatures(signatures), blocks, at[2] == at[3], at[0], threshold)
+        left = np.union1d(first, second).tolist()
+        if not left:
+            return None
+        columns = [pa.array([at[k]] * len(left), kind) for k, kind in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.int32()))]
+        return pa.RecordBatch.from_arrays([pa.array([names[k] for k in left], pa.binary()), *columns, pa.array(blocks[left], pa.int32())], ["class", *TILE, "block"])
+
+    return _by_tile(placed, ("signature",), work, "class binary, band int, value bigint, low int, high int, block int")
 
-    spread = tiled.repartition(*at).sortWithinPartitions(*at)
-    return spread.select(*at, "block", "class", "weight", "text").mapInArrow(run, "class binary, root binary, links bigint")
+
+def links(tiled: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``class, root, links`` of each tile's linked classes (rows with ``signature, weight, shingles``): the least class that the
+    tile's links reach from it, and the number of documents in the classes linked to it there."""
+
+    def work(at: tuple, names: list, blocks: np.ndarray, signatures: list, weights: list, found: list) -> pa.RecordBatch | None:
+        first, second = candidates(_signatures(signatures), blocks, at[2] == at[3], at[0], threshold)
+        first, second = linked_pairs([np.frombuffer(x, "<u8") for x in found], first, second, threshold)
+        if not len(first):
+            return None
+        weight = np.array(weights)
+        total = np.bincount(first, weight[second], len(names)) + np.bincount(second, weight[first], len(names))
+        roots, linked = _roots(len(names), first, second), np.flatnonzero(total).tolist()
+        columns = [pa.array([names[k] for k in linked], pa.binary()), pa.array([names[roots[k]] for k in linked], pa.binary()), pa.array(total[linked].astype(np.int64))]
+        return pa.RecordBatch.from_arrays(columns, ["class", "root", "links"])
+
+    return _by_tile(tiled, ("signature", "weight", "shingles"), work, "class binary, root binary, links bigint")
+
+
+def _linked(df: DataFrame, members: DataFrame, key: str, text: str, threshold: float, words: int) -> DataFrame:
+    """The links of all tiles: candidates by signatures, then exactly by the shingles of those that are left."""
+    left = written(pruned(buckets(members).join(members.select("class", "signature"), "class"), threshold), "join-candidates")
+    wanted = left.select("class").distinct().join(members.select("class", F.col("key").alias("least"), F.col("h").alias("least_h")), "class")
+    # a class's shingles: of the text of its least id
+    texts = df.select(F.col(key).alias("key"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    texts = texts.join(wanted, F.col("key").eqNullSafe(F.col("least")) & (F.col("h") == F.col("least_h"))).select("class", "text")
+    sets = map_text(texts, "text", {"shingles": "binary"}, lambda ts: [[shingles(t, words).astype("<u8").tobytes() for t in ts]], drop=("text",)).dropDuplicates(["class"])
+    tiled = left.join(members.select("class", "weight", "signature"), "class").join(sets, "class")
+    return links(tiled, threshold)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, label`` of the nodes of ``a, b`` rows: the least node of each one's connected component.
 
-    Labels fall to the least among neighbours and then to their label's label, until none changes.
+    Labels fall to the least among neighbours and then to their label's label, until none changes. A round's labels are
+    a written table; the one before it is removed.
     """
     both = written(edges.union(edges.select("b", "a")).distinct(), "join-edges")
     labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "join-labels")
@@ -265,29 +290,53 @@ def components(edges: DataFrame) -> DataFrame:
         lower = labels.join(near, labels.node == near.a).select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
         fallen = written(lower.join(up, "label").select("node", "was", F.least("label", "up").alias("label")), "join-labels")
+        dropped(labels)
         labels = fallen.select("node", "label")
         if fallen.where("label <> was").isEmpty():
+            dropped(both)
             return labels
 
 
-def groups(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, words: int = WORDS) -> DataFrame:
-    """``key, class_id, links`` for each row: the least key of its group, and the number of other documents of at
-    least the similarity ``threshold`` (equal ones included)."""
+def _groups(df: DataFrame, key: str, text: str, threshold: float, words: int) -> tuple[DataFrame, DataFrame]:
+    """(``key, h, class`` of each row, ``class, label, least, links`` of each class with shingles); ``least`` is the key and hash of the
+    group's first row."""
     known = written(classes(df, key, text, words), "join-known")
-    members = known.where("class is not null").groupBy("class").agg(F.min("key").alias("key"), F.count("*").alias("weight"), F.first("bands").alias("bands"))
-    members = written(members, "join-classes")
-    linked = written(links(tiles(df, members, key, text, words), threshold, words), "join-links")
+    first = F.min(F.struct(F.col("key").isNull(), "key", "h"))  # null ids last
+    members = known.where("class is not null").groupBy("class").agg(first.alias("first"), F.count("*").alias("weight"), F.first("size").alias("size"), F.first("signature").alias("signature"))
+    members = written(members.select("class", "first", "first.key", "first.h", "weight", "size", "signature"), "join-classes")
+    linked = written(_linked(df, members, key, text, threshold, words), "join-links")
     labels = components(linked.where("class <> root").select(F.col("class").alias("a"), F.col("root").alias("b")))
     counts = linked.groupBy("class").agg(F.sum("links").alias("links"))
-    named = members.select("class", "key", "weight").join(labels.withColumnRenamed("node", "class"), "class", "left").join(counts, "class", "left")
-    named = written(named.select("class", "key", F.coalesce("label", "class").alias("label"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("links")), "join-groups")
-    least = named.groupBy("label").agg(F.min("key").alias("class_id"))
-    named = named.join(least, "label").select("class", "class_id", "links")
-    out = known.select("key", "class").join(named, "class", "left")
-    return out.select(F.col("key").alias(key), F.when(F.col("class").isNull(), F.col("key")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    named = members.select("class", "first", "weight").join(labels.withColumnRenamed("node", "class"), "class", "left").join(counts, "class", "left")
+    named = named.select("class", "first", F.coalesce("label", "class").alias("label"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    named = written(named, "join-groups")
+    least = named.groupBy("label").agg(F.min("first").alias("least"))
+    return known.select("key", "h", "class"), named.join(least, "label").select("class", "label", "least", "links")
+
+
+def groups(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, words: int = WORDS) -> DataFrame:
+    """``key, class_id, links`` for each row: the least key of its group, and the number of other documents of at
+    least the similarity ``threshold`` (equal ones included)."""
+    known, named = _groups(df, key, text, threshold, words)
+    met = known.where("class is not null").join(named, "class").select("key", F.col("least.key").alias("class_id"), "links")
+    alone = known.where("class is null").select("key", F.col("key").alias("class_id"), F.lit(0).cast("bigint").alias("links"))
+    return met.union(alone).select(F.col("key").alias(key), "class_id", "links")
 
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``df`` without near copies: of each group the document of the least key stays, once."""
-    kept = groups(df, key, text, threshold).where(F.col(key).eqNullSafe(F.col("class_id"))).select(F.col(key).alias("kept_key")).distinct()
-    return df.join(kept, F.col(key).eqNullSafe(F.col("kept_key")), "left_semi").dropDuplicates([key, text])
+    """The rows of ``df`` without near copies: of each group one row stays, one of the least key (of its texts that of the least hash,
+    of rows that repeat both that of the least hash of all columns); rows without shingles stay."""
+    known, named = _groups(df, key, text, threshold, WORDS)
+    leasts = named.select(F.col("least.key").alias("key"), F.col("least.h").alias("h")).distinct()
+    same = known.groupBy("key", "h").agg(F.count("*").alias("n"), F.bool_or(F.col("class").isNull()).alias("bare"))
+    kept = leasts.join(same.where("not bare"), leasts.key.eqNullSafe(same.key) & (leasts.h == same.h), "inner").select(leasts.key, leasts.h, "n")
+    kept = kept.union(same.where("bare").select("key", "h", F.lit(1).cast("bigint")))
+    at, hashed, n = (fresh(df, name) for name in ("kept_key", "kept_hash", "kept_n"))
+    kept = written(kept.toDF(at, hashed, n), "join-kept")
+    met = df.join(kept, F.col(key).eqNullSafe(F.col(at)) & (F.xxhash64(F.col(text)) == F.col(hashed)))
+    out = met.where(F.col(n) == 1).select(df.columns)
+    if kept.where(F.col(n) > 1).isEmpty():
+        return out
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+    again = met.where(F.col(n) > 1).groupBy(at, hashed).agg(F.min_by(row, F.xxhash64(*(F.col(f"`{c}`").cast("string") for c in df.columns))).alias("row"))
+    return out.union(again.select("row.*"))

@@ -55,6 +55,32 @@ def test_odd_rows(odd, nothing):
     assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "3", "4", "5", "6", "7", "8", "None", "600", "5000"])
 
 
+def test_one_row_of_each_group(spark):
+    """Ids with several texts, rows that repeat id and text, and columns with the names that the join uses."""
+    a, b = "one two three four five six seven eight", "nine ten eleven twelve thirteen fourteen fifteen"
+    df = spark.createDataFrame([(5, a, 1), (7, a, 2), (3, b, 3), (5, b, 4)], "doc_id bigint, text string, kept_key int")
+    assert sorted(map(tuple, ngram_join.one_of_each(df).collect())) == [(3, b, 3), (5, a, 1)]
+    names = ["kept_hash", "kept_n", "KEY", "h", "class", "label", "links"]
+    rows = [(1, a, *range(k, k + 7)) for k in range(40)] + [(2, b, *range(7)), (9, None, *range(7)), (9, None, *range(7)), (None, a, *range(7))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, " + ", ".join(f"{n} int" for n in names))
+    got = ngram_join.one_of_each(df)
+    assert got.columns == df.columns and sorted(str(r.doc_id) for r in got.collect()) == ["1", "2", "9", "9"]
+    assert sorted(map(str, got.collect())) == sorted(map(str, ngram_join.one_of_each(df.repartition(7)).collect()))
+
+
+def test_signatures_alone_prune(spark, prose, monkeypatch):
+    """Blocks bounded by shingles give the same groups, and shingles are only fetched where a candidate is left."""
+    want = sorted(map(str, ngram_join.groups(prose).collect()))
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 300)
+    assert sorted(map(str, ngram_join.groups(prose).collect())) == want
+    rng = np.random.default_rng(1)
+    signatures = rng.integers(0, 1 << 30, (40, ngram_join.HASHES), dtype=np.uint32)
+    signatures[20:] = np.where(rng.random((20, ngram_join.HASHES)) < 0.9, signatures[:20], signatures[20:])
+    first, second = ngram_join.candidates(signatures, np.arange(40) // 20, False, 0)
+    assert sorted(zip(first.tolist(), second.tolist(), strict=True)) == [(k, k + 20) for k in range(20)]
+    assert len(ngram_join.candidates(signatures, np.arange(40) // 20, False, 26)[0]) == 0
+
+
 def test_pruning_keeps_what_reaches_the_threshold():
     rng = np.random.default_rng(3)
     for similarity in (0.8, 0.85, 0.95):

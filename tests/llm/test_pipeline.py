@@ -59,6 +59,25 @@ def test_stages(spark, docs):
     assert sorted((str(r.doc_id), r.ids_sha256) for r in stage["encode"](spark, mixed, "").collect()) == want
 
 
+def test_stages_with_clashing_columns_and_repeated_ids(spark, docs):
+    """Extra columns named like what the stages use pass unchanged, ids with two texts are two documents, and empty tables stay empty."""
+    names = ["times", "pass", "kept_key", "rejected", "score", "lang_pred", "h", "size", "taken", "taken_row", "turn", "class", "key"]
+    wide = docs.selectExpr("*", *(f"'{n}' AS {n}" for n in names))
+    twice = wide.where("doc_id = 10000").selectExpr("doc_id", "concat('another text of the same id, with enough words in it to count, ', doc_id) AS text", "lang", "source", "n_chars", *names)
+    wide, stage = written(wide.union(twice), "test-wide"), dict(corpus_pipeline.STAGES)
+    for name in ("language", "near_copies", "mix"):
+        out = written(stage[name](spark, wide, ""), "test-stage")
+        assert out.columns == wide.columns and out.count() > 0, name
+        assert all(r[n] == n for r in out.collect() for n in names), name
+        if name != "mix":
+            assert out.where("doc_id = 10000").select("text").distinct().count() == out.where("doc_id = 10000").count()
+        wide = out
+    assert {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(stage["encode"](spark, wide, "").columns)
+    empty = docs.where("false")
+    for name, fn in corpus_pipeline.STAGES:
+        assert fn(spark, empty, "").count() == 0, name
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 100 and {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(out.columns)
