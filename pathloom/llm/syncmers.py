@@ -192,15 +192,16 @@ def with_next(df: DataFrame, key: str, text: str) -> DataFrame:
     places = places.withColumn("following", F.lead(place).over(Window.partitionBy("grp").orderBy(*down)))
     follows = places.join(groups, "grp").select(*PLACE, F.coalesce("following", "after").alias("following"))
 
-    near_by = Window.partitionBy(*PLACE).orderBy(F.desc_nulls_last("at"), F.desc("h"))
-    own = F.struct("text", "sketch")
-    lined = rows.withColumn("sketch", sketch(F.col("text"))).repartition(*PLACE)
-    lined = lined.withColumn("next", F.lead(own).over(near_by)).withColumn("n", F.row_number().over(near_by))
-    inner = lined.where("next is not null").select("key", "text", "sketch", "next")
-    heads = lined.where("n = 1").select(place.alias("following"), own.alias("next"))
-    tails = lined.where("next is null").select("key", "text", "sketch", *PLACE).join(follows, PLACE).join(heads, "following")
-    both = inner.union(tails.select("key", "text", "sketch", "next"))
-    return both.select("key", "text", "sketch", F.col("next.text").alias("next_text"), F.col("next.sketch").alias("next_sketch"))
+    # inner rows and tails need the same columns, so that one exchange serves both
+    near_by = Window.partitionBy(*PLACE).orderBy(F.desc_nulls_last("at"), F.desc("h"), F.desc("key"))
+    lined = rows.withColumn("sketch", sketch(F.col("text")))
+    lined = lined.withColumns({"next_text": F.lead("text").over(near_by), "next_sketch": F.lead("sketch").over(near_by)})
+    columns = ["key", "text", "sketch", "next_text", "next_sketch"]
+    inner = lined.where("next_text is not null").select(columns)
+    heads = rows.withColumn("n", F.row_number().over(near_by)).where("n = 1")  # only the first row of a place and task is moved
+    heads = heads.select(place.alias("following"), F.col("text").alias("next_text"), sketch(F.col("text")).alias("next_sketch"))
+    tails = lined.where("next_text is null").select("key", "text", "sketch", *PLACE).join(follows, PLACE).join(heads, "following")
+    return inner.union(tails.select(columns))
 
 
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
