@@ -1,21 +1,26 @@
 """License scans: sparse TF-IDF cosine of headers and licence files to templates, then inheritance by path.
 
-Statements are stretches of words around terms such as "licence" or "copyright", anywhere in a text. Each is
-compared with the templates: terms weigh by their inverse document frequency over all texts, a term that no
-template has weighs like one that no text has. A file without a statement of its own inherits from the nearest
+Statements are windows of words around terms such as "licence" or "copyright", anywhere in a text, whatever stands between the
+words. Each is compared with the templates: terms weigh by their inverse document frequency over all texts, a term that no
+template has weighs like one that no text has. A file that is a licence by name is compared as a whole with the whole
+texts of licences as well, where such are given. A file without a statement of its own inherits from the nearest
 ancestor directory that has a licence file (LICENSE, LICENCE, COPYING, UNLICENSE by name): each file's
 directories are exploded, root last, and joined by path.
 
-Defined cases: a null or empty text has no statement; a null path has no directories and inherits nothing; of
-equal scores the first template by name wins, but "All rights reserved" only counts where no other licence is stated; of licence files in one directory the best score, then the first
-path; rows that repeat a path are files of their own; an empty table gives no rows.
+Defined cases: a null or empty text has no statement; texts of any length are read whole; a null path has no directories and
+inherits nothing; an empty path, or one of slashes, is a nameless file in the root; of equal scores the first template by name
+wins, but "All rights reserved" only counts where no other licence is stated; of licence files in one directory the best
+score, then the first path; rows that repeat a path are files of their own; an empty table gives no rows; columns but
+the id, the path and the text are left out, so none can clash.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from dataclasses import dataclass
+from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -149,70 +154,102 @@ SALTS = 32
 
 @dataclass
 class Scanner:
-    """Templates as unit vectors over their terms, and the weight of each term."""
+    """Templates as sparse unit vectors, by term: the places ``starts[c]`` to ``starts[c + 1]`` of ``which`` (template) and ``values``
+    are those of term c. ``wholes`` are whole texts of licences, each as the weights of its terms."""
 
     names: list[str]
     lengths: list[int]
     column: dict[str, int]
     idf: np.ndarray
     unknown: float
-    vectors: np.ndarray
+    starts: np.ndarray
+    which: np.ndarray
+    values: np.ndarray
+    wholes: list[tuple[str, dict[str, float]]] = field(default_factory=list)
 
     @classmethod
-    def of(cls, templates: dict[str, tuple[str, ...]], frequencies: dict[str, int], n: int) -> Scanner:
+    def of(cls, templates: dict[str, tuple[str, ...]], frequencies: dict[str, int], n: int, wholes: dict[str, str] | None = None) -> Scanner:
         said = [(name, TERM.findall(text.lower())) for name, texts in sorted(templates.items()) for text in texts]
-        terms = sorted({t for _, ts in said for t in ts})
+        counted = [(name, Counter(TERM.findall(text.lower()))) for name, text in sorted((wholes or {}).items())]
+        terms = sorted({t for _, ts in said for t in ts} | {t for _, c in counted for t in c})
         idf = np.array([math.log((n + 1) / (frequencies.get(t, 0) + 1)) + 1 for t in terms])
         column = {t: k for k, t in enumerate(terms)}
-        vectors = np.zeros((len(said), len(terms)))
+        entries = []
         for k, (_, ts) in enumerate(said):
-            for t in ts:
-                vectors[k, column[t]] += idf[column[t]]
-        vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
-        return cls([name for name, _ in said], [len(ts) for _, ts in said], column, idf, math.log(n + 1) + 1, vectors)
-
-    def best(self, text: str, threshold: float = THRESHOLD) -> tuple[str | None, float]:
-        """The template nearest to any statement of a text, and the cosine. ``WEAKEST`` only counts if no other template
-        reaches the threshold."""
+            weights = {column[t]: c * idf[column[t]] for t, c in Counter(ts).items()}
+            norm = math.sqrt(sum(w * w for w in weights.values()))
+            entries += [(c, k, w / norm) for c, w in weights.items()]
+        entries.sort()
+        starts = np.searchsorted([c for c, _, _ in entries], np.arange(len(terms) + 1))
+        out = cls([name for name, _ in said], [len(ts) for _, ts in said], column, idf, math.log(n + 1) + 1, starts, np.array([k for _, k, _ in entries]), np.array([v for _, _, v in entries]))
+        out.wholes = [(name, out._unit(counts)) for name, counts in counted]
+        return out
+
+    def _unit(self, counts: Counter) -> dict[str, float]:
+        weights = {t: c * (self.idf[self.column[t]] if t in self.column else self.unknown) for t, c in counts.items()}
+        norm = math.sqrt(sum(w * w for w in weights.values())) or 1.0
+        return {t: w / norm for t, w in weights.items()}
+
+    def best_whole(self, text: str) -> tuple[str | None, float]:
+        """The whole licence nearest to a whole text, and the cosine."""
+        own = self._unit(Counter(TERM.findall(text.lower())))
+        scores = [(round(sum(w * own.get(t, 0.0) for t, w in weights.items()), 12), name) for name, weights in self.wholes]
+        top, name = max(scores, key=lambda x: x[0], default=(0.0, None))
+        return (name, float(top)) if top > 0 else (None, 0.0)
+
+    def best(self, text: str, threshold: float = THRESHOLD, whole: bool = False) -> tuple[str | None, float]:
+        """The template nearest to any statement of a text, and the cosine; with ``whole`` the whole licence that the text as a whole is
+        nearest to, if that reaches the threshold. ``WEAKEST`` only counts if no other template reaches the threshold."""
+        if whole and (found := self.best_whole(text))[1] >= threshold:
+            return found
         tops: dict[bool, tuple[float, int]] = {True: (0.0, 0), False: (0.0, 0)}
-        reach = max(self.lengths)
-        for begin, end, cues in self._stretches(text, 24 * reach):
-            found = [(m.group().lower(), m.end()) for m in TERM.finditer(text, begin, end)]
-            ends = np.array([e for _, e in found])
-            said = np.zeros(len(found) + 1, np.int64)
-            at = np.searchsorted(ends, cues, side="right")
-            said[at[at < len(found)]] = 1
-            words = [w for w, _ in found]
-            for first in range(0, len(words), CHUNK_WORDS):
-                last = first + CHUNK_WORDS + reach - 1
-                for k, score in self._scores(words[first:last], said[first : min(last, len(words))]):
-                    weak = self.names[k] == WEAKEST
-                    if (score, -k) > (tops[weak][0], -tops[weak][1]):
-                        tops[weak] = (score, k)
+        for words, said in self._stretches(text):
+            for k, score in self._scores(words, np.array(said)):
+                weak = self.names[k] == WEAKEST
+                if (score, -k) > (tops[weak][0], -tops[weak][1]):
+                    tops[weak] = (score, k)
         top = max(tops.values(), key=lambda x: (x[0], -x[1])) if tops[False][0] < threshold else tops[False]
         return (self.names[top[1]], float(top[0])) if top[0] > 0 else (None, 0.0)
 
-    @staticmethod
-    def _stretches(text: str, around: int):
-        """(begin, end, cues) of the parts of a text that lie near cues."""
-        begin, end, cues = 0, -1, []
-        for found in CUE.finditer(text):
-            at = found.start()
-            if cues and at - around > end:
-                yield begin, end, cues
-                cues = []
-            begin = begin if cues else max(0, at - around)
-            end = min(len(text), at + around)
-            cues.append(at)
-        if cues:
-            yield begin, end, cues
+    def _stretches(self, text: str) -> Iterator[tuple[list[str], list[int]]]:
+        """The words of a text, and whether each has a cue, in parts that hold every window with a cue: those within a window's
+        length of one, in parts of about CHUNK_WORDS that overlap."""
+        cues = CUE.finditer(text)
+        cue = next(cues, None)
+        if cue is None:
+            return
+        reach = max(self.lengths)
+        words: list[str] = []
+        said: list[int] = []
+        since = reach
+        for found in TERM.finditer(text):
+            hit = 0
+            while cue is not None and cue.start() < found.end():
+                hit, cue = 1, next(cues, None)
+            words.append(found.group().lower())
+            said.append(hit)
+            since = 0 if hit else since + 1
+            full = len(words) >= CHUNK_WORDS + 2 * reach
+            if full or since == reach:
+                if any(said):
+                    yield words, said
+                words, said = words[len(words) - reach + 1 :], said[len(said) - reach + 1 :]
+                if since == reach and cue is None:
+                    return
+        if any(said):
+            yield words, said
 
     def _scores(self, words: list[str], said: np.ndarray):
         """For each length of templates, (template, cosine) of the best window of so many words that has a cue."""
         ids = np.array([self.column.get(w, -1) for w in words])
         weights = np.where(ids >= 0, self.idf[ids], self.unknown)
         # what each word adds to the product with each template; windows are differences of running sums
-        parts = np.where(ids[:, None] >= 0, self.vectors.T[ids] * weights[:, None], 0.0)
+        known = np.flatnonzero(ids >= 0)
+        n_entries = self.starts[ids[known] + 1] - self.starts[ids[known]]
+        rows, ends = np.repeat(known, n_entries), np.cumsum(n_entries)
+        at = np.arange(len(rows)) + np.repeat(self.starts[ids[known]] - (ends - n_entries), n_entries)
+        parts = np.zeros((len(words), len(self.names)))
+        parts[rows, self.which[at]] = self.values[at] * weights[rows]
         sums, cues = np.vstack([np.zeros((1, parts.shape[1])), np.cumsum(parts, axis=0)]), np.concatenate([[0], np.cumsum(said)])
         for n in sorted(set(self.lengths)):
             if n > len(words):
@@ -245,22 +282,24 @@ class Scanner:
         return np.array(out)
 
 
-def fit(df: DataFrame, text: str = "text", templates: dict[str, tuple[str, ...]] = TEMPLATES) -> Scanner:
-    """A scanner whose weights come from all texts: counts of the templates' terms, a bounded number."""
-    terms = {t for texts in templates.values() for x in texts for t in TERM.findall(x.lower())}
+def fit(df: DataFrame, text: str = "text", templates: dict[str, tuple[str, ...]] = TEMPLATES, wholes: dict[str, str] | None = None) -> Scanner:
+    """A scanner whose weights come from all texts: counts of the templates' terms, a bounded number. ``wholes``: whole texts of
+    licences by name, for files that are licences by name."""
+    terms = {t for texts in [*templates.values(), tuple((wholes or {}).values())] for x in texts for t in TERM.findall(x.lower())}
 
     def fn(texts: list[str]) -> list[list]:
         return [[[t for t in terms.intersection(TERM.findall(x.lower()))] for x in texts]]
 
     counted = map_text(df.select(text), text, {"terms": "array<string>"}, fn, drop=(text,)).select(F.explode(F.concat("terms", F.array(F.lit("")))).alias("term")).groupBy("term").count()
     found = {r["term"]: r["count"] for r in counted.collect()}
-    return Scanner.of(templates, found, found.get("", 0))
+    return Scanner.of(templates, found, found.get("", 0), wholes)
 
 
 def directories(path: str) -> F.Column:
     """The ancestor directories of a path, nearest first, down to the root ''."""
     parts = F.filter(F.split(F.col(path), "/"), lambda x: x != "")
-    return F.transform(F.sequence(F.size(parts) - 1, F.lit(0)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    above = F.transform(F.sequence(F.greatest(F.size(parts) - 1, F.lit(0)), F.lit(0)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    return F.when(F.col(path).isNotNull(), above)
 
 
 def scan(df: DataFrame, key: str = "doc_id", path: str = "path", text: str = "text", scanner: Scanner | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -268,12 +307,17 @@ def scan(df: DataFrame, key: str = "doc_id", path: str = "path", text: str = "te
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(scanner or fit(df, text))  # a few hundred terms
 
-    def fn(texts: list[str]) -> list[list]:
-        found = [shared.value.best(t, threshold) for t in texts]
-        return [[n for n, _ in found], [s for _, s in found]]
+    def read(whole: bool):
+        def fn(texts: list[str]) -> list[list]:
+            found = [shared.value.best(t, threshold, whole) for t in texts]
+            return [[n for n, _ in found], [s for _, s in found]]
+
+        return fn
 
     files = df.select(F.col(key).alias("key"), F.col(path).alias("path"), F.col(text).alias("text"))
-    scored = map_text(files, "text", {"nearest": "string", "score": "double"}, fn, drop=("text",))
+    named = F.coalesce(F.element_at(F.split("path", "/"), -1).rlike(LICENSE_FILE), F.lit(False))
+    scores = lambda rows, whole: map_text(rows, "text", {"nearest": "string", "score": "double"}, read(whole), drop=("text",))
+    scored = scores(files.where(~named), False).union(scores(files.where(named), True)) if shared.value.wholes else scores(files, False)
     scored = written(scored.withColumn("own", F.when(F.col("score") >= threshold, F.col("nearest"))), "license-scores")
     own = scored.where("own is not null").select("key", "path", F.col("own").alias("license"), "score", F.lit("own").alias("origin"), F.col("path").alias("license_path"))
     name = F.element_at(F.split("path", "/"), -1)

@@ -29,9 +29,16 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The licence of every document. Its path is its source, its language and its id."""
+    """The licence of every document, its own or inherited.
+
+    The table has no paths. A document's path is its source, its language and its id; a text of at most 40 words that speaks of
+    a licence is a licence file, of its language's directory if its id is odd and of its source's if it is even.
+    """
     documents = table(spark, sf_dir, "documents")
-    return licenses.scan(documents.select("doc_id", "text", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path")))
+    short = F.coalesce(~F.col("text").rlike(r"\S" + r"(?:\s++\S++)" * 39 + r"\s++\S") & F.col("text").rlike(r"(?i)licen[cs]e|rights reserved|public domain"), F.lit(False))
+    up, number = F.when(F.col("doc_id") % 2 != 0, F.col("lang")), F.col("doc_id").cast("string")
+    path = F.when(short, F.concat_ws("/", "source", up, F.concat(F.lit("LICENSE-"), number))).otherwise(F.concat_ws("/", "source", "lang", number))
+    return licenses.scan(documents.select("doc_id", "text", path.alias("path")))
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
