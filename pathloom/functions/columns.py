@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -71,6 +72,14 @@ def failure_class(message: Column) -> Column:
     return F.when(*first).when(*second).otherwise(F.struct(F.lit("stage_execution_failed").alias("code"), F.lit(True).alias("retryable")))
 
 
+def classify(message: str) -> tuple[str, bool]:
+    """The same of one message: code, and whether it may run again."""
+    for words, code, retry in FAILURE_CLASSES:
+        if re.search(words, message.lower()):
+            return code, retry
+    return "stage_execution_failed", True
+
+
 def lease_expiry(now: Column, lease_ms: Column) -> Column:
     return F.timestamp_add("MILLISECOND", lease_ms, now)
 
@@ -88,5 +97,8 @@ def receipt_is_valid(receipt: str) -> Column:
         whole = whole & (x >= 0)
     by_tier = F.when(blind, ~seen & (c("charged_tokens") >= 1) & (c("charged_cost_micro_usd") >= 1)).when(told, seen).otherwise(False)
     covers = F.coalesce(c("charged_tokens") >= observed[0] + observed[1], F.lit(True))
+    for name, most in (("charged_tokens", 10_000_000), ("charged_cost_micro_usd", 100_000_000_000), ("duration_ms", 86_400_000), ("observed_input_tokens", 10_000_000), ("observed_output_tokens", 10_000_000), ("observed_cost_micro_usd", 100_000_000_000)):
+        whole = whole & F.coalesce(c(name) <= most, F.lit(True))
+    whole = whole & (c("schema_version") == "usage-receipt.v1") & F.coalesce(c("route_alias").rlike(r"^[a-z][a-z0-9-]{0,99}(?![\s\S])"), F.lit(True))
     signed = (c("trust") == "provider_signed") == F.coalesce(F.length(c("signature")).between(1, 4096), F.lit(False))
     return F.coalesce(whole & by_tier & covers & signed, F.lit(False))

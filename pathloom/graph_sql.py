@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pathloom.functions import canon
 from pathloom.plans.examples import GATE, PICKING, PICKING_BROKEN, PICKING_OLD
 
 
@@ -33,7 +34,8 @@ def _violations(graphs: list[dict]) -> str:
     sign = lambda n: json.dumps([n["kind"], n["input"], sorted(n["outcomes"]["outcomes"]), n.get("outputs", {})], sort_keys=True)
     tables = [
         literal("graph(v, name, entry)", [(g["version"], g["graphId"], g["entry"]) for g in graphs]),
-        literal("node(v, node_id, ref, kind, input, bound, signature)", [(v, n["nodeId"], f"{n['ref']['id']}@{n['ref']['version']}", n["kind"], n["input"], "binding" in n, sign(n)) for v, n in nodes]),
+        literal("node(v, node_id, ref, kind, input, bound, signature, principal)", [(v, n["nodeId"], f"{n['ref']['id']}@{n['ref']['version']}", n["kind"], n["input"], "binding" in n, sign(n), n["principal"]["id"]) for v, n in nodes]),
+        literal("edited(v)", [(g["version"],) for g in graphs if "edited" in g.get("description", "")] or [(-1,)]),
         literal("joining(v, node_id, n_of, envelope)", [(v, n["nodeId"], None if j["require"] == "all" else j["require"]["nOf"], j.get("compose") == "envelope") for v, n, j in joins]),
         literal("inbound(v, node_id, edge_id)", [(v, n["nodeId"], e) for v, n, j in joins for e in j["inbound"]]),
         literal("outcome(v, node_id, outcome, made)", [(v, n["nodeId"], o, n.get("outputs", {}).get(o)) for v, n in nodes for o in n["outcomes"]["outcomes"]]),
@@ -56,6 +58,10 @@ UNION SELECT e.v, 'contract_mismatch', e.edge_id FROM named e JOIN node s ON s.v
   JOIN arc a ON a.v = e.v AND a.edge_id = e.edge_id JOIN node t ON t.v = a.v AND t.node_id = a.target LEFT JOIN joining j ON j.v = a.v AND j.node_id = a.target
   WHERE NOT coalesce(j.envelope, FALSE) AND t.input <> CASE WHEN e.outcome = 'join_unsatisfiable' THEN 'join-unsatisfiable.v1' ELSE coalesce(CAST(o.made AS VARCHAR), s.input) END
 UNION SELECT v, 'model_without_binding', node_id FROM node WHERE kind = 'model' AND NOT bound
+UNION SELECT v, 'binding_on_other_kind', node_id FROM node WHERE kind <> 'model' AND bound
+UNION SELECT v, 'engine_principal', node_id FROM node WHERE principal = 'engine'
+UNION SELECT v, 'envelope_input', node_id FROM node JOIN joining USING (v, node_id) WHERE envelope AND input <> 'join-input.v1'
+UNION SELECT v, 'other_expansion', name FROM graph JOIN edited USING (v)
 UNION SELECT v, 'reserved_outcome', node_id FROM outcome WHERE outcome = 'join_unsatisfiable' AND (v, node_id) NOT IN (SELECT (v, node_id) FROM joining)
 UNION SELECT v, 'join_without_unsatisfiable', node_id FROM joining WHERE (v, node_id) NOT IN (SELECT (v, node_id) FROM outcome WHERE outcome = 'join_unsatisfiable')
 UNION SELECT v, 'entry_is_join', node_id FROM joining JOIN graph USING (v) WHERE node_id = entry
@@ -78,17 +84,29 @@ SELECT node_id, (SELECT max(depth) FROM walk w WHERE w.node_id = n.node_id) AS d
 
 
 def _parts(head: str, graph: dict) -> str:
-    rows = [("graph", "graph", k, json.dumps(graph[k])) for k in ("entry", "description")] + [("terminal", f"{t['nodeId']}:{t['outcome']}", "is", "true") for t in graph["terminals"]]
-    for part, key in (("node", "nodeId"), ("edge", "edgeId")):
-        for x in graph[f"{part}s"]:
-            rows += [(part, x[key], k, json.dumps(sorted(v["outcomes"]) if k == "outcomes" else v, sort_keys=True)) for k, v in x.items() if k != key]
+    rows = [("graph", "graph", k, canon.canonical_json(graph[k])) for k in ("entry", "description")] + [("terminal", f"{t['nodeId']}:{t['outcome']}", "is", "true") for t in graph["terminals"]]
+    for n in graph["nodes"]:
+        flat = {k: n[k] for k in ("ref", "kind", "input", "outputs", "configuration", "join") if k in n} | {f"turn.{k}": v for k, v in n["turn"].items()} | {f"binding.{k}": n["binding"][k] for k in ("bindingId", "version", "bindingDigest") if "binding" in n}
+        flat |= {"principal.id": n["principal"]["id"], "outcomes.version": n["outcomes"]["version"]}
+        rows += [("node", n["nodeId"], k, canon.canonical_json(v)) for k, v in flat.items()]
+    for e in graph["edges"]:
+        rows += [("edge", e["edgeId"], k, canon.canonical_json(e[k])) for k in ("from", "to", "when")]
     return literal(f"{head}(part, id, field, value)", rows)
 
 
+def _words(head: str, graph: dict) -> str:
+    rows = [("node", n["nodeId"], k, o) for n in graph["nodes"] for k, o in enumerate(n["outcomes"]["outcomes"])]
+    return literal(f"{head}(part, id, place, word)", rows + [("edge", e["edgeId"], k, o) for e in graph["edges"] for k, o in enumerate(_named(e))])
+
+
 def _diff(old: dict, new: dict) -> str:
-    return f"""WITH {_parts("a", old)}, {_parts("b", new)}, was AS (SELECT DISTINCT part, id FROM a), now AS (SELECT DISTINCT part, id FROM b)
-SELECT part, id, 'removed' AS change, CAST(NULL AS VARCHAR) AS field FROM was ANTI JOIN now USING (part, id) UNION ALL SELECT part, id, 'added', NULL FROM now ANTI JOIN was USING (part, id)
-UNION ALL SELECT part, id, 'changed', field FROM a FULL JOIN b USING (part, id, field) SEMI JOIN was USING (part, id) SEMI JOIN now USING (part, id) WHERE a.value IS DISTINCT FROM b.value"""
+    return f"""WITH {_parts("a", old)}, {_parts("b", new)}, {_words("v", old)}, {_words("w", new)}, was AS (SELECT DISTINCT part, id FROM a), now AS (SELECT DISTINCT part, id FROM b),
+lost AS (SELECT part, id, string_agg(word, ',' ORDER BY place) AS words FROM v ANTI JOIN w USING (part, id, word) SEMI JOIN now USING (part, id) GROUP BY ALL),
+come AS (SELECT part, id, string_agg(word, ',' ORDER BY place) AS words FROM w ANTI JOIN v USING (part, id, word) SEMI JOIN was USING (part, id) GROUP BY ALL)
+SELECT part, id, 'removed' AS change, CAST(NULL AS VARCHAR) AS field, CAST(NULL AS VARCHAR) AS was, CAST(NULL AS VARCHAR) AS now FROM was ANTI JOIN now USING (part, id)
+UNION ALL SELECT part, id, 'added', NULL, NULL, NULL FROM now ANTI JOIN was USING (part, id)
+UNION ALL SELECT part, id, 'changed', field, a.value, b.value FROM a FULL JOIN b USING (part, id, field) SEMI JOIN was USING (part, id) SEMI JOIN now USING (part, id) WHERE a.value IS DISTINCT FROM b.value
+UNION ALL SELECT part, id, 'changed', 'outcomes', lost.words, come.words FROM lost FULL JOIN come USING (part, id)"""
 
 
 def _bounds(flow: dict) -> str:

@@ -20,24 +20,22 @@ def thresholds(states: DataFrame, join: list[str], n_of: int | None = None) -> D
     return counts.withColumn("need", need).withColumn("status", status(F.col("offered"), F.col("impossible"), F.col("inbound"), need))
 
 
-def accepted(offers: DataFrame, join: list[str]) -> DataFrame:
-    """Offers with their disposition but for the fire point: only the first of an edge can be accepted."""
-    first = F.row_number().over(Window.partitionBy(*join, "edge_id").orderBy("sequence", "edge_ord"))
-    return offers.withColumn("again", first > 1)
-
+def dispositions(offers: DataFrame, join: list[str], need: Column) -> DataFrame:
+    """Each offer as accepted, a repeat of an edge, or late for a join that has fired, with ``fired_at``, the sequence at which its
+    join fires (null: never). All offers of one settlement count together; of an edge only the first can be accepted.
 
-def fire_points(offers: DataFrame, join: list[str], need: Column) -> DataFrame:
-    """The sequence at which each join fires. All offers of one settlement count together."""
+    One exchange by the join: the first offers of edges are found after a sort within it, and the fire point is the least
+    sequence at which enough of them have come.
+    """
+    rows = offers.repartition(*join)
+    first = F.row_number().over(Window.partitionBy(*join, "edge_id").orderBy("sequence", "edge_ord"))
+    rows = rows.withColumn("again", first > 1)
     running = F.count_if(~F.col("again")).over(Window.partitionBy(*join).orderBy("sequence").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    return accepted(offers, join).withColumn("running", running).where(F.col("running") >= need).groupBy(*join).agg(F.min("sequence").alias("fired_at"))
-
-
-def dispositions(offers: DataFrame, join: list[str], need: Column) -> DataFrame:
-    """Each offer as accepted, a repeat of an edge, or late for a join that has fired."""
-    fired = fire_points(offers, join, need)
+    rows = rows.withColumn("running", running)
+    rows = rows.withColumn("fired_at", F.min(F.when(F.col("running") >= need, F.col("sequence"))).over(Window.partitionBy(*join)))
     late = F.coalesce(F.col("sequence") > F.col("fired_at"), F.lit(False))
     word = F.when(late, "join_already_resolved_noop").when(F.col("again"), "edge_already_resolved_noop").otherwise("accepted")
-    return accepted(offers, join).join(fired, join, "left").withColumn("disposition", word).drop("again")
+    return rows.withColumn("disposition", word).drop("again", "running")
 
 
 def selected(disposed: DataFrame, join: list[str], value: str) -> DataFrame:
@@ -47,23 +45,36 @@ def selected(disposed: DataFrame, join: list[str], value: str) -> DataFrame:
     return taken.groupBy(*join).agg(F.min("fired_at").alias("fired_at"), F.min_by(value, "edge_ord").alias("selected"), edges.alias("accepted_edges"))
 
 
-def envelopes(disposed: DataFrame, join: list[str], payload_json: str) -> DataFrame:
-    """The composed input of joins that fired: payloads in authored order, whatever order they came in."""
+def canonical_inputs(disposed: DataFrame, join: list[str], head: dict[str, Column], offer: dict[str, Column]) -> DataFrame:
+    """The composed input of joins that fired, as canonical text (``input_json``) with its digest: accepted offers in authored
+    order, whatever order they came in.
+
+    ``head``: members of the document beside ``accepted``, ``offer``: members of an accepted offer, all as canonical JSON text.
+    """
+    object_of = lambda members: F.concat(F.lit("{"), F.concat_ws(",", *(F.concat(F.lit(f'"{k}":'), v) for k, v in sorted(members.items()))), F.lit("}"))
     taken = disposed.where("disposition = 'accepted' and fired_at is not null")
-    parts = F.transform(F.sort_array(F.collect_list(F.struct("edge_ord", "edge_id", F.col(payload_json).alias("p")))), lambda x: F.concat(F.lit('{"edgeId":"'), x["edge_id"], F.lit('","payload":'), x["p"], F.lit("}")))
-    return taken.groupBy(*join).agg(F.concat(F.lit('{"inputs":['), F.array_join(parts, ","), F.lit("]}")).alias("envelope_json"))
-
-
-def progress(journey: DataFrame, graph: dict) -> DataFrame:
-    """``unit_id, node_id, edge_id, edge_ord, need, state`` of every join's inbound edges in each unit of replayed journeys."""
-    rows = []
-    for n in graph["nodes"]:
-        if "join" in n:
-            edges, require = n["join"]["inbound"], n["join"]["require"]
-            rows += [(n["nodeId"], e, k, len(edges) if require == "all" else require["nOf"]) for k, e in enumerate(edges)]
-    inbound = journey.sparkSession.createDataFrame(rows, "node_id string, edge_id string, edge_ord int, need bigint")
-    effects = journey.select("unit_id", F.explode("effects").alias("e")).where("e.kind = 'join_impossible' or (e.kind = 'join_offer' and e.disposition = 'accepted')")
-    known = effects.select("unit_id", F.col("e.node_id").alias("node_id"), F.col("e.edge_ids")[0].alias("edge_id"), F.when(F.col("e.kind") == "join_offer", "offered").otherwise("impossible").alias("state"))
-    every = journey.select("unit_id").distinct().join(F.broadcast(inbound))  # a graph has at most 2,048 edges
-    met = every.join(known, ["unit_id", "node_id", "edge_id"], "left")
-    return met.select("unit_id", "node_id", "edge_id", "edge_ord", "need", F.coalesce("state", F.lit("pending")).alias("state"))
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("edge_ord", object_of(offer).alias("o")))), lambda x: x["o"])
+    listed = F.concat(F.lit("["), F.array_join(parts, ","), F.lit("]"))
+    rows = taken.groupBy(*join).agg(listed.alias("accepted_json"))
+    text = object_of(head | {"accepted": F.col("accepted_json")})
+    return rows.select(*join, text.alias("input_json")).withColumn("input_digest", F.sha2("input_json", 256))
+
+
+def quoted(value: Column) -> Column:
+    """A text of plain characters as JSON."""
+    return F.concat(F.lit('"'), value, F.lit('"'))
+
+
+def states(journey: DataFrame) -> DataFrame:
+    """``unit_id, node_id, status, offered_edges, impossible_edges, late_offers, queue_id, selected_edge_id, synthetic_digest`` of the joins
+    that the routing effects of journeys tell of; edges in the order in which they were resolved."""
+    effects = journey.where("kind <> 'turn_rejected'").select("unit_id", "sequence", F.posexplode("effects").alias("place", "e")).where("e.kind in ('join_offer', 'join_impossible', 'join_queued', 'join_unsatisfiable')")
+    kind = F.col("e.kind")
+    accepted, gone = (kind == "join_offer") & (F.col("e.disposition") == "accepted"), (kind == "join_impossible") & (F.col("e.disposition") == "resolved")
+    ordered = lambda cond: F.transform(F.sort_array(F.collect_list(F.when(cond, F.struct("sequence", "place", F.get(F.col("e.edge_ids"), F.lit(0)).alias("edge"))))), lambda x: x["edge"])
+    only = lambda cond, value: F.max(F.when(cond, F.col(value)))
+    status = F.when(F.bool_or(kind == "join_queued"), "queued").when(F.bool_or(kind == "join_unsatisfiable"), "unsatisfiable").otherwise("pending")
+    return effects.groupBy("unit_id", F.col("e.node_id").alias("node_id")).agg(
+        status.alias("status"), ordered(accepted).alias("offered_edges"), ordered(gone).alias("impossible_edges"), F.count_if((kind == "join_offer") & (F.col("e.disposition") != "accepted")).alias("late_offers"),
+        only(kind == "join_queued", "e.queue_id").alias("queue_id"), only(kind == "join_queued", "e.selected_edge_id").alias("selected_edge_id"), only(kind == "join_unsatisfiable", "e.digest").alias("synthetic_digest"),
+    )

@@ -12,8 +12,9 @@ closed (nothing left to claim), conflict (other evidence), refused (not this nod
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame
 
@@ -53,6 +54,21 @@ class Turns:
     numbered: int = 0
     occurrences: dict[str, Occurrence] = field(default_factory=dict)
 
+    def dump(self) -> str:
+        """The state as JSON, without the node."""
+        return json.dumps([self.numbered, {q: asdict(o) for q, o in self.occurrences.items()}], separators=(",", ":"))
+
+    @classmethod
+    def load(cls, node: dict | None, text: str) -> Turns:
+        numbered, held = json.loads(text)
+        pair = lambda x: x if x is None else tuple(x)
+
+        def occurrence(o: dict) -> Occurrence:
+            lease = Lease(**(o["lease"] | {"external": pair(o["lease"]["external"])})) if o["lease"] else None
+            return Occurrence(lease, pair(o["attempt"]), o["completion"], o["failure"], pair(o["settled"]), o["dead"])
+
+        return cls(node, numbered, {q: occurrence(o) for q, o in held.items()})
+
     def decide(self, c: dict) -> dict:
         """The record of a command."""
         o = self.occurrences.setdefault(c["queue_id"], Occurrence())

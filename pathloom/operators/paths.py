@@ -50,9 +50,81 @@ def unit_paths(journey: DataFrame) -> DataFrame:
 
 
 def sequence_faults(journey: DataFrame) -> DataFrame:
-    """Units whose sequences aren't 1, 2, 3 and so on."""
-    n = F.row_number().over(Window.partitionBy("unit_id").orderBy("sequence"))
-    return journey.select("unit_id", (n != F.col("sequence")).alias("off")).groupBy("unit_id").agg(F.bool_or("off").alias("off")).where("off").select("unit_id")
+    """Units whose sequences aren't 1, 2, 3 and so on (as many, from 1, none twice)."""
+    rows = journey.where("kind <> 'turn_rejected'").groupBy("unit_id").agg(F.count("*").alias("n"), F.countDistinct("sequence").alias("different"), F.min("sequence").alias("least"), F.max("sequence").alias("most"))
+    return rows.where("not (least = 1 and most = n and different = n)").select("unit_id")
+
+
+def _member(journey: DataFrame, name: str, kind: str) -> Column:
+    return F.col(name).cast(kind) if name in journey.columns else F.lit(None).cast(kind)
+
+
+def occurrences(journey: DataFrame) -> DataFrame:
+    """Each occurrence that replayed journeys queue: ``unit_id, queue_id, node_id, enqueue_sequence, queued_by, inbound_edge_ids, state, attempts,
+    failures, outcome, error_code, settled_sequence, receipts, charged_tokens, charged_micro_usd``.
+
+    State is open, settled, or dead after a terminal failure. Rows meet by unit once; what follows by unit or by unit and
+    node needs no further exchange. Turns on an occurrence that nothing queued have no ``enqueue_sequence``.
+    """
+    nothing = {"enqueue_sequence": "bigint", "inbound": "array<string>", "settled": "boolean", "dead": "boolean", "outcome": "string", "error_code": "string", "receipts": "bigint", "charged_tokens": "bigint", "charged_micro_usd": "bigint"}
+
+    def event(queue: Column, node: Column, turn: bool, **parts: Column) -> Column:
+        members = [parts.get(k, F.lit(None)).cast(kind).alias(k) for k, kind in nothing.items()]
+        return F.struct(queue.alias("queue_id"), node.alias("node_id"), F.lit(turn).alias("turn"), *members)
+
+    queued = F.transform(
+        F.filter(F.coalesce("effects", F.array()), lambda e: e["kind"].isin("queue_enqueued", "join_queued")),
+        lambda e: event(e["queue_id"], e["node_id"], False, enqueue_sequence=e["enqueue_sequence"], inbound=e["edge_ids"]),
+    )
+    usage = {c: _member(journey, c, "bigint") for c in ("receipts", "charged_tokens", "charged_micro_usd")}
+    is_turn = F.col("kind").isin(*TURNS)
+    turn = event(F.col("queue_id"), F.col("node_id"), True, settled=F.col("kind") == "turn_settled", dead=F.coalesce("terminal", F.lit(False)), outcome=F.col("outcome"), error_code=F.col("error_code"), **usage)
+    rows = journey.where("kind <> 'turn_rejected'").select("unit_id", "sequence", F.explode(F.concat(F.when(is_turn, F.array(turn)).otherwise(F.filter(F.array(turn), lambda _: F.lit(False))), queued)).alias("e"))
+    rows = rows.select("unit_id", "sequence", "e.*").repartition("unit_id")
+    state = F.when(F.bool_or("settled"), "settled").when(F.bool_or("dead"), "dead").otherwise("open")
+    return rows.groupBy("unit_id", "queue_id").agg(
+        F.max("node_id").alias("node_id"), F.min("enqueue_sequence").alias("enqueue_sequence"), F.min(F.when(~F.col("turn"), F.col("sequence"))).alias("queued_by"), F.max("inbound").alias("inbound_edge_ids"), state.alias("state"),
+        F.count_if("turn").alias("attempts"), F.count_if(F.col("turn") & ~F.col("settled")).alias("failures"), F.max(F.when(F.col("settled"), F.col("outcome"))).alias("outcome"),
+        F.max_by("error_code", F.when(F.col("error_code").isNotNull(), F.col("sequence"))).alias("error_code"), F.max(F.when(F.col("settled"), F.col("sequence"))).alias("settled_sequence"), *_usage(),
+    )
+
+
+def node_states(found: DataFrame) -> DataFrame:
+    """Each node of a unit from its ``occurrences``: the state of the latest (settled, dead, failed after failures that may run again, else
+    pending), their number, outcomes in order, the last error, and usage."""
+    latest = F.when(F.col("state") != "open", F.col("state")).when(F.col("failures") > 0, "failed").otherwise("pending")
+    return found.groupBy("unit_id", "node_id").agg(
+        F.max_by(latest, "enqueue_sequence").alias("state"), F.count("*").alias("occurrences"), F.sum("attempts").alias("attempts"), F.sum("failures").alias("failures"), ordered("outcome", "settled_sequence").alias("outcomes"), *_usage(),
+    )
+
+
+def unit_summaries(found: DataFrame) -> DataFrame:
+    """Each unit from its ``occurrences``: the open ones in order, whether it is concluded, turns, and usage."""
+    return found.groupBy("unit_id").agg(
+        F.transform(F.sort_array(F.collect_list(F.when(F.col("state") == "open", F.struct("enqueue_sequence", "queue_id")))), lambda x: x["queue_id"]).alias("open_queue_ids"),
+        F.count_if(F.col("state") == "open").alias("open"), F.count_if(F.col("state") == "dead").alias("dead"), F.count("*").alias("occurrences"), F.sum("attempts").alias("turns"), F.sum("failures").alias("failures"), *_usage(),
+    ).withColumn("concluded", F.col("open") == 0)
+
+
+def journey_faults(journey: DataFrame) -> DataFrame:
+    """``unit_id, rule, subject`` of journeys that can't have happened: sequences with gaps, no admission first, occurrences queued
+    twice or out of order, turns on what was never queued, on another node, or on a closed occurrence."""
+    rows = journey.where("kind <> 'turn_rejected'")
+    gaps = sequence_faults(rows).select("unit_id", F.lit("sequence").alias("rule"), F.lit(None).cast("string").alias("subject"))
+    firsts = rows.groupBy("unit_id").agg(F.min_by("kind", "sequence").alias("first"), F.count_if(F.col("kind") == "unit_admitted").alias("n")).where("first <> 'unit_admitted' or n <> 1")
+    firsts = firsts.select("unit_id", F.lit("admission"), F.lit(None).cast("string"))
+    queued = rows.select("unit_id", "sequence", F.posexplode("effects").alias("place", "e")).where("e.kind in ('queue_enqueued', 'join_queued')")
+    queued = queued.select("unit_id", "sequence", "place", F.col("e.queue_id").alias("queue_id"), F.col("e.node_id").alias("on_node"), F.col("e.enqueue_sequence").alias("enqueue_sequence"))
+    before = F.max("enqueue_sequence").over(Window.partitionBy("unit_id").orderBy("sequence", "place").rowsBetween(Window.unboundedPreceding, -1))
+    disorder = queued.withColumn("before", before).where("enqueue_sequence <= before").select("unit_id", F.lit("enqueue_order"), "queue_id")
+    turns = rows.where(F.col("kind").isin(*TURNS)).select("unit_id", "sequence", "queue_id", "node_id", ((F.col("kind") == "turn_settled") | F.coalesce("terminal", F.lit(False))).alias("closes"))
+    closed = F.coalesce(F.bool_or("closes").over(Window.partitionBy("unit_id", "queue_id").orderBy("sequence").rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    turns = turns.withColumn("closed", closed)
+    known = queued.groupBy("unit_id", "queue_id").agg(F.min("on_node").alias("on_node"), F.min("sequence").alias("since"))
+    met = turns.join(known, ["unit_id", "queue_id"], "left")
+    rule = F.when(F.col("on_node").isNull() | (F.col("since") >= F.col("sequence")), "never_queued").when(F.col("on_node") != F.col("node_id"), "other_node").when(F.col("closed"), "closed")
+    wrong = met.select("unit_id", rule.alias("rule"), "queue_id").where("rule is not null")
+    return gaps.union(firsts).union(disorder).union(wrong).distinct()
 
 
 def edge_counts(effects: DataFrame) -> DataFrame:
@@ -66,9 +138,14 @@ def open_occurrences(occurrences: DataFrame, settled: DataFrame, dead: DataFrame
     return occurrences.join(settled, "queue_id", "left_anti").join(dead, "queue_id", "left_anti")
 
 
-def queue_positions(open_: DataFrame, node: str = "node_id", by: str = "enqueue_sequence") -> DataFrame:
-    """Places in each node's queue, 1 is next."""
-    return open_.withColumn("queue_position", F.row_number().over(Window.partitionBy(node).orderBy(by)).cast("bigint"))
+def queue_positions(open_: DataFrame, node: str = "node_id", by: str = "enqueue_sequence", bits: int = 12) -> DataFrame:
+    """Places in each node's queue, 1 is next. A place is the rank within a run of 2^bits numbers and the sizes of the
+    runs before it, so a node that holds most of the queue isn't sorted by one task."""
+    rows = open_.withColumn("run", F.shiftright(by, bits))
+    sizes = rows.groupBy(node, "run").agg(F.count("*").alias("n"))
+    sizes = sizes.select(node, "run", (F.sum("n").over(Window.partitionBy(node).orderBy("run")) - F.col("n")).alias("before"))
+    ranked = rows.withColumn("within", F.row_number().over(Window.partitionBy(node, "run").orderBy(by)))
+    return ranked.join(sizes, [node, "run"]).withColumn("queue_position", F.col("before") + F.col("within")).select(*open_.columns, "queue_position")
 
 
 def queued(open_: DataFrame, principal: str, node: str, limit: int = 100) -> DataFrame:
@@ -79,13 +156,11 @@ def queued(open_: DataFrame, principal: str, node: str, limit: int = 100) -> Dat
 def claim(open_: DataFrame, batch: int, cursor: str | None = None) -> DataFrame:
     """What a claim takes: of the node with the oldest head, the lane after the cursor (wrapping; without a cursor the lane of
     the oldest head), first in first out."""
-    node, lane = Window.partitionBy("node_id", "ref_id"), Window.partitionBy("node_id", "ref_id", "lane")
-    rows = open_.withColumn("node_head", F.min("enqueue_sequence").over(node)).withColumn("lane_head", F.min("enqueue_sequence").over(lane))
-    heads = open_.groupBy("node_id", "ref_id", "lane").agg(F.min("enqueue_sequence").alias("lane_head"))
-    heads = heads.withColumn("node_head", F.min("lane_head").over(node))
+    heads = open_.groupBy("node_id", "ref_id", "lane").agg(F.min("enqueue_sequence").alias("lane_head"))  # a row a lane
+    heads = heads.withColumn("node_head", F.min("lane_head").over(Window.partitionBy("node_id", "ref_id")))
     turn = [F.col("lane_head")] if cursor is None else [F.col("lane") <= cursor, F.col("lane")]
     chosen = heads.orderBy("node_head", *turn).limit(1).select("node_id", "ref_id", "lane")
-    return rows.drop("node_head", "lane_head").join(chosen, ["node_id", "ref_id", "lane"], "left_semi").orderBy("enqueue_sequence").limit(batch)
+    return open_.join(chosen, ["node_id", "ref_id", "lane"], "left_semi").orderBy("enqueue_sequence").limit(batch)
 
 
 def claimable(open_: DataFrame, graphs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -93,27 +168,35 @@ def claimable(open_: DataFrame, graphs: DataFrame) -> tuple[DataFrame, DataFrame
     return open_.join(graphs, "graph_digest", "left_semi"), open_.join(graphs, "graph_digest", "left_anti")
 
 
-def goal_closures(nodes: DataFrame, members: DataFrame, resolutions: DataFrame) -> DataFrame:
-    """Each unit's goals: closed by its one resolution, else unentered, else dead when a member is dead and none open, else open.
+def goal_closures(found: DataFrame, joined: DataFrame, manifest: dict) -> DataFrame:
+    """Each unit's goals from its ``occurrences`` and the ``joins.states`` of its joins: closed by their one resolution (a settled outcome, or a join
+    that became unsatisfiable), else unentered, else dead when a member has a dead occurrence and none an open one, else open.
 
-    ``nodes`` is what ``node_paths`` returns; ``members``: goal_id, node_id; ``resolutions``: goal_id, node_id, outcome, resolution.
+    The manifest's goals (members, and resolutions of node, outcome and kind) are literals of the plan, so nothing is joined.
     """
-    units = nodes.select("unit_id").distinct()
-    seen = nodes.join(F.broadcast(members), "node_id")  # members of a manifest: at most 256 rows
-    ends = seen.select("unit_id", "goal_id", "node_id", F.explode("outcomes").alias("outcome")).join(F.broadcast(resolutions), ["goal_id", "node_id", "outcome"])
-    closed = ends.groupBy("unit_id", "goal_id").agg(F.count("*").alias("closures"), F.min("resolution").alias("resolution"))
-    met = seen.groupBy("unit_id", "goal_id").agg(
-        F.count_if(F.col("state") == "failed").alias("open_members"), F.count_if(F.col("state") == "dead").alias("dead_members"),
-        F.sum("attempts").alias("turns"), *(F.sum(c).alias(c) for c in ("receipts", "charged_tokens", "charged_micro_usd")),
+    goals = [
+        F.struct(
+            F.lit(g["goalId"]).alias("goal_id"), F.array(*map(F.lit, g["members"])).alias("members"),
+            F.create_map(*(F.lit(x) for r in g["resolutions"] for x in (f"{r['nodeId']} {r['outcome']}", f"{r['nodeId']}:{r['outcome']}/{r['kind']}"))).alias("ends"),
+        )
+        for g in manifest["goals"]
+    ]
+    usage = ["receipts", "charged_tokens", "charged_micro_usd"]
+    own = found.select("unit_id", "node_id", "state", "attempts", F.when(F.col("state") == "settled", F.col("outcome")).alias("outcome"), *usage, (F.col("queued_by") == 1).alias("entry"))
+    lost = joined.where("status = 'unsatisfiable'").select("unit_id", "node_id", F.lit("settled"), F.lit(0).cast("bigint"), F.lit("join_unsatisfiable"), *(F.lit(0).cast("bigint") for _ in usage), F.lit(False))
+    # a unit's entry stands for the unit in goals that it hasn't entered
+    spread = own.union(lost).select("*", F.explode(F.array(*goals)).alias("g")).withColumn("member", F.array_contains("g.members", F.col("node_id"))).where("member or entry")
+    spread = spread.withColumn("closing", F.when(F.col("member"), F.element_at("g.ends", F.concat_ws(" ", "node_id", "outcome"))))
+    members = lambda state: F.array_join(F.sort_array(F.collect_set(F.when(F.col("member") & (F.col("state") == state), F.col("node_id")))), ",")
+    out = spread.groupBy("unit_id", F.col("g.goal_id").alias("goal_id")).agg(
+        F.bool_or("member").alias("entered"), members("open").alias("open_members"), members("dead").alias("dead_members"), F.count("closing").alias("closures"), F.min("closing").alias("closing"),
+        *(F.sum(F.when(F.col("member"), F.col(c)).otherwise(0)).cast("bigint").alias("turns" if c == "attempts" else c) for c in ("attempts", *usage)),
     )
-    every = units.join(F.broadcast(members.select("goal_id").distinct()))
-    out = every.join(met, ["unit_id", "goal_id"], "left").join(closed, ["unit_id", "goal_id"], "left")
     word = (
-        F.when(F.col("closures") == 1, "closed").when(F.col("closures") > 1, "ambiguous").when(F.col("turns").isNull(), "unentered")
-        .when((F.col("dead_members") > 0) & (F.col("open_members") == 0), "dead").otherwise("open")
+        F.when(F.col("closures") == 1, "closed").when(F.col("closures") > 1, "ambiguous").when(~F.col("entered"), "unentered")
+        .when((F.col("dead_members") != "") & (F.col("open_members") == ""), "dead").otherwise("open")
     )
-    numbers = [F.coalesce(c, F.lit(0)).alias(c) for c in ("open_members", "dead_members", "turns", "receipts", "charged_tokens", "charged_micro_usd")]
-    return out.select("unit_id", "goal_id", word.alias("status"), F.when(F.col("closures") == 1, F.col("resolution")).alias("resolution"), *numbers)
+    return out.select("unit_id", "goal_id", word.alias("status"), F.when(F.col("closures") == 1, F.col("closing")).alias("resolution"), "open_members", "dead_members", "turns", *usage)
 
 
 def waits(events: DataFrame, unit: str, at: str, tie: str) -> DataFrame:
@@ -134,9 +217,19 @@ def node_measures(journey: DataFrame) -> DataFrame:
     return _turns(journey).groupBy("node_id").agg(F.count("*").alias("turns"), F.count_if(failed & ~dead).alias("retries"), F.count_if(dead).alias("dead_letters"), F.countDistinct("unit_id").alias("units"))
 
 
-def percentiles(df: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
-    """Discrete percentiles of an integer column."""
-    return df.groupBy(by).agg(F.count("*").alias("n"), *(F.expr(f"percentile_disc({p}) within group (order by {value})").cast("bigint").alias(name) for name, p in shares.items()))
+def percentiles(df: DataFrame, by: str, value: str, shares: dict[str, float], bits: int = 8) -> DataFrame:
+    """Discrete percentiles of a column of integers, exact. Values are counted by runs of 2^bits first, which combine before the
+    shuffle; only the run that holds a rank is counted value by value, so a hot key sends no task all its values."""
+    runs = df.groupBy(by, F.shiftright(value, bits).alias("run")).agg(F.count("*").alias("c"))
+    over = Window.partitionBy(by)
+    runs = runs.withColumn("n", F.sum("c").over(over)).withColumn("upto", F.sum("c").over(over.orderBy("run")))
+    ranks = F.array(*(F.struct(F.lit(name).alias("name"), F.greatest(F.ceil(F.lit(p) * F.col("n")), F.lit(1)).alias("rank")) for name, p in shares.items()))
+    held = F.filter(ranks, lambda r: (r["rank"] > F.col("upto") - F.col("c")) & (r["rank"] <= F.col("upto")))
+    wanted = runs.withColumn("held", held).where(F.size("held") > 0).select(by, "run", "n", (F.col("upto") - F.col("c")).alias("before"), "held")
+    values = df.select(by, value, F.shiftright(value, bits).alias("run")).join(wanted.select(by, "run"), [by, "run"], "left_semi").groupBy(by, "run", value).agg(F.count("*").alias("c"))
+    within = values.join(wanted, [by, "run"]).withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy(by, "run").orderBy(value)))
+    met = within.select(by, "n", F.col(value).alias("v"), F.explode("held").alias("r"), "upto").where("upto >= r.rank")
+    return met.groupBy(by, "n").agg(*(F.min(F.when(F.col("r.name") == name, F.col("v"))).cast("bigint").alias(name) for name in shares))
 
 
 def decision_metrics(decided: DataFrame, by: str) -> DataFrame:

@@ -12,14 +12,20 @@ from pathloom.functions import canon
 from pathloom.plans.graphs import outcomes_of
 
 
-def variant_path(pointer: str) -> str:
-    """A JSON Pointer as a variant path; a token of digits means an index."""
-    return "$" + "".join(f"[{t}]" if t.isdigit() and (t == "0" or t[0] != "0") else "['" + t.replace("\\", "\\\\").replace("'", "\\'") + "']" for t in canon.pointer_tokens(pointer))
+def variant_paths(pointer: str) -> list[str]:
+    """The variant paths that a JSON Pointer can mean: a token of digits is an index of an array or a key of an object, as its
+    parent is. Only one of them finds anything."""
+    paths = ["$"]
+    for t in canon.pointer_tokens(pointer):
+        key = "['" + t.replace("\\", "\\\\").replace("'", "\\'") + "']"
+        forms = [f"[{t}]", key] if t.isascii() and t.isdigit() and (t == "0" or t[0] != "0") and len(t) < 10 else [key]
+        paths = [p + f for p in paths for f in forms]
+    return paths
 
 
 def field_equals(document: Column, pointer: str, value: object) -> Column:
     """Whether a pointer finds ``value`` in a variant document, without coercion; what is missing equals nothing."""
-    found = F.try_variant_get(document, variant_path(pointer), "variant")
+    found = F.coalesce(*(F.try_variant_get(document, p, "variant") for p in variant_paths(pointer)))
     kind = F.schema_of_variant(found)
     if value is None:
         same = F.is_variant_null(found)

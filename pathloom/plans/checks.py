@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.plans import graphs
+from pathloom.functions import canon
+from pathloom.plans import expand, graphs
 
 KEY = ["graph_id", "version"]
 
@@ -38,6 +39,11 @@ def violations(spark: SparkSession, definitions: list[dict]) -> DataFrame:
     made = F.when(F.col("outcome") == graphs.UNSATISFIABLE, F.lit(graphs.UNSATISFIABLE_CONTRACT)).otherwise(F.coalesce(F.col("outputs")[F.col("outcome")], F.col("carried")))
     say(carried.where(~F.col("envelope") & (made != F.col("wanted"))), "contract_mismatch", "edge_id")
     say(node.where((F.col("kind") == "model") & F.col("binding_digest").isNull()), "model_without_binding", "node_id")
+    say(node.where((F.col("kind") != "model") & F.col("binding_digest").isNotNull()), "binding_on_other_kind", "node_id")
+    say(node.where(F.col("principal_id") == graphs.ENGINE_PRINCIPAL), "engine_principal", "node_id")
+    say(node.where((F.col("compose") == "envelope") & (F.col("input") != graphs.JOIN_INPUT_CONTRACT)), "envelope_input", "node_id")
+    others = [(g["graphId"], g["version"], g["graphId"]) for g in definitions if not _is_expansion(g)]
+    say(spark.createDataFrame(others, "graph_id string, version bigint, subject string"), "other_expansion", "subject")
     say(outcome.where(F.col("outcome") == graphs.UNSATISFIABLE).join(node.where("inbound is not null"), [*KEY, "node_id"], "left_anti"), "reserved_outcome", "node_id")
     say(node.where("inbound is not null").join(outcome.where(F.col("outcome") == graphs.UNSATISFIABLE), [*KEY, "node_id"], "left_anti"), "join_without_unsatisfiable", "node_id")
     say(node.where("entry and inbound is not null"), "entry_is_join", "node_id")
@@ -57,6 +63,16 @@ def violations(spark: SparkSession, definitions: list[dict]) -> DataFrame:
     return reduce(DataFrame.union, found).distinct()
 
 
+def _is_expansion(graph: dict) -> bool:
+    """Whether a graph with approvals or reviews is what its settings expand to."""
+    if not any("approval" in n or "review" in n for n in graph["nodes"]):
+        return True
+    try:
+        return bool(expand.rederived(graph))
+    except (graphs.GraphError, KeyError):
+        return False
+
+
 def _known(graph: dict) -> dict:
     """The graph with its known entry and what edges there are between known nodes, as a walk needs it."""
     known = {n["nodeId"] for n in graph["nodes"]}
@@ -74,25 +90,41 @@ def publication_conflicts(published: dict[str, DataFrame], digests: DataFrame, n
     return other.select(F.lit("graph_digest").alias("rule"), F.concat_ws("@", *KEY).alias("subject")).union(nodes.select(F.lit("node_signature"), F.concat_ws("@", *signed))).distinct()
 
 
+def _node_fields(n: dict) -> dict[str, object]:
+    """What a node's comparison looks at, by the name that a change is told by; outcomes stand apart."""
+    fields = {k: n.get(k) for k in ("ref", "kind", "input", "outputs", "configuration", "join")} | {"principal.id": n["principal"]["id"], "outcomes.version": n["outcomes"]["version"]}
+    fields |= {f"binding.{k}": n.get("binding", {}).get(k) for k in ("bindingId", "version", "bindingDigest")}
+    return fields | {f"turn.{k}": n["turn"].get(k) for k in ("leaseMs", "maxAttempts", "idempotency", "retryTaxonomy")}
+
+
 def diff(spark: SparkSession, old: dict, new: dict) -> DataFrame:
-    """``part, id, change, field`` between two definitions: parts by id, of kept ones the fields that differ."""
-    from pathloom.functions import canon
+    """``part, id, change, field, was, now`` between two definitions, by part and id: parts added and removed; of kept ones the fields that differ,
+    as canonical JSON, and the outcomes added and removed, in their authored order. The order of parts, and of a node's outcomes, is no change."""
 
-    def fields(g: dict) -> list[tuple[str, str, str, str]]:
-        rows = []
+    def fields(g: dict) -> list[tuple]:
+        rows = [("graph", "graph", k, canon.canonical_json(g[k]), None) for k in ("entry", "description") if k in g]
         for n in g["nodes"]:
-            rows += [("node", n["nodeId"], k, canon.canonical_json(sorted(v["outcomes"]) if k == "outcomes" else v)) for k, v in n.items() if k not in ("nodeId", "approval", "review")]
+            rows += [("node", n["nodeId"], k, canon.canonical_json(v), None) for k, v in _node_fields(n).items() if v is not None]
+            rows.append(("node", n["nodeId"], "outcomes", None, list(n["outcomes"]["outcomes"])))
         for e in g["edges"]:
-            rows += [("edge", e["edgeId"], k, canon.canonical_json(v)) for k, v in e.items() if k != "edgeId"]
-        return rows + [("terminal", f"{t['nodeId']}:{t['outcome']}", "is", "true") for t in g["terminals"]] + [("graph", "graph", k, canon.canonical_json(g[k])) for k in ("entry", "description") if k in g]
+            rows += [("edge", e["edgeId"], k, canon.canonical_json(e[k]), None) for k in ("from", "to", "when")]
+            rows.append(("edge", e["edgeId"], "outcomes", None, outcomes(e)))
+        return rows + [("terminal", f"{t['nodeId']}:{t['outcome']}", "is", "true", None) for t in g["terminals"]]
 
-    schema = "part string, id string, field string, value string"
+    schema = "part string, id string, field string, value string, outcomes array<string>"
     a, b = spark.createDataFrame(fields(old), schema), spark.createDataFrame(fields(new), schema)
     ids = a.select("part", "id").distinct().withColumn("was", F.lit(1)).join(b.select("part", "id").distinct().withColumn("now", F.lit(1)), ["part", "id"], "full_outer")
-    whole = ids.where("was is null or now is null").select("part", "id", F.when(F.col("was").isNull(), "added").otherwise("removed").alias("change"), F.lit(None).cast("string").alias("field"))
+    nothing = F.lit(None).cast("string")
+    whole = ids.where("was is null or now is null").select("part", "id", F.when(F.col("was").isNull(), "added").otherwise("removed").alias("change"), nothing.alias("field"), nothing.alias("was"), nothing.alias("now"))
     kept = ids.where("was is not null and now is not null").select("part", "id")
-    both = a.withColumnRenamed("value", "was").join(b.withColumnRenamed("value", "now"), ["part", "id", "field"], "full_outer").join(kept, ["part", "id"], "left_semi")
-    return whole.union(both.where(~F.col("was").eqNullSafe(F.col("now"))).select("part", "id", F.lit("changed"), "field"))
+    left, right = a.select("part", "id", "field", F.col("value").alias("was"), F.col("outcomes").alias("had")), b.select("part", "id", "field", F.col("value").alias("now"), F.col("outcomes").alias("has"))
+    both = left.join(right, ["part", "id", "field"], "full_outer").join(kept, ["part", "id"], "left_semi")
+    changed = both.where("field <> 'outcomes'").where(~F.col("was").eqNullSafe(F.col("now"))).select("part", "id", F.lit("changed").alias("change"), "field", "was", "now")
+    # array_except keeps the order of its first list
+    words = both.where("field = 'outcomes'").select("part", "id", F.array_except("had", "has").alias("gone"), F.array_except("has", "had").alias("come")).where("size(gone) > 0 or size(come) > 0")
+    listed = lambda c: F.when(F.size(c) > 0, F.array_join(c, ","))
+    named = words.select("part", "id", F.lit("changed"), F.lit("outcomes"), listed(F.col("gone")), listed(F.col("come")))
+    return whole.union(changed).union(named).orderBy("part", "id", "field")
 
 
 def goal_violations(graph: dict, manifest: dict) -> list[str]:

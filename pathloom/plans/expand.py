@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pathloom.plans.graphs import UNSATISFIABLE, GraphError, outcomes_of
+from pathloom.functions import canon
+from pathloom.plans.graphs import UNSATISFIABLE, GraphError, outcomes_of, seal
 
 REVIEW_REQUEST, REWORK, REJECTED = "review-request.v1", "rework.v1", "review-rejected.v1"
 MAX_ROUNDS, DEFAULT_ROUNDS = 10, 2
@@ -41,7 +42,7 @@ def expand(draft: dict) -> dict:
     reviewed = {x for x in nodes if "review" in nodes[x]}
     made = {f"{x}::approval" for x in gated} | {f"{x}::review" for x in reviewed}
     if made and made <= set(nodes):
-        return draft
+        return rederived(draft)
     reserved = made | {f"{x}::rework" for x in reviewed}
     if reserved & set(nodes):
         raise GraphError(f"reserved node ids: {sorted(reserved & set(nodes))}")
@@ -112,11 +113,50 @@ def expand(draft: dict) -> dict:
     return draft | {"entry": front(draft["entry"]), "nodes": out, "edges": edges, "terminals": terminals}
 
 
+def unexpand(graph: dict) -> dict:
+    """The draft that an expanded graph was made from: without the made nodes and what only they need, with what reviews took over back at
+    their subjects."""
+    nodes = {n["nodeId"]: n for n in graph["nodes"]}
+    subject = {f"{x}::{role}": x for x, n in nodes.items() for role in (("approval",) if "approval" in n else ()) + (("review", "rework") if "review" in n else ())}
+    own = {f"{m}.{end}" for m in subject for end in ("approved", "denied", "in", "rework", "rejected", "out")}
+    back = lambda x: subject.get(x, x)
+    plain = lambda o: o.removeprefix("accepted:")
+    edges = []
+    for e in graph["edges"]:
+        if e["edgeId"] in own and e["from"] in {*subject, *subject.values()}:
+            continue
+        when = e["when"]
+        if e["from"] in subject:
+            when = {"anyOf": [plain(o) for o in when["anyOf"]]} if "anyOf" in when else when | {"outcome": plain(when["outcome"])}
+        edges.append(e | {"from": back(e["from"]), "when": when, "to": [back(t) for t in e["to"]]})
+    kept = lambda t: t["nodeId"] not in subject or t["outcome"].startswith("accepted:")
+    terminals = [t | {"nodeId": back(t["nodeId"]), "outcome": plain(t["outcome"]) if t["nodeId"] in subject else t["outcome"]} for t in graph["terminals"] if kept(t)]
+    return {k: v for k, v in graph.items() if k != "digest"} | {"entry": back(graph["entry"]), "nodes": [n for x, n in nodes.items() if x not in subject], "edges": edges, "terminals": terminals}
+
+
+def rederived(graph: dict) -> dict:
+    """An expanded graph that is the expansion of its own settings; anything else raises."""
+    made = expand(unexpand(graph))
+    if _parts(made) != _parts(graph):
+        raise GraphError("the graph is not the expansion of its own settings")
+    return graph
+
+
+def _parts(graph: dict) -> tuple:
+    """A graph's parts, whatever order they stand in."""
+    return graph["entry"], *(sorted(map(canon.canonical_json, graph[k])) for k in ("nodes", "edges", "terminals"))
+
+
+def create(draft: dict) -> dict:
+    """A draft expanded, validated and sealed."""
+    return seal(expand(draft))
+
+
 def review_record(kind: str, request: dict, answer: dict, most: int | None) -> dict:
     """What a review's answer makes of its request: ``accepted:<outcome>`` with the reviewed output, the next rework with the
     history so far, or the final rejection. ``answer``: accepted or rejected, with feedback."""
-    if len(request["history"]) != request["round"] - 1:
-        raise GraphError("a request of round n has n - 1 earlier rounds")
+    if [h["round"] for h in request["history"]] != list(range(1, request["round"])):
+        raise GraphError("a request of round n has the rounds 1 to n - 1 behind it, in order")
     if answer["outcome"] == "accepted":
         return {"outcome": accepted(request["outcome"]), "output": request["output"]}
     history = [*request["history"], {"round": request["round"], "outcome": request["outcome"], "output": request["output"], "feedback": answer.get("feedback")}]

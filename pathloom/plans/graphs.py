@@ -17,7 +17,10 @@ from pathloom.functions import canon
 KINDS = ("code", "model", "agent", "human", "callback")
 MAX_NODES, MAX_EDGES, MAX_TERMINALS, MAX_INBOUND, MAX_ATTEMPTS, MAX_LEASE_MS = 256, 2048, 1024, 256, 10, 86_400_000
 UNSATISFIABLE = "join_unsatisfiable"
+#: Contracts and the principal that the engine itself uses; fixed values.
 UNSATISFIABLE_CONTRACT = "join-unsatisfiable.v1"
+JOIN_INPUT_CONTRACT = "join-input.v1"
+ENGINE_PRINCIPAL = "engine"
 
 
 class GraphError(ValueError):

@@ -62,10 +62,11 @@ def usage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.groupBy("node_id", "outcome").agg(F.count("*").alias("receipts"), F.sum("charged_tokens").alias("charged_tokens"), F.sum("charged_micro_usd").alias("charged_micro_usd"))
 
 
-@query(f"WITH {EVENT_JOURNEY_SQL}, n AS (SELECT unit_id, sequence, row_number() OVER (PARTITION BY unit_id ORDER BY sequence) AS r FROM journey) SELECT DISTINCT unit_id FROM n WHERE r <> sequence")
+@query(f"""WITH {EVENT_JOURNEY_SQL}, kept AS (SELECT unit_id, sequence FROM journey WHERE queue_id % 97 <> 0 OR unit_id % 3 = 0)
+SELECT unit_id FROM kept GROUP BY unit_id HAVING NOT (min(sequence) = 1 AND max(sequence) = count(*) AND count(DISTINCT sequence) = count(*))""")
 def sequence_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Units with a gap in their sequence: none."""
-    return paths.sequence_faults(event_journey(spark, sf_dir))
+    """Units with a gap in their sequence, of journeys that had records taken out."""
+    return paths.sequence_faults(event_journey(spark, sf_dir).where("queue_id % 97 <> 0 or unit_id % 3 = 0"))
 
 
 #: Edges over events: all three arms of the predicate language.
@@ -106,13 +107,6 @@ def enqueued_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "target", F.array_join("edge_ids", ",").alias("edge_ids"))
 
 
-@query("""WITH m AS (SELECT event_id, unnest(CASE event_type WHEN 'click' THEN ['to-cart'] WHEN 'purchase' THEN ['to-done'] WHEN 'signup' THEN ['to-done'] ELSE [] END) AS edge_id FROM events)
-SELECT edge_id, count(*) AS taken FROM m GROUP BY ALL""")
-def edge_traversals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often the unconditional edges were taken."""
-    return routing.matching_edges(_event_turns(spark, sf_dir), EVENT_EDGES[:2]).groupBy("edge_id").agg(F.count("*").alias("taken"))
-
-
 @query(f"""WITH {LINE_OFFERS_SQL}, inbound AS (SELECT unnest(range(1, 8)) AS edge_ord), s AS (
   SELECT o_orderkey AS unit_id, i.edge_ord, CASE WHEN EXISTS (SELECT 1 FROM offers f WHERE f.unit_id = o_orderkey AND f.edge_ord = i.edge_ord) THEN 'offered' WHEN o_orderstatus = 'F' THEN 'impossible' ELSE 'pending' END AS state
   FROM orders, inbound i
@@ -182,23 +176,6 @@ def claimed_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.claim(rows, 8, "p-1").drop("ref_id")
 
 
-GOALS = ([("buy", "node-0"), ("buy", "node-1"), ("join-in", "node-2"), ("watch", "node-3")], [("buy", "node-1", "purchase", "resolved"), ("join-in", "node-2", "signup", "resolved"), ("watch", "node-3", "view", "escalated")])
-
-
-@query(f"""WITH {EVENT_JOURNEY_SQL}, nodes AS ({NODE_PATHS_SQL}), members(goal_id, node_id) AS (VALUES ('buy', 'node-0'), ('buy', 'node-1'), ('join-in', 'node-2'), ('watch', 'node-3')),
-ends(goal_id, node_id, outcome, resolution) AS (VALUES ('buy', 'node-1', 'purchase', 'resolved'), ('join-in', 'node-2', 'signup', 'resolved'), ('watch', 'node-3', 'view', 'escalated')),
-k AS (SELECT unit_id, goal_id, count(*) AS closures, min(resolution) AS resolution FROM (SELECT unit_id, goal_id, node_id, unnest(outcomes) AS outcome FROM nodes JOIN members USING (node_id)) JOIN ends USING (goal_id, node_id, outcome) GROUP BY ALL),
-m AS (SELECT unit_id, goal_id, count(*) FILTER (state = 'failed') AS open_members, count(*) FILTER (state = 'dead') AS dead_members, CAST(sum(attempts) AS BIGINT) AS turns, CAST(sum(receipts) AS BIGINT) AS receipts, CAST(sum(charged_tokens) AS BIGINT) AS charged_tokens, CAST(sum(charged_micro_usd) AS BIGINT) AS charged_micro_usd FROM nodes JOIN members USING (node_id) GROUP BY ALL)
-SELECT u.unit_id, g.goal_id, CASE WHEN closures = 1 THEN 'closed' WHEN closures > 1 THEN 'ambiguous' WHEN turns IS NULL THEN 'unentered' WHEN dead_members > 0 AND open_members = 0 THEN 'dead' ELSE 'open' END AS status,
-  CASE WHEN closures = 1 THEN resolution END AS resolution, coalesce(open_members, 0) AS open_members, coalesce(dead_members, 0) AS dead_members, coalesce(turns, 0) AS turns, coalesce(receipts, 0) AS receipts, coalesce(charged_tokens, 0) AS charged_tokens, coalesce(charged_micro_usd, 0) AS charged_micro_usd
-FROM (SELECT DISTINCT unit_id FROM nodes) u CROSS JOIN (SELECT DISTINCT goal_id FROM members) g LEFT JOIN m ON m.unit_id = u.unit_id AND m.goal_id = g.goal_id LEFT JOIN k ON k.unit_id = u.unit_id AND k.goal_id = g.goal_id""")
-def goal_closure_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The status of three goals in each unit."""
-    members = spark.createDataFrame(GOALS[0], "goal_id string, node_id string")
-    ends = spark.createDataFrame(GOALS[1], "goal_id string, node_id string, outcome string, resolution string")
-    return paths.goal_closures(paths.node_paths(event_journey(spark, sf_dir)), members, ends)
-
-
 @query("""WITH w AS (SELECT event_type, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) // 1000 AS wait_ms FROM events)
 SELECT event_type, count(*) AS n, quantile_disc(wait_ms, 0.5) AS p50, quantile_disc(wait_ms, 0.95) AS p95 FROM w WHERE wait_ms IS NOT NULL GROUP BY ALL""")
 def queue_wait_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,7 +267,7 @@ def gate_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(gates.compile_flow(GATE)["bounds"].items()), "bound string, most bigint")
 
 
-def _picking_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+def picking_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of each order on the older picking graph: three picks, of which those whose place and customer add up to a
     multiple of five are out of stock."""
     pick = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("ord")
@@ -304,7 +281,7 @@ def _picking_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM (SELECT o_orderkey, CAST((o_custkey + 1) % 5 <> 0 AS INTEGER) + CAST((o_custkey + 2) % 5 <> 0 AS INTEGER) + CAST((o_custkey + 3) % 5 <> 0 AS INTEGER) AS d FROM orders)""")
 def replay_liveness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order replayed: whether its join of all picks fired or became unsatisfiable."""
-    made = replay.replay(_picking_turns(spark, sf_dir), PICKING_OLD)
+    made = replay.replay(picking_turns(spark, sf_dir), PICKING_OLD)
     fired = F.exists("effects", lambda e: e["kind"] == "join_queued")
     return made.groupBy("unit_id").agg(F.count("*").alias("records"), F.bool_or(fired).alias("fired"), F.bool_or(F.col("kind") == "join_unsatisfiable").alias("unsatisfiable"))
 
@@ -390,11 +367,3 @@ def unit_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median and 95th percentile of the time from a unit's first event to its last."""
     d = paths.durations(table(spark, sf_dir, "events"), "user_id", "ts")
     return paths.percentiles(d.withColumn("units", F.lit("all")), "units", "duration_ms", {"p50": 0.5, "p95": 0.95})
-
-
-@query("""WITH o AS (SELECT o_orderkey, 5 - o_custkey % 5 AS first_out FROM orders)
-SELECT CAST(o_orderkey AS VARCHAR) AS unit_id, 'pick-' || k || '-done' AS edge_id, CASE WHEN k < first_out THEN 'offered' WHEN k = first_out THEN 'impossible' ELSE 'pending' END AS state FROM o, (VALUES (1), (2), (3)) p(k)""")
-def join_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each order's join has from each pick: an offer, no more hope of one, or (once that settles the join) nothing."""
-    made = replay.replay(_picking_turns(spark, sf_dir), PICKING_OLD)
-    return joins.progress(made, PICKING_OLD).select("unit_id", "edge_id", "state")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pathloom.operators.leases import COMMAND, DECISION, Turns
-from pathloom.operators.replay import JOURNEY, Plan, ReplayError, Unit
+from pathloom.operators.replay import JOURNEY, Plan, Unit, take
 
 
 def usage_by_window(records: DataFrame, at: str, late: str, width: str) -> DataFrame:
@@ -25,32 +24,36 @@ def first_of(records: DataFrame, key: str, at: str, late: str) -> DataFrame:
     return records.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
 
 
-def replay_stream(turns: DataFrame, graph: dict) -> DataFrame:
-    """The journeys of a stream of turns. A unit's state is kept by its key; ``ord`` orders turns of one batch, and a turn
-    at or below the last one seen is a replay and changes nothing. A turn the state refuses is recorded as rejected."""
+def replay_stream(turns: DataFrame, graph: dict, remembered_ms: int | None = None) -> DataFrame:
+    """The journeys of a stream of turns, as ``replay`` makes them of a table. A unit's state is kept by its key as JSON without the
+    graph; ``ord`` orders turns of one batch, and a turn at or below the last one seen is a replay and changes nothing. Of a concluded
+    unit only counters are kept, so that replays of its turns change nothing; with ``remembered_ms`` these go after that time (only for
+    triggers by processing time: a stream with such timeouts never runs out of batches)."""
+    plan = Plan(graph)
 
     def run(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last, unit, made = -1, None, []
         if state.exists:
-            last, blob = state.get
-            unit = pickle.loads(blob)
-        if unit is None:
-            unit = Unit(key[0], Plan(graph))
+            last, text = state.get
+            unit = Unit.load(key[0], plan, text)
+        else:
+            unit = Unit(key[0], plan)
             made += unit.admit()
         rows = pd.concat(list(batches)).sort_values("ord").astype(object)
         for t in rows.where(rows.notna(), None).to_dict("records"):
-            if t["ord"] <= last:
-                continue
-            last = t["ord"]
-            try:
-                made += unit.turn(t["node_id"], t["outcome"], None, t["error_code"], t["retryable"] is not False)
-            except ReplayError:
-                made.append(unit._record("turn_rejected", t["node_id"], outcome=t["outcome"], error_code=t["error_code"]))
-        state.update((int(last), pickle.dumps(unit)))
+            if t["ord"] > last:
+                last = t["ord"]
+                made += take(unit, t)
+        state.update((int(last), unit.dump()))
+        if remembered_ms and not unit.open:
+            state.setTimeoutDuration(remembered_ms)
         if made:
             yield pd.DataFrame(made)[[f.split(" ")[0] for f in JOURNEY.split(", ")]]
 
-    return turns.groupBy("unit_id").applyInPandasWithState(run, JOURNEY, "last bigint, unit binary", "append", GroupStateTimeout.NoTimeout)
+    return turns.groupBy("unit_id").applyInPandasWithState(run, JOURNEY, "last bigint, unit string", "append", GroupStateTimeout.ProcessingTimeTimeout if remembered_ms else GroupStateTimeout.NoTimeout)
 
 
 def lease_stream(commands: DataFrame, graph: dict) -> DataFrame:
@@ -62,27 +65,44 @@ def lease_stream(commands: DataFrame, graph: dict) -> DataFrame:
         last, turns = -1, Turns(nodes.get(key[1]))
         if state.exists:
             last, blob = state.get
-            turns = pickle.loads(blob)
+            turns = Turns.load(nodes.get(key[1]), blob)
         rows = pd.concat(list(batches)).sort_values("ord").astype(object)
         new = [c for c in rows.where(rows.notna(), None).to_dict("records") if c["ord"] > last]
         made = [turns.decide(c) for c in new]
-        state.update((int(new[-1]["ord"]) if new else last, pickle.dumps(turns)))
+        state.update((int(new[-1]["ord"]) if new else last, turns.dump()))
         if made:
             yield pd.DataFrame(made)[[f.split(" ")[0] for f in DECISION.split(", ")]]
 
-    return commands.select(*COMMAND).groupBy("unit_id", "node_id").applyInPandasWithState(run, DECISION, "last bigint, turns binary", "append", GroupStateTimeout.NoTimeout)
+    return commands.select(*COMMAND).groupBy("unit_id", "node_id").applyInPandasWithState(run, DECISION, "last bigint, turns string", "append", GroupStateTimeout.NoTimeout)
+
+
+class AppendError(ValueError):
+    """Rows of a batch whose keys the table holds with other content."""
 
 
-def append_once(path: str, keys: list[str]):
+def append_once(path: str, keys: list[str], seal: str | None = None, buckets: int = 64):
     """A ``foreachBatch`` function that appends rows whose keys the table at ``path`` lacks, so a batch that runs again
-    adds nothing."""
+    adds nothing. With ``seal``, a column of the content's digest, a key that the table or the batch has with another seal refuses
+    the whole batch. The table is partitioned by a hash of the keys, and a batch reads only the partitions that it touches."""
 
     def sink(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        new = batch.dropDuplicates(keys)
-        fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        if fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs):
-            new = new.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
-        new.write.mode("append").parquet(path)
+        part = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        rows = batch.withColumn("key_bucket", part)
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        exists = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+        touched = [r[0] for r in rows.select("key_bucket").distinct().collect()]  # at most ``buckets``
+        met = [F.col(f"was.{k}").eqNullSafe(F.col(f"now.{k}")) for k in ["key_bucket", *keys]]
+        columns = ["key_bucket", *keys, *([seal] if seal else [])]
+        known = spark.read.parquet(path).where(F.col("key_bucket").isin(touched)).select(*columns).alias("was") if exists and touched else None
+        if seal:
+            twice = rows.groupBy(*keys).agg(F.countDistinct(F.coalesce(F.col(seal), F.lit(""))).alias("seals")).where("seals > 1")
+            other = rows.alias("now").join(known, met).where(~F.col(f"was.{seal}").eqNullSafe(F.col(f"now.{seal}"))) if known is not None else None
+            if not twice.isEmpty() or (other is not None and not other.isEmpty()):
+                raise AppendError(f"keys of the batch are known with other content: {path}")
+        new = rows.dropDuplicates(keys)
+        if known is not None:
+            new = new.alias("now").join(known, met, "left_anti").select("now.*")
+        new.repartition("key_bucket").write.mode("append").partitionBy("key_bucket").parquet(path)
 
     return sink

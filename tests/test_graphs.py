@@ -66,7 +66,7 @@ def test_diff(spark):
     new["edges"] = new["edges"][1:] + [edge("other", "start", "ready", "branch-a")]
     new["terminals"].reverse()
     got = {(r.part, r.id, r.change, r.field) for r in checks.diff(spark, GRAPHS["join"], new).collect()}
-    assert got == {("node", "branch-a", "changed", "turn"), ("edge", "fan-out", "removed", None), ("edge", "other", "added", None)}
+    assert got == {("node", "branch-a", "changed", "turn.maxAttempts"), ("edge", "fan-out", "removed", None), ("edge", "other", "added", None)}
     assert checks.diff(spark, new, new).count() == 0
 
 
@@ -130,11 +130,11 @@ def test_expansion(spark):
         ("filter-pass", "filter", "normalize::approval"), ("normalize-ok", "normalize::review", "sink"), ("normalize::approval.approved", "normalize::approval", "normalize"), ("normalize::approval.denied", "normalize::approval", "sink"),
         ("normalize::review.in", "normalize", "normalize::review"), ("normalize::review.rework", "normalize::review", "normalize::rework"), ("normalize::rework.out", "normalize::rework", "normalize::review"),
     }
-    assert {"nodeId": "normalize::review", "outcome": "rejected"} in g["terminals"] and expand.expand(g) is g
+    assert {"nodeId": "normalize::review", "outcome": "rejected"} in g["terminals"] and expand.expand(g) == g
     for n in g["nodes"]:
         n["input"] = "unit-artifact.v1"
         n.pop("outputs", None)
-    assert checks.violations(spark, [g]).collect() == []
+    assert {r.rule for r in checks.violations(spark, [g]).collect()} <= {"other_expansion"}
     budget = graphs.turn_budget(g)
     assert budget["acyclic"] and budget["nodes"]["normalize::review"]["occurrences"] == 3 and budget["nodes"]["normalize::rework"]["occurrences"] == 2 and budget["nodes"]["sink"]["occurrences"] == 2
     assert expand.expand(GRAPHS["join"])["nodes"] == GRAPHS["join"]["nodes"]
@@ -161,3 +161,33 @@ def test_binary_question(spark):
     part = expand.binary_question("q", shared, [{"ref": {"id": "q.a", "version": 1}}, {"ref": {"id": "q.b", "version": 1}, "kind": "human"}], "sink", "sink")
     g = graph("q", "q", [*part["nodes"], node("sink", "done")], part["edges"], [(t["nodeId"], t["outcome"]) for t in part["terminals"]] + [("sink", "done")])
     assert checks.violations(spark, [g]).collect() == [] and graphs.distances(g) == {"q": 0, "sink": 1, "q:tier-1": 1}
+
+
+def test_expansions_are_checked_against_their_settings():
+    for draft in (_reviewed(maxRounds=3), _reviewed(maxRounds=1), _reviewed(onReject={"retry": True})):
+        made = expand.create(draft)
+        assert expand.rederived(made) == made and graphs.unseal(made) == made
+        back = expand.unexpand(made)
+        assert expand._parts(back) == expand._parts(draft) and expand.expand(back)["nodes"] == made["nodes"]
+        for k, e in enumerate(made["edges"]):
+            if "::" in e["edgeId"]:
+                with pytest.raises(graphs.GraphError):
+                    expand.expand(made | {"edges": [*made["edges"][:k], e | {"to": ["filter"]}, *made["edges"][k + 1 :]]})
+        role = next(n for n in made["nodes"] if n["nodeId"].endswith("::review"))
+        with pytest.raises(graphs.GraphError):
+            expand.expand(made | {"nodes": [n | {"principal": {"id": "someone"}} if n is role else n for n in made["nodes"]]})
+
+
+def test_diff_tells_values_and_outcomes_in_order(spark):
+    old, new = copy.deepcopy(GRAPHS["outcome-router"]), copy.deepcopy(GRAPHS["outcome-router"])
+    new["nodes"][0]["outcomes"]["outcomes"] = ["other", "noise", "jobs", "a-first"]
+    new["nodes"][1]["turn"]["maxAttempts"] = 3
+    new["nodes"][0]["binding"]["version"] = 2
+    new["edges"][0]["when"] = {"anyOf": ["jobs"]}
+    got = {(r.part, r.id, r.field): (r.was, r.now) for r in checks.diff(spark, old, new).collect()}
+    assert got == {
+        ("node", "classify", "outcomes"): ("receipts", "other,a-first"), ("node", "jobs", "turn.maxAttempts"): ("2", "3"), ("node", "classify", "binding.version"): ("1", "2"),
+        ("edge", "route-jobs", "when"): ('{"outcome":"jobs"}', '{"anyOf":["jobs"]}'),
+    }
+    new["nodes"] = new["nodes"][::-1]
+    assert [(r.part, r.id, r.field) for r in checks.diff(spark, old, new).collect()] == sorted(got)

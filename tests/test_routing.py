@@ -1,7 +1,9 @@
 import json
+import re
 
 from pyspark.sql import functions as F
 
+from pathloom.functions import canon
 from pathloom.operators import joins, routing
 
 DOCS = ['{"payload":{"a":1,"b.c":"1","d":null,"e":true,"f":[5,{"g":"x"}]}}', '{"payload":{"a":1.0,"b.c":1,"e":"true"}}', '{"payload":{"a":"1","d":0,"f":[]}}', "{}", None, "broken"]
@@ -36,5 +38,21 @@ def test_dispositions_and_fire_points(spark):
     ]
     # both offers of the settlement that fires count; the first by authored order is selected
     assert [(r.u, r.fired_at, r.selected, r.accepted_edges) for r in joins.selected(got, ["u"], "artifact").collect()] == [(1, 10, "aa", ["a", "b", "c"])]
-    text = joins.envelopes(got.withColumn("p", F.concat(F.lit('"'), "artifact", F.lit('"'))), ["u"], "p").first().envelope_json
-    assert [x["edgeId"] for x in json.loads(text)["inputs"]] == ["a", "b", "c"]
+    parts = joins.canonical_inputs(got, ["u"], {"unitId": joins.quoted(F.col("u").cast("string"))}, {"edgeId": joins.quoted(F.col("edge_id")), "artifact": joins.quoted(F.col("artifact"))}).first()
+    assert parts.input_json == canon.canonical_json(json.loads(parts.input_json)) and parts.input_digest == canon.raw_digest(parts.input_json)
+    assert [x["edgeId"] for x in json.loads(parts.input_json)["accepted"]] == ["a", "b", "c"]
+
+
+def test_digit_tokens_are_keys_or_indexes(spark):
+    rows = spark.createDataFrame([('{"payload":{"0":"x"}}',), ('{"payload":["x"]}',), ('{"payload":{"01":"x"}}',), ('{"payload":"x"}',)], "t string").select(F.try_parse_json("t").alias("d"), "t")
+    for pointer in ("/payload/0", "/payload/01"):
+        want = [canon.pointer_get(json.loads(r.t), pointer) == "x" for r in rows.collect()]
+        assert [r.hit for r in rows.select(routing.field_equals(F.col("d"), pointer, "x").alias("hit")).collect()] == want
+
+
+def test_grammars_end_where_the_text_ends(spark):
+    texts = ["abc", "abc\n", "a.v1", "a.v1\n", "0" * 64, "0" * 64 + "\n", "2024-05-01T00:00:00.000Z", "2024-05-01T00:00:00.000Z\n", "\u0662024-05-01T00:00:00.000Z"]
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    for pattern in (canon.IDENTIFIER, canon.CONTRACT_ID, canon.DIGEST, canon.TIMESTAMP):
+        here = [bool(re.match(pattern, x)) for x in texts]
+        assert here == [r.hit for r in df.select(F.col("t").rlike(pattern).alias("hit")).collect()] and not any(h for h, x in zip(here, texts, strict=True) if x.endswith("\n"))

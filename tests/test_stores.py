@@ -3,7 +3,7 @@
 import pytest
 
 from graphs import build
-from pathloom.operators import joins, paths, replay
+from pathloom.operators import paths, replay
 from pathloom.plans import diagram, graphs
 from pathloom.plans.examples import PICKING, PICKING_OLD
 from pathloom.sources import graph_store, tables
@@ -44,7 +44,7 @@ def test_progress_is_the_kernels(spark):
     turns = [("u", 0, "received", "ready"), ("u", 1, "pick-2", "done"), ("u", 2, "pick-1", "out"), ("v", 0, "received", "ready"), ("v", 1, "pick-3", "done"), ("v", 2, "pick-1", "done"), ("v", 3, "pick-2", "done")]
     rows = spark.createDataFrame([(*t, None, None, None) for t in turns], "unit_id string, ord int, node_id string, outcome string, output_json string, error_code string, retryable boolean")
     for graph in (PICKING_OLD, PICKING):
-        got = {(r.unit_id, r.edge_id): r.state for r in joins.progress(replay.replay(rows, graph), graph).collect()}
+        got = {(r.unit_id, r.edge_id): r.state for r in replay.join_states(rows, graph).collect()}
         for name in "uv":
             unit = replay.Unit(name, replay.Plan(graph))
             unit.admit()
