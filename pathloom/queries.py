@@ -303,13 +303,6 @@ def human_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("conv_id").alias("unit_id"), "turn", F.col("role").alias("actor_id"), F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("bigint").alias("decision"))
 
 
-@query("""SELECT o_orderpriority AS node_id, count(*) AS turns, count(*) FILTER (o_orderstatus = 'F') AS succeeded, count(*) FILTER (o_orderstatus = 'P') AS skipped, count(*) FILTER (o_orderstatus = 'O') AS rejected FROM orders GROUP BY ALL""")
-def worker_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of each node by how they ended."""
-    o = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("node_id"))
-    return o.agg(F.count("*").alias("turns"), *(F.count_if(F.col("o_orderstatus") == s).alias(n) for s, n in (("F", "succeeded"), ("P", "skipped"), ("O", "rejected"))))
-
-
 @query("""WITH s AS (SELECT c_custkey AS unit_id, CASE WHEN c_nationkey < 5 THEN 'b' ELSE 'a' END AS seal FROM customer), k AS (SELECT c_custkey AS unit_id, 'a' AS was FROM customer WHERE c_acctbal < 2000)
 SELECT CASE WHEN was IS NULL THEN 'new' WHEN was = seal THEN 'replay' ELSE 'conflict' END AS result, count(*) AS units FROM s LEFT JOIN k USING (unit_id) GROUP BY ALL""")
 def admissions(spark: SparkSession, sf_dir: str) -> DataFrame:

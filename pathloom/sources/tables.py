@@ -36,6 +36,11 @@ def artifacts(df: DataFrame) -> DataFrame:
     return df.dropDuplicates(["contract_id", "digest"])
 
 
+def lookup(wanted: DataFrame, known: DataFrame) -> DataFrame:
+    """The artifacts that references (``contract_id, digest``) name; null where there is none."""
+    return wanted.join(known, ["contract_id", "digest"], "left")
+
+
 def usage_events(turns: DataFrame) -> DataFrame:
     """One outbox event for each receipt of a turn; its key is the digest of event type, attempt key and place."""
     rows = turns.select("unit_id", "queue_id", "node_id", "idempotency_key", F.posexplode("usage").alias("receipt_index", "receipt"))
