@@ -40,8 +40,8 @@ BANDS, BAND_ROWS = 26, 5
 HASHES = BANDS * BAND_ROWS
 #: MinHash values to a step of the comparison, and the posterior below which a pair is dropped.
 STEP, TOLERANCE = 26, 1e-7
-#: Members of a block, and their shingles, on average; a tile has two.
-BLOCK, BLOCK_SHINGLES = 256, 1 << 18
+#: Members of a block, and their shingles, on average; a tile has two. Pairs of a tile that are compared at a time.
+BLOCK, BLOCK_SHINGLES, PAIRS = 1024, 1 << 20, 1 << 17
 #: Shingles that are hashed at a time.
 SHINGLES = 4096
 
@@ -142,19 +142,21 @@ def _alike(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
 def candidates(signatures: np.ndarray, blocks: np.ndarray, same: bool, band: int, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
     """The pairs of a tile's members (places) that pass every step. Within one block all pairs count, else those across; a
     pair that shares an earlier band than ``band`` is left to it."""
-    if same:
-        first, second = np.triu_indices(len(signatures), 1)
-    else:
-        left, right = np.flatnonzero(blocks == blocks.min()), np.flatnonzero(blocks != blocks.min())
-        first, second = (x.ravel() for x in np.meshgrid(left, right, indexing="ij"))
-    kept = survivors(signatures[first], signatures[second], threshold)
-    first, second = first[kept], second[kept]
-    if band and len(first):
-        shape = (len(signatures), BANDS, BAND_ROWS)
-        early = signatures.reshape(shape)[:, :band]
-        own = ~(early[first] == early[second]).all(2).any(1)
-        first, second = first[own], second[own]
-    return first, second
+    left, right = (np.arange(len(signatures)),) * 2 if same else (np.flatnonzero(blocks == blocks.min()), np.flatnonzero(blocks != blocks.min()))
+    early = signatures.reshape(len(signatures), BANDS, BAND_ROWS)[:, :band]
+    out = []
+    rows = max(1, PAIRS // max(1, len(right)))
+    for at in range(0, len(left), rows):
+        first, second = np.repeat(left[at : at + rows], len(right)), np.tile(right, len(left[at : at + rows]))
+        if same:
+            first, second = first[first < second], second[first < second]
+        kept = survivors(signatures[first], signatures[second], threshold)
+        first, second = first[kept], second[kept]
+        if band and len(first):
+            own = ~(early[first] == early[second]).all(2).any(1)
+            first, second = first[own], second[own]
+        out.append((first, second))
+    return np.concatenate([f for f, _ in out]), np.concatenate([x for _, x in out])
 
 
 def _roots(n: int, first: np.ndarray, second: np.ndarray) -> list[int]:
