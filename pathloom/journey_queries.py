@@ -48,6 +48,15 @@ def depot_journeys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.replay(depot_turns(spark, sf_dir), examples.DEPOT)
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, for what reads it more than once: replay runs a kernel."""
+    at = f"{_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def number(queue_id: str) -> Column:
     """The number of an occurrence in its unit."""
     return F.substring_index(F.col(queue_id), "/", -1).cast("int")
@@ -128,7 +137,7 @@ def edge_traversals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(by_kind("(goal_id, status, resolution, open_members, dead_members, turns)", examples.DEPOT_CLOSURES))
 def goal_closure_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The goals of each unit, from its occurrences and joins."""
-    made = depot_journeys(spark, sf_dir)
+    made = kept(depot_journeys(spark, sf_dir), "journeys")
     found = paths.goal_closures(paths.occurrences(made), joins.states(made), examples.DEPOT_GOALS)
     return found.select("unit_id", "goal_id", "status", "resolution", "open_members", "dead_members", F.col("turns").cast("int").alias("turns"))
 
@@ -166,7 +175,7 @@ UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'enqueue_order', o_orderkey || '/3
 def journey_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults of journeys that were tampered with, by the order's key: a number left out, a turn on what nobody queued, a turn on
     another node, and an occurrence queued out of order."""
-    made, key = depot_journeys(spark, sf_dir), F.col("unit_id").cast("bigint")
+    made, key = kept(depot_journeys(spark, sf_dir), "journeys"), F.col("unit_id").cast("bigint")
     second = F.col("sequence") == 2
     out_of_order = F.transform("effects", lambda e: F.when(e["queue_id"].endswith("/3") & (e["node_id"] == "scan-b"), e.withField("enqueue_sequence", F.lit(1).cast("bigint"))).otherwise(e))
     tampered = made.withColumns({

@@ -148,9 +148,16 @@ def queue_positions(open_: DataFrame, node: str = "node_id", by: str = "enqueue_
     return ranked.join(sizes, [node, "run"]).withColumn("queue_position", F.col("before") + F.col("within")).select(*open_.columns, "queue_position")
 
 
-def queued(open_: DataFrame, principal: str, node: str, limit: int = 100) -> DataFrame:
-    """The first open occurrences of a principal's node."""
-    return open_.where((F.col("principal_id") == principal) & (F.col("node_id") == node)).orderBy("enqueue_sequence").limit(limit)
+def queued(open_: DataFrame, principal: str, node: str, limit: int = 100, leased: DataFrame | None = None) -> DataFrame:
+    """The first open occurrences of a principal's node, without those under a lease (``queue_id``)."""
+    rows = open_.where((F.col("principal_id") == principal) & (F.col("node_id") == node))
+    rows = rows if leased is None else rows.join(leased.select("queue_id"), "queue_id", "left_anti")
+    return rows.orderBy("enqueue_sequence").limit(limit)
+
+
+def failed_units(units: DataFrame, principals: DataFrame, failures: DataFrame) -> DataFrame:
+    """Failed units with who ran them: ``unit_id, principal_id`` of units, ``principal_id, name``, and ``unit_id, attempt, error_code`` of failures."""
+    return failures.join(units, "unit_id").join(principals, "principal_id").select("unit_id", "name", "attempt", "error_code")
 
 
 def claim(open_: DataFrame, batch: int, cursor: str | None = None) -> DataFrame:

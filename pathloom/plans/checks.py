@@ -189,3 +189,40 @@ def goal_violations(graph: dict, manifest: dict) -> list[str]:
 
 def outcomes(edge: dict) -> list[str]:
     return graphs.outcomes_of(edge["when"])
+
+
+GOALS = "goal-manifest.v1"
+
+
+def create_manifest(graph: dict, goals: list[dict]) -> dict:
+    """A manifest of goals that hold for a sealed graph, with its seal; goals that don't hold raise."""
+    graphs.unseal(graph)
+    body = {"schemaVersion": GOALS, "graph": graphs.ref(graph), "goals": goals}
+    _goal_shapes(goals)
+    if faults := goal_violations(graph, body):
+        raise graphs.GraphError("; ".join(faults))
+    return body | {"manifestDigest": canon.digest(body)}
+
+
+def check_manifest(manifest: dict, graph: dict | None = None) -> dict:
+    """A sealed manifest whose seal is its own and, with ``graph``, which describes exactly that graph; anything else raises."""
+    body = {k: v for k, v in manifest.items() if k != "manifestDigest"}
+    if set(body) != {"schemaVersion", "graph", "goals"} or body["schemaVersion"] != GOALS or canon.digest(body) != manifest.get("manifestDigest"):
+        raise graphs.GraphError("no goal manifest with its own digest")
+    _goal_shapes(body["goals"])
+    if graph is not None:
+        if graphs.ref(graphs.unseal(graph)) != body["graph"]:
+            raise graphs.GraphError("the manifest describes another graph")
+        if faults := goal_violations(graph, body):
+            raise graphs.GraphError("; ".join(faults))
+    return manifest
+
+
+def _goal_shapes(goals: list[dict]) -> None:
+    for g in goals:
+        if set(g) - {"description"} != {"goalId", "entry", "members", "resolutions"} or not 1 <= len(g["members"]) <= graphs.MAX_NODES or len(set(g["members"])) != len(g["members"]):
+            raise graphs.GraphError("a goal has an id, an entry, different members and resolutions")
+        if any(set(r) != {"nodeId", "outcome", "kind"} or r["kind"] not in ("resolved", "escalated") for r in g["resolutions"]):
+            raise graphs.GraphError("a resolution is an outcome of a node, resolved or escalated")
+    if len({g["goalId"] for g in goals}) != len(goals) or not goals:
+        raise graphs.GraphError("goals have different ids")

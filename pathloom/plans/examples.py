@@ -50,7 +50,7 @@ PICKING_BROKEN = [
     _broken(16, nodes=[_N[0] | {"binding": {"kind": "model", "bindingId": "b", "version": 1, "bindingDigest": "a" * 64}}, *_N[1:]]), _broken(17, nodes=[_N[0] | {"principal": {"id": "engine"}}, *_N[1:]]),
     _broken(18, nodes=[n | {"join": n["join"] | {"compose": "envelope"}} if "join" in n else n for n in _N]),
     _broken(19, description="edited by hand after its approval was written out", entry="received::approval", nodes=[
-        _node("received::approval", "approved", "denied") | {"ref": {"id": "picking.received::approval.human", "version": 1}, "kind": "human"}, _N[0] | {"approval": {"by": {"kind": "human", "principal": {"id": "boss"}}, "onDeny": "end"}}, *_N[1:]],
+        _node("received::approval", "approved", "denied") | {"ref": {"id": "picking.received::approval.human", "version": 1}, "kind": "human"}, _N[0] | {"approval": {"by": {"kind": "human", "principal": {"id": "boss"}}, "onDeny": "terminal"}}, *_N[1:]],
         edges=[_edge("received::approval.approved", "received::approval", "approved", "received"), *_E], terminals=[*_T, {"nodeId": "received::approval", "outcome": "denied"}]),
     _broken(15, edges=[_edge("start", "received", "ready", *_PICKS) | {"when": {"outcome": "ready", "where": [{"pointer": "/payload/open", "equals": True}]}}, *_E[1:]]),
 ]

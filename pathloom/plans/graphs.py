@@ -54,35 +54,150 @@ def validate_predicate(when: dict) -> None:
     _need(1 <= len(when.get("where", [0])) <= 32, "a predicate has 1 to 32 matches")
 
 
+#: Fields of a definition's parts, those that have to be there and those that may; fixed values.
+FIELDS: dict[str, tuple[set[str], set[str]]] = {
+    "graph": ({"graphId", "version", "description", "entry", "nodes", "edges", "terminals"}, {"schemaVersion", "digest"}),
+    "node": ({"nodeId", "ref", "kind", "input", "outcomes", "principal", "turn"}, {"outputs", "binding", "configuration", "join", "approval", "review"}),
+    "edge": ({"edgeId", "from", "when", "to"}, set()), "terminal": ({"nodeId", "outcome"}, set()), "ref": ({"id", "version"}, set()), "principal": ({"id"}, set()), "configuration": ({"id", "version", "digest"}, set()),
+    "binding": ({"kind", "bindingId", "version", "bindingDigest"}, set()), "turn": ({"leaseMs", "maxAttempts"}, {"idempotency", "retryTaxonomy"}), "outcomes": ({"version", "outcomes"}, set()),
+    "join": ({"inbound", "require"}, {"compose"}), "approval": ({"by", "onDeny"}, set()), "review": ({"by", "onReject"}, {"maxRounds"}), "actor": ({"kind", "principal"}, {"binding"}),
+}
+#: What a definition may hold in all, so that no document takes a validator to its knees.
+MAX_DEPTH, MAX_VALUES, MAX_TEXT = 32, 200_000, 8_000_000
+
+
+def _shaped(x: object, part: str, what: str) -> None:
+    must, may = FIELDS[part]
+    _need(isinstance(x, dict), f"{what} is no object")
+    _need(must <= set(x) and set(x) <= must | may, f"{what}: fields {sorted(must - set(x)) or sorted(set(x) - must - may)}")
+
+
+def within_bounds(document: object, depth: int = MAX_DEPTH, values: int = MAX_VALUES, text: int = MAX_TEXT) -> None:
+    """Refuses documents that are too deep, hold too many values or too much text, or anything but JSON."""
+    todo: list[tuple[object, int]] = [(document, 1)]
+    while todo:
+        x, at = todo.pop()
+        values -= 1
+        _need(at <= depth and values >= 0, "a document of bounded depth and size")
+        if isinstance(x, dict):
+            _need(all(isinstance(k, str) for k in x), "names are texts")
+            text -= sum(map(len, x))
+            todo += [(v, at + 1) for v in x.values()]
+        elif isinstance(x, list | tuple):
+            todo += [(v, at + 1) for v in x]
+        elif isinstance(x, str):
+            text -= len(x)
+        else:
+            _need(x is None or isinstance(x, bool | int | float), f"{type(x).__name__} is not JSON")
+        _need(text >= 0, "a document of bounded text")
+
+
+def _identifier(x: object, what: str) -> None:
+    _need(isinstance(x, str) and re.match(canon.IDENTIFIER, x), f"{what}: {x!r} is no identifier")
+
+
+def _whole(x: object, least: int, most: int, what: str) -> None:
+    _need(isinstance(x, int) and not isinstance(x, bool) and least <= x <= most, f"{what}: an integer from {least} to {most}")
+
+
+def _named(x: dict, part: str, what: str, name: str = "id", seal: str | None = None) -> None:
+    """A reference by name and version, and by digest if it has one."""
+    _shaped(x, part, what)
+    _identifier(x[name], what)
+    _whole(x["version"], 1, canon.MAX_SAFE, f"{what} version")
+    if seal:
+        _need(isinstance(x[seal], str) and re.match(canon.DIGEST, x[seal]), f"{what}: no digest")
+
+
+def validate_actor(x: dict, what: str = "actor") -> None:
+    """Who approves or reviews: a person, or a model with its binding."""
+    _shaped(x, "actor", what)
+    _need(x["kind"] in ("human", "model") and ("binding" in x) == (x["kind"] == "model"), f"{what} is a person, or a model with a binding")
+    _shaped(x["principal"], "principal", what)
+    _identifier(x["principal"]["id"], f"{what} principal")
+    if "binding" in x:
+        validate_binding(x["binding"], what)
+
+
+def validate_binding(x: dict, what: str = "binding") -> None:
+    _named(x, "binding", what, "bindingId", "bindingDigest")
+    _need(x["kind"] == "model", f"{what}: only models are bound")
+
+
+def validate_route(x: object, what: str = "route") -> None:
+    """Where a denial or rejection goes: the end, a node, or back to be asked again."""
+    if x != "terminal":
+        _need(isinstance(x, dict) and set(x) in ({"to"}, {"retry"}) and (x.get("retry", True) is True), f"{what}: the end, a node or a retry")
+        if "to" in x:
+            _identifier(x["to"], what)
+
+
+def validate_node(node: dict) -> None:
+    """A node's own grammar."""
+    _shaped(node, "node", f"node {node.get('nodeId')!r}" if isinstance(node, dict) else "node")
+    x = node["nodeId"]
+    _identifier(x, "node")
+    _named(node["ref"], "ref", f"{x} ref")
+    _need(node["kind"] in KINDS, f"{x}: no kind {node['kind']!r}")
+    _need(isinstance(node["input"], str) and re.match(canon.CONTRACT_ID, node["input"]), f"{x}: no contract {node['input']!r}")
+    _shaped(node["principal"], "principal", f"{x} principal")
+    _identifier(node["principal"]["id"], f"{x} principal")
+    vocabulary = node["outcomes"]
+    _shaped(vocabulary, "outcomes", f"{x} outcomes")
+    _need(vocabulary["version"] == node["ref"]["version"], f"{x}: the vocabulary has the version of the node")
+    names = vocabulary["outcomes"]
+    _need(1 <= len(names) <= 64 and len(set(names)) == len(names), f"{x}: 1 to 64 different outcomes")
+    for o in names:
+        _identifier(o, f"{x} outcome")
+    _shaped(node["turn"], "turn", f"{x} turn")
+    _whole(node["turn"]["leaseMs"], 1, MAX_LEASE_MS, f"{x} lease")
+    _whole(node["turn"]["maxAttempts"], 1, MAX_ATTEMPTS, f"{x} attempts")
+    for outcome, contract in node.get("outputs", {}).items():
+        _need(outcome in names and re.match(canon.CONTRACT_ID, contract), f"{x}: outputs are contracts of declared outcomes")
+    if "binding" in node:
+        validate_binding(node["binding"], f"{x} binding")
+    if "configuration" in node:
+        _named(node["configuration"], "configuration", f"{x} configuration", "id", "digest")
+    if "join" in node:
+        _shaped(node["join"], "join", f"{x} join")
+        inbound, require = node["join"]["inbound"], node["join"]["require"]
+        _need(1 <= len(inbound) <= MAX_INBOUND and len(set(inbound)) == len(inbound), f"{x}: 1 to 256 different inbound edges")
+        _need(require == "all" or (isinstance(require, dict) and set(require) == {"nOf"}), f"{x}: a join requires all or n of its edges")
+        if require != "all":
+            _whole(require["nOf"], 1, MAX_INBOUND, f"{x} join")
+        _need(node["join"].get("compose", "select") in ("select", "envelope"), f"{x}: a join selects or composes")
+    for part, route in (("approval", "onDeny"), ("review", "onReject")):
+        if part in node:
+            _shaped(node[part], part, f"{x} {part}")
+            validate_actor(node[part]["by"], f"{x} {part}")
+            validate_route(node[part][route], f"{x} {part}")
+
+
 def validate(draft: dict) -> None:
     """The grammar of a definition; what its parts say of each other is for ``checks``."""
-    identifier = lambda x, what: _need(isinstance(x, str) and re.match(canon.IDENTIFIER, x), f"{what}: {x!r} is no identifier")
-    identifier(draft["graphId"], "graph")
-    _need(isinstance(draft["version"], int) and 1 <= draft["version"] <= canon.MAX_SAFE, "a version is a positive integer")
+    within_bounds(draft)
+    _shaped(draft, "graph", "graph")
+    _identifier(draft["graphId"], "graph")
+    _identifier(draft["entry"], "entry")
+    _whole(draft["version"], 1, canon.MAX_SAFE, "version")
     for part, least, most in (("nodes", 1, MAX_NODES), ("edges", 0, MAX_EDGES), ("terminals", 1, MAX_TERMINALS)):
         _need(least <= len(draft[part]) <= most, f"{least} to {most} {part}")
     for part, key in (("nodes", "nodeId"), ("edges", "edgeId")):
         names = [x[key] for x in draft[part]]
         _need(len(set(names)) == len(names), f"{part} have different ids")
+    for t in draft["terminals"]:
+        _shaped(t, "terminal", "terminal")
     pairs = [(t["nodeId"], t["outcome"]) for t in draft["terminals"]]
     _need(len(set(pairs)) == len(pairs), "terminals are different")
     for node in draft["nodes"]:
-        identifier(node["nodeId"], "node")
-        _need(node["kind"] in KINDS, f"{node['nodeId']}: no kind {node['kind']!r}")
-        _need(re.match(canon.CONTRACT_ID, node["input"]), f"{node['nodeId']}: no contract {node['input']!r}")
-        vocabulary = node["outcomes"]
-        _need(vocabulary["version"] == node["ref"]["version"], f"{node['nodeId']}: the vocabulary has the version of the node")
-        _need(1 <= len(vocabulary["outcomes"]) <= 64 and len(set(vocabulary["outcomes"])) == len(vocabulary["outcomes"]), f"{node['nodeId']}: 1 to 64 different outcomes")
-        _need(1 <= node["turn"]["leaseMs"] <= MAX_LEASE_MS and 1 <= node["turn"]["maxAttempts"] <= MAX_ATTEMPTS, f"{node['nodeId']}: lease and attempts within bounds")
-        for outcome, contract in node.get("outputs", {}).items():
-            _need(outcome in vocabulary["outcomes"] and re.match(canon.CONTRACT_ID, contract), f"{node['nodeId']}: outputs are contracts of declared outcomes")
-        if "join" in node:
-            inbound, require = node["join"]["inbound"], node["join"]["require"]
-            _need(1 <= len(inbound) <= MAX_INBOUND and len(set(inbound)) == len(inbound), f"{node['nodeId']}: 1 to 256 different inbound edges")
-            _need(require == "all" or require["nOf"] >= 1, f"{node['nodeId']}: a join requires all or n of its edges")
+        validate_node(node)
     for edge in draft["edges"]:
-        identifier(edge["edgeId"], "edge")
+        _shaped(edge, "edge", f"edge {edge.get('edgeId')!r}")
+        _identifier(edge["edgeId"], "edge")
+        _identifier(edge["from"], f"{edge['edgeId']} source")
         _need(1 <= len(edge["to"]) <= 64 and len(set(edge["to"])) == len(edge["to"]), f"{edge['edgeId']}: 1 to 64 different targets")
+        for t in edge["to"]:
+            _identifier(t, f"{edge['edgeId']} target")
         validate_predicate(edge["when"])
 
 

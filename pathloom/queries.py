@@ -161,10 +161,11 @@ def queue_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.queue_positions(_open(spark, sf_dir))
 
 
-@query(f"WITH {OPEN_SQL} SELECT * FROM open WHERE principal_id = 'p-1' AND node_id = '5-LOW' ORDER BY enqueue_sequence LIMIT 100")
+@query(f"WITH {OPEN_SQL} SELECT * FROM open WHERE principal_id = 'p-1' AND node_id = '5-LOW' AND queue_id % 5 <> 0 ORDER BY enqueue_sequence LIMIT 100")
 def queued_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first hundred of one principal's queue."""
-    return paths.queued(_open(spark, sf_dir), "p-1", "5-LOW")
+    """The first hundred of one principal's queue that nobody holds."""
+    leased = table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("queue_id"))
+    return paths.queued(_open(spark, sf_dir), "p-1", "5-LOW", leased=leased)
 
 
 @query(f"""WITH {OPEN_SQL}, h AS (SELECT node_id, principal_id, min(enqueue_sequence) AS lane_head FROM open GROUP BY ALL), n AS (SELECT *, min(lane_head) OVER (PARTITION BY node_id) AS node_head FROM h),
@@ -224,15 +225,14 @@ def unit_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(F.col("conv_id").alias("unit_id"), "turns", "final_node_id", F.when(F.col("final_node_id") == "user", "awaiting_human").otherwise("completed").alias("status"))
 
 
-@query("""SELECT o.o_orderkey AS unit_id, c.c_name AS principal_id, l.l_linenumber AS attempt, l.l_returnflag AS error_code FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN lineitem l ON l.l_orderkey = o.o_orderkey
+@query("""SELECT o.o_orderkey AS unit_id, c.c_name AS name, l.l_linenumber AS attempt, l.l_returnflag AS error_code FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN lineitem l ON l.l_orderkey = o.o_orderkey
 WHERE o.o_orderstatus = 'F' AND l.l_returnflag = 'R'""")
 def failed_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Failed units with what they were and who ran them: a join of three tables."""
-    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_custkey")
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    l = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select("l_orderkey", "l_linenumber", "l_returnflag")  # noqa: E741
-    met = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey"))
-    return met.select(F.col("o_orderkey").alias("unit_id"), F.col("c_name").alias("principal_id"), F.col("l_linenumber").alias("attempt"), F.col("l_returnflag").alias("error_code"))
+    """Failed units with what they were and who ran them."""
+    units = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("unit_id"), F.col("o_custkey").alias("principal_id"))
+    names = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("principal_id"), F.col("c_name").alias("name"))
+    failures = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("unit_id"), F.col("l_linenumber").alias("attempt"), F.col("l_returnflag").alias("error_code"))
+    return paths.failed_units(units, names, failures)
 
 
 @query("""WITH RECURSIVE arcs(a, b) AS (VALUES ('received', 'pick-1'), ('received', 'pick-2'), ('received', 'pick-3'), ('pick-1', 'pack'), ('pick-2', 'pack'), ('pick-3', 'pack'), ('pack', 'ask'), ('ask', 'received')),

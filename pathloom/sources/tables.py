@@ -22,6 +22,12 @@ def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def one(rows: DataFrame, unit: object, by: str | None = None) -> DataFrame:
+    """The rows of one unit, in the order ``by``."""
+    found = rows.where(F.col("unit_id") == unit)
+    return found.orderBy(by) if by else found
+
+
 def admit(seeds: DataFrame, known: DataFrame, key: str = "unit_id", seal: str = "admission_digest") -> tuple[DataFrame, DataFrame]:
     """(new units, conflicts): a unit that is known with the same seal is a replay and neither."""
     fresh = seeds.dropDuplicates([key, seal])
@@ -31,6 +37,24 @@ def admit(seeds: DataFrame, known: DataFrame, key: str = "unit_id", seal: str =
     return fresh.join(was, key, "left_anti").join(clash, key, "left_anti"), conflicts.distinct()
 
 
+def admissions(seeds: DataFrame, graph: dict, known: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(admitted units, refused seeds, conflicts) of ``unit_id, contract_id, digest, bytes, admitted_at, principal_id`` rows on a sealed graph.
+
+    A seed of another contract than the entry takes is refused. An admitted unit has its seal, its entry's occurrence and what its first
+    journey record says. Admitting the same again changes nothing; another seal for a known unit is a conflict.
+    """
+    entry = next(n for n in graph["nodes"] if n["nodeId"] == graph["entry"])
+    fits = F.col("contract_id") == entry["input"]
+    text = lambda c: F.concat(F.lit('"'), F.col(c), F.lit('"'))
+    named = F.lit(f'"graph":{{"digest":"{graph["digest"]}","id":"{graph["graphId"]}","version":{graph["version"]}}}')
+    seed = F.concat(F.lit('"seedArtifact":{"bytes":'), F.col("bytes").cast("string"), F.lit(',"contractId":'), text("contract_id"), F.lit(',"digest":'), text("digest"), F.lit("}"))
+    body = F.concat(F.lit('{"admittedAt":'), text("admitted_at"), F.lit(","), named, F.lit(',"principalId":'), text("principal_id"), F.lit(',"schemaVersion":"unit.v1",'), seed, F.lit(',"unitId":'), text("unit_id"), F.lit("}"))
+    sealed = seeds.where(fits).withColumn("admission_digest", F.sha2(body, 256))
+    new, conflicts = admit(sealed, known)
+    queue = F.concat("unit_id", F.lit("/1"))
+    return new.withColumns({"entry_node_id": F.lit(graph["entry"]), "entry_queue_id": queue, "sequence": F.lit(1).cast("bigint")}), seeds.where(~F.coalesce(fits, F.lit(False))), conflicts
+
+
 def artifacts(df: DataFrame) -> DataFrame:
     """Each artifact once: content decides identity."""
     return df.dropDuplicates(["contract_id", "digest"])

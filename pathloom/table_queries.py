@@ -100,6 +100,32 @@ def unit_journey(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.listed(event_journey(spark, sf_dir), "sequence", 7, 20).select("unit_id", "sequence", "kind", "node_id", "queue_id")
 
 
+_DEPOT = graphs.seal(DEPOT)
+
+
+@query(f"""WITH s AS (SELECT CAST(c_custkey AS VARCHAR) AS unit_id, CASE WHEN c_custkey % 11 = 0 THEN 'other.v1' ELSE 'order.v1' END AS contract_id, sha256(c_name) AS digest, strlen(c_name) AS bytes FROM customer),
+a AS (SELECT unit_id, sha256('{{"admittedAt":"2024-05-01T00:00:00.000Z","graph":{{"digest":"{_DEPOT['digest']}","id":"example.depot","version":1}},"principalId":"host","schemaVersion":"unit.v1","seedArtifact":{{"bytes":' || bytes || ',"contractId":"order.v1","digest":"' || digest || '"}},"unitId":"' || unit_id || '"}}') AS admission_digest
+  FROM s WHERE contract_id = 'order.v1')
+SELECT unit_id, CASE WHEN CAST(unit_id AS BIGINT) % 4 = 0 THEN 'conflict' ELSE 'admitted' END AS result, admission_digest, CASE WHEN CAST(unit_id AS BIGINT) % 4 <> 0 THEN 'intake ' || unit_id || '/1' END AS entry FROM a WHERE CAST(unit_id AS BIGINT) % 4 <> 1
+UNION ALL SELECT unit_id, 'refused', NULL, NULL FROM s WHERE contract_id <> 'order.v1'""")
+def admitted_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers admitted to the depot graph, which knows some of them (one in four with the same seal, one in four with another); seeds of another
+    contract are refused."""
+    c = table(spark, sf_dir, "customer")
+    seeds = c.select(
+        F.col("c_custkey").cast("string").alias("unit_id"), F.when(F.col("c_custkey") % 11 == 0, "other.v1").otherwise("order.v1").alias("contract_id"), columns.raw_body_digest(F.col("c_name")).alias("digest"),
+        F.octet_length("c_name").alias("bytes"), F.lit("2024-05-01T00:00:00.000Z").alias("admitted_at"), F.lit("host").alias("principal_id"),
+    )
+    nobody = spark.createDataFrame([], "unit_id string, admission_digest string")
+    before, _, _ = tables.admissions(seeds, _DEPOT, nobody)
+    key = F.col("unit_id").cast("bigint") % 4
+    known = before.where(key.isin(0, 1)).select("unit_id", F.when(key == 0, "0" * 64).otherwise(F.col("admission_digest")).alias("admission_digest"))
+    new, refused, conflicts = tables.admissions(seeds, _DEPOT, known)
+    entry, none = F.concat_ws(" ", "entry_node_id", "entry_queue_id"), F.lit(None).cast("string")
+    told = new.select("unit_id", F.lit("admitted").alias("result"), "admission_digest", entry.alias("entry"))
+    return told.union(conflicts.select("unit_id", F.lit("conflict"), "admission_digest", none)).union(refused.select("unit_id", F.lit("refused"), none, none))
+
+
 @query("""WITH a AS (SELECT DISTINCT sha256(text) AS digest, strlen(text) AS bytes FROM conversations), wanted AS (SELECT conv_id, turn, CASE WHEN conv_id % 7 = 0 THEN repeat('0', 64) ELSE sha256(text) END AS digest FROM conversations WHERE turn % 3 = 0)
 SELECT conv_id, turn, digest, bytes FROM wanted LEFT JOIN a USING (digest)""")
 def artifact_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -191,3 +191,48 @@ def test_diff_tells_values_and_outcomes_in_order(spark):
     }
     new["nodes"] = new["nodes"][::-1]
     assert [(r.part, r.id, r.field) for r in checks.diff(spark, old, new).collect()] == sorted(got)
+
+
+def _with(**parts):
+    g = copy.deepcopy(GRAPHS["outcome-router"])
+    g["nodes"][0] |= parts
+    return g
+
+
+@pytest.mark.parametrize("parts", [
+    {"extra": 1}, {"ref": {"id": "x"}}, {"principal": {"id": "No"}}, {"principal": "x"}, {"binding": {"kind": "code", "bindingId": "b", "version": 1, "bindingDigest": "a" * 64}}, {"binding": {"kind": "model", "bindingId": "b", "version": 1, "bindingDigest": "a"}},
+    {"configuration": {"id": "c", "version": 0, "digest": "a" * 64}}, {"join": {"inbound": ["a"], "require": {"nOf": True}}}, {"join": {"inbound": ["a"], "require": "all", "compose": "merge"}}, {"turn": {"leaseMs": 1, "maxAttempts": 11}},
+    {"approval": {"by": {"kind": "code", "principal": {"id": "x"}}, "onDeny": "terminal"}}, {"approval": {"by": {"kind": "human", "principal": {"id": "x"}, "binding": {}}, "onDeny": "terminal"}}, {"approval": {"by": {"kind": "human", "principal": {"id": "x"}}, "onDeny": {"to": "x", "retry": True}}},
+    {"nodeId": "abc\n"}, {"input": "a.v1\n"},
+])
+def test_grammar_of_nodes(parts):
+    graphs.validate(_with())
+    with pytest.raises(graphs.GraphError):
+        graphs.validate(_with(**parts))
+
+
+def test_grammar_of_the_rest():
+    for change in ({"edges": [edge("e", "classify", "jobs", "jobs") | {"more": 1}]}, {"edges": [edge("e", "Classify", "jobs", "jobs")]}, {"terminals": [{"nodeId": "a", "outcome": "b", "c": 1}]}, {"more": 1}, {"version": True}):
+        with pytest.raises(graphs.GraphError):
+            graphs.validate(copy.deepcopy(GRAPHS["outcome-router"]) | change)
+    deep = []
+    for _ in range(40):
+        deep = [deep]
+    for odd in (deep, {"a": object()}, {1: 2}, ["x" * 9_000_000], [0] * 300_000):
+        with pytest.raises(graphs.GraphError):
+            graphs.within_bounds(odd)
+
+
+def test_sealed_manifests():
+    node_ = lambda name, *outcomes: node(name, *outcomes)
+    g = graphs.seal(graph("shop", "s", [node_("draft", "ok"), node_("approve", "yes", "no"), node_("publish", "done")], [edge("a", "draft", "ok", "approve"), edge("b", "approve", "yes", "publish")], [("approve", "no"), ("publish", "done")]))
+    goal = {"goalId": "decide", "entry": "draft", "members": ["draft", "approve"], "resolutions": [{"nodeId": "approve", "outcome": "yes", "kind": "resolved"}, {"nodeId": "approve", "outcome": "no", "kind": "escalated"}]}
+    made = checks.create_manifest(g, [goal])
+    assert checks.check_manifest(made, g) == made and made["graph"] == graphs.ref(g)
+    other = graphs.seal({k: v for k, v in g.items() if k != "digest"} | {"version": 2})
+    for broken, of in ((made | {"manifestDigest": "0" * 64}, g), (made | {"goals": []}, None), (made, other), (made | {"extra": 1}, None)):
+        with pytest.raises(graphs.GraphError):
+            checks.check_manifest(broken, of)
+    for goals in ([goal | {"members": ["draft"]}], [goal, goal], [goal | {"resolutions": goal["resolutions"][:1]}], []):
+        with pytest.raises(graphs.GraphError):
+            checks.create_manifest(g, goals)
