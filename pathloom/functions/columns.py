@@ -20,14 +20,14 @@ def raw_body_digest(text: Column) -> Column:
 def canonical_digest(json_text: str) -> Column:
     """SHA-256 of the canonical form of JSON text; null where the text isn't JSON."""
 
-    def run(column: pd.Series) -> pd.Series:
-        def one(text: str | None) -> str | None:
-            try:
-                return None if text is None else canon.digest(json.loads(text))
-            except ValueError:
-                return None
+    def one(text: str) -> str | None:
+        try:
+            return canon.digest(json.loads(text))
+        except ValueError:
+            return None
 
-        return column.map(one)
+    def run(column: pd.Series) -> pd.Series:
+        return column.map({t: one(t) for t in column.dropna().unique()})  # texts that repeat are read once a batch
 
     return F.pandas_udf(run, "string")(json_text)
 
