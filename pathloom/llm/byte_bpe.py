@@ -4,7 +4,7 @@ Long texts are split by a regex at boundaries where the pre-splitting pattern al
 the pieces encode to the same ids as the whole text; ids decode to raw bytes, which need not be UTF-8.
 
 Defined cases: a null or empty text has no ids; texts of any length are encoded whole; equal texts get
-equal ids; an empty table gives an empty table; other columns pass, those named like an output are replaced.
+equal ids, and of two merges the one of the lower rank comes first; an empty table gives an empty table; other columns pass, those named like an output are replaced.
 """
 
 from __future__ import annotations

@@ -4,8 +4,9 @@ The directory is indexed by the leading bits of a key's hash. Only buckets over
 another bit, until every shard fits or holds one key. The directory is found from cells of finely cut hash
 space, a few for each shard, so no step moves documents or depends on the size of one bucket.
 
-Defined cases: a null text has 0 bytes; a null key hashes like an empty one; rows of one key stay together, and a
-key larger than the limit has a shard of its own, marked ``fits`` false; an empty table has no shards.
+Defined cases: a null or empty text has 0 bytes; a text of any length counts whole; a null key hashes like an empty one; rows of one key stay together, and a
+key larger than the limit has a shard of its own, marked ``fits`` false; an empty table has no shards; columns
+but the key and the text are left out, so none can clash.
 """
 
 from __future__ import annotations

@@ -9,8 +9,12 @@ a few thousandths, or a few words, of its target.
 Nothing is ordered or ranked in one task: ranks and places come from counts of small chunks plus ranks within
 the chunk, and points meet sources by an equi-join on cells of the unit interval.
 
-Defined cases: a null text has size 0; documents of size 0 are never taken; a null source is a source, the last;
-rows that repeat a key are documents of their own; an empty table gives no rows.
+Defined cases: a null text has size 0; texts of any length are counted whole, and the mix may take part of one; documents of size 0
+are never taken; a null source is a source, the last; rows that repeat a key are documents of their own; of equal hashes the
+least key, then the smaller document, comes first; an empty table gives no rows; columns but the key, the text and the source
+are left out, so none can clash.
+
+What is ordered over all sources (their caps, spans and numbers) is one row a source, in one task.
 """
 
 from __future__ import annotations

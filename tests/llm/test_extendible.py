@@ -35,3 +35,11 @@ def test_empty_and_native(nothing, prose):
     assert extendible.assign(nothing, 10).count() == 0
     plan = extendible.assign(prose, 1000)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_clashing_columns_and_long_texts(prose, spark):
+    wide = prose.selectExpr("*", *(f"'x' AS {c}" for c in ("h", "bytes", "cell", "shard", "depth", "key", "fits", "level", "prefix")))
+    assert sorted(map(str, extendible.assign(wide, 700).collect())) == sorted(map(str, extendible.assign(prose, 700).collect()))
+    long = spark.createDataFrame([(1, "x" * 3_000_000), (2, ""), (3, None)], "doc_id bigint, text string")
+    got = {r.doc_id: (r.bytes, r.fits) for r in extendible.assign(long, 1000).collect()}
+    assert got[1] == (3_000_000, False) and got[2][0] == got[3][0] == 0

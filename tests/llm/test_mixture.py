@@ -75,3 +75,8 @@ def test_schedule_is_ranked_and_even(spark):
 def test_empty(nothing):
     assert mixture.mix(nothing).count() == 0
     assert {r.taken for r in mixture.mix(nothing.union(nothing.sparkSession.createDataFrame([(1, None, None, "a")], nothing.schema))).collect()} == {0}
+
+
+def test_clashing_columns(prose):
+    wide = prose.selectExpr("*", *(f"'x' AS {c}" for c in ("id", "h", "bucket", "unit", "block", "taken", "size", "key", "target", "slot")))
+    assert sorted(map(str, mixture.mix(wide).collect())) == sorted(map(str, mixture.mix(prose).collect()))
