@@ -38,15 +38,17 @@ def node_paths(journey: DataFrame) -> DataFrame:
 
 
 def unit_paths(journey: DataFrame) -> DataFrame:
-    """Each unit: records, nodes, settled and failed turns, last outcome, usage, and whether nothing is left open."""
-    settled, dead = F.col("kind") == "turn_settled", F.col("terminal")
-    queues = _turns(journey).groupBy("unit_id", "queue_id").agg(F.bool_or(settled | dead).alias("closed"))
-    open_ = queues.groupBy("unit_id").agg(F.count_if(~F.col("closed")).alias("open"))
-    totals = _turns(journey).groupBy("unit_id").agg(
-        F.count("*").alias("records"), F.countDistinct("node_id").alias("nodes"), F.count_if(settled).alias("settled"), F.count_if(~settled).alias("failures"),
-        F.max_by("outcome", F.when(settled, F.col("sequence"))).alias("last_outcome"), *_usage(),
+    """Each unit: records, nodes, settled and failed turns, last outcome, usage, and whether nothing is left open. Occurrences are
+    aggregated first and then units, both within one exchange by unit."""
+    settled, sequence = F.col("kind") == "turn_settled", F.col("sequence")
+    queues = _turns(journey).groupBy("unit_id", "queue_id").agg(
+        F.count("*").alias("records"), F.max("node_id").alias("node_id"), F.count_if(settled).alias("settled"), F.bool_or(settled | F.col("terminal")).alias("closed"),
+        F.max(F.when(settled, F.struct(sequence, "outcome"))).alias("last"), *_usage(),
     )
-    return totals.join(open_, "unit_id").withColumn("concluded", F.col("open") == 0)
+    return queues.groupBy("unit_id").agg(
+        F.sum("records").alias("records"), F.size(F.collect_set("node_id")).cast("bigint").alias("nodes"), F.sum("settled").alias("settled"), F.sum(F.col("records") - F.col("settled")).alias("failures"),
+        F.max("last")["outcome"].alias("last_outcome"), *_usage(), F.count_if(~F.col("closed")).alias("open"),
+    ).withColumn("concluded", F.col("open") == 0)
 
 
 def sequence_faults(journey: DataFrame) -> DataFrame:

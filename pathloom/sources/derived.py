@@ -13,12 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def event_journey(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A unit for each user: an event is a turn on the node of its key modulo 5; errors are failures, terminal from
     a value of 100; an event of a settled turn has one receipt of its value in millionths."""
-    e = table(spark, sf_dir, "events")
+    e = table(spark, sf_dir, "events").withColumnRenamed("user_id", "unit_id")  # so that what follows by unit needs no other exchange
     k = F.get_json_object("props", "$.k").cast("bigint")
     failed = F.col("event_type") == "error"
     micro = F.round(F.col("value") * 1_000_000).cast("bigint")
     return e.select(
-        F.col("user_id").alias("unit_id"), F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("bigint").alias("sequence"),
+        "unit_id", F.row_number().over(Window.partitionBy("unit_id").orderBy("ts", "event_id")).cast("bigint").alias("sequence"),
         F.when(failed, "turn_failed").otherwise("turn_settled").alias("kind"), F.concat(F.lit("node-"), (k % 5).cast("string")).alias("node_id"), F.col("event_id").alias("queue_id"),
         F.when(~failed, F.col("event_type")).alias("outcome"), F.when(failed, F.concat(F.lit("code-"), (k % 3).cast("string"))).alias("error_code"),
         (failed & (F.col("value") >= 100)).alias("terminal"), F.when(~failed, F.lit(1)).cast("bigint").alias("receipts"), F.when(~failed, k).alias("charged_tokens"), F.when(~failed, micro).alias("charged_micro_usd"),
