@@ -162,6 +162,15 @@ def _field(receipt: dict, name: str) -> object:
     return receipt.get(head + "".join(w.title() for w in rest))
 
 
+def outbox(made: DataFrame, on_success: dict[str, str] | None = None, on_failure: dict[str, str] | None = None) -> DataFrame:
+    """The host's own events of attempts: ``on_success`` by outcome, ``on_failure`` by error code, each an event type. A key of the type and the
+    attempt makes each event one."""
+    named = lambda column, names: F.coalesce(*(F.when(F.col(column) == k, F.lit(v)) for k, v in (names or {}).items()), F.lit(None).cast("string"))
+    kind = F.when(F.col("status") == "completed", named("outcome", on_success)).when(F.col("terminal"), named("error_code", on_failure))
+    rows = made.withColumn("event_type", kind).where("event_type is not null")
+    return rows.select("unit_id", "node_id", "queue_id", "event_type", F.sha2(F.concat(F.lit('{"eventType":"'), "event_type", F.lit('","idempotencyKey":"'), "attempt_key", F.lit('"}')), 256).alias("dedupe_key"))
+
+
 def claimed(turns: DataFrame, graph_digests: list[str]) -> tuple[DataFrame, DataFrame]:
     """(turns of a worker's graphs, those withheld from it)."""
     mine = F.col("graph_digest").isin(graph_digests)

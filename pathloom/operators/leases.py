@@ -17,6 +17,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from pathloom.operators.folds import folded
 
@@ -173,3 +174,13 @@ def decisions(commands: DataFrame, graph: dict) -> DataFrame:
         return (turns.decide(c) for c in own)
 
     return folded(commands, ("unit_id", "node_id"), COMMAND, DECISION, lambda: fold)
+
+
+def inspected(open_: DataFrame, decided: DataFrame, nodes: list[dict]) -> DataFrame:
+    """``unit_id, queue_id, node_id, state`` of occurrences that are completed from outside (people and callbacks): settled, dead, claimed or waiting, by
+    the last decision on each that changed anything."""
+    outside = [n["nodeId"] for n in nodes if n["kind"] in EXTERNAL]
+    state = F.when(F.col("disposition") == "settled", "settled").when(F.col("disposition") == "dead", "dead").when(F.col("disposition").isin("claimed", "reserved", "cached"), "claimed")
+    last = decided.withColumn("state", state).where("state is not null").groupBy("unit_id", "queue_id").agg(F.max_by("state", "ord").alias("state"))
+    rows = open_.where(F.col("node_id").isin(outside)).select("unit_id", "queue_id", "node_id")
+    return rows.join(last, ["unit_id", "queue_id"], "left").withColumn("state", F.coalesce("state", F.lit("waiting")))

@@ -86,3 +86,13 @@ def build(graph: dict, words: dict) -> dict:
             if n not in {e[0] for e in s["ends"]}:
                 draw(n, at, "exit", [])
     return {"title": words["title"], "graph": {"id": graph["graphId"], "version": graph["version"], "digest": graph.get("digest")}, "nodes": nodes, "edges": edges}
+
+
+#: What a kind of node or arrow means, in the order of a legend.
+LEGEND = (("code", "code"), ("model", "a model's judgement"), ("agent", "an agent's work"), ("human", "a person's decision"), ("callback", "an event from outside"), ("sink", "an end"), ("join", "waits for others"), ("exit", "leads to an end"), ("flow", "leads on"))
+
+
+def legend(diagram: dict) -> list[tuple[str, str]]:
+    """What the kinds of nodes and arrows that a diagram has mean."""
+    used = {n["type"] for n in diagram["nodes"]} | {e["type"] for e in diagram["edges"]}
+    return [(kind, words) for kind, words in LEGEND if kind in used]

@@ -30,14 +30,14 @@ def publish(spark: SparkSession, path: str, sealed: list[dict]) -> list[dict]:
     if not sealed:
         return []
     faults = checks.violations(spark, sealed).union(spark.createDataFrame([], "graph_id string, version bigint, rule string, subject string"))
-    wrong = [f"{r.graph_id}@{r.version}: {r.rule} {r.subject}" for r in faults.limit(20).collect()]
+    wrong = [f"{r.graph_id}@{r.version}: {r.rule} {r.subject}" for r in faults.collect()]  # a few rows a graph at most
     signed = graphs.tables(spark, sealed)["node"].groupBy("graph_id", "version").agg(F.collect_list(F.struct("ref_id", "ref_version", "signature")).alias("signatures"))
     bodies = spark.createDataFrame([(g["graphId"], g["version"], g["digest"], graphs.to_json(g)) for g in sealed], "graph_id string, version bigint, digest string, body string")
     new, known = bodies.join(signed, checks.KEY), stored(spark, path)
     every = known.unionByName(new)
     versions = every.groupBy(*checks.KEY).agg(F.countDistinct("digest").alias("n")).where("n > 1")
     nodes = every.select(F.inline("signatures")).groupBy("ref_id", "ref_version").agg(F.countDistinct("signature").alias("n")).where("n > 1")
-    wrong += [f"{r.graph_id}@{r.version}: graph_digest" for r in versions.limit(20).collect()] + [f"{r.ref_id}@{r.ref_version}: node_signature" for r in nodes.limit(20).collect()]
+    wrong += [f"{r.graph_id}@{r.version}: graph_digest" for r in versions.collect()] + [f"{r.ref_id}@{r.ref_version}: node_signature" for r in nodes.collect()]
     if wrong:
         raise PublicationError("; ".join(wrong))
     fresh = {r.digest for r in new.join(known.select("digest"), "digest", "left_anti").select("digest").collect()}

@@ -3,10 +3,10 @@
 import pytest
 
 from graphs import build
-from pathloom.operators import paths, replay
+from pathloom.operators import execution, leases, paths, replay
 from pathloom.plans import diagram, graphs
-from pathloom.plans.examples import PICKING, PICKING_OLD
-from pathloom.sources import graph_store, tables
+from pathloom.plans.examples import DEPOT, DEPOT_TURNS, PICKING, PICKING_OLD
+from pathloom.sources import graph_store, snapshots, tables
 
 
 def test_publication(spark, tmp_path):
@@ -72,3 +72,51 @@ def test_diagrams():
     for g in build().values():
         shown = diagram.build(g, {"title": "t", "nodes": {n["nodeId"]: {"name": n["nodeId"]} for n in g["nodes"]}})
         assert sum(n["type"] == "sink" for n in shown["nodes"]) == len(g["terminals"])
+
+
+def test_snapshots(spark, tmp_path):
+    """A store is restored as it was written; tables that were changed, or that don't fit together, are refused."""
+    turns = [(f"u{k}", n, *(t + (None,) * (4 - len(t)))) for k, own in DEPOT_TURNS.items() for n, t in enumerate(own)]
+    rows = spark.createDataFrame(turns, "unit_id string, ord bigint, node_id string, outcome string, error_code string, retryable boolean").selectExpr("*", "CAST(NULL AS STRING) AS output_json")
+    journey = replay.replay(rows, DEPOT).where("kind <> 'turn_rejected'").cache()
+    units = journey.select("unit_id").distinct().selectExpr("unit_id", "'order.v1' AS seed_contract", "unit_id AS seed_digest")
+    found = {
+        "unit": units, "artifact": units.selectExpr("seed_contract AS contract_id", "seed_digest AS digest"), "occurrence": paths.occurrences(journey).select("unit_id", "queue_id", "node_id", "state"), "journey": journey,
+        "dead_letter": tables.dead_letters(journey).select("unit_id", "queue_id", "error_code"),
+    }
+    snapshots.write(found, str(tmp_path / "a"))
+    back = snapshots.restore(spark, str(tmp_path / "a"))
+    assert {k: sorted(map(str, v.collect())) for k, v in back.items()} == {k: sorted(map(str, v.collect())) for k, v in found.items()}
+    back["unit"].limit(1).write.mode("append").parquet(str(tmp_path / "a" / "unit"))
+    with pytest.raises(snapshots.SnapshotError, match="unit: other rows"):
+        snapshots.restore(spark, str(tmp_path / "a"))
+    for name, change, rule in (
+        ("unit", found["unit"].where("unit_id <> 'u2'"), "occurrence_without_unit"), ("journey", journey.where("unit_id <> 'u0' or sequence <> 3"), "journey_sequence"), ("dead_letter", found["dead_letter"].limit(1), "failure_without_dead_letter"),
+        ("artifact", found["artifact"].union(found["artifact"]), "artifact_twice"),
+    ):
+        at = str(tmp_path / name)
+        snapshots.write(found | {name: change}, at)
+        with pytest.raises(snapshots.SnapshotError, match=rule):
+            snapshots.restore(spark, at)
+
+
+def test_external_turns(spark):
+    nodes = [{"nodeId": "ask", "kind": "human"}, {"nodeId": "work", "kind": "code"}]
+    open_ = spark.createDataFrame([("u", "q1", "ask"), ("u", "q2", "ask"), ("u", "q3", "ask"), ("u", "q4", "work")], "unit_id string, queue_id string, node_id string")
+    decided = spark.createDataFrame([("u", "q1", 1, "claimed"), ("u", "q1", 2, "held"), ("u", "q2", 1, "claimed"), ("u", "q2", 3, "settled"), ("u", "q2", 4, "replayed"), ("u", "q4", 1, "claimed")], "unit_id string, queue_id string, ord int, disposition string")
+    assert sorted((r.queue_id, r.state) for r in leases.inspected(open_, decided, nodes).collect()) == [("q1", "claimed"), ("q2", "settled"), ("q3", "waiting")]
+
+
+def test_host_events(spark):
+    made = spark.createDataFrame([("u", "n", "q1", "k1", "completed", "done", None, None), ("u", "n", "q2", "k2", "failed", None, "busy", False), ("u", "n", "q3", "k3", "failed", None, "busy", True), ("u", "n", "q4", "k4", "completed", "odd", None, None)],
+                                 "unit_id string, node_id string, queue_id string, attempt_key string, status string, outcome string, error_code string, terminal boolean")
+    got = execution.outbox(made, {"done": "finished"}, {"busy": "gave_up"}).collect()
+    assert sorted((r.queue_id, r.event_type) for r in got) == [("q1", "finished"), ("q3", "gave_up")] and len({r.dedupe_key for r in got}) == 2
+    assert execution.outbox(made).count() == 0
+
+
+def test_legend():
+    words = {"title": "t", "nodes": {n["nodeId"]: {"name": n["nodeId"]} for n in PICKING["nodes"]}}
+    shown = diagram.build(PICKING, words)
+    kinds = [k for k, _ in diagram.legend(shown)]
+    assert kinds[:2] == ["code", "human"] and {"sink", "join"} <= set(kinds) and "model" not in kinds
