@@ -27,7 +27,8 @@ def canonical_digest(json_text: str) -> Column:
             return None
 
     def run(column: pd.Series) -> pd.Series:
-        return column.map({t: one(t) for t in column.dropna().unique()})  # texts that repeat are read once a batch
+        known = {t: one(t) for t in column.dropna().unique()}  # texts that repeat are read once a batch
+        return pd.Series([known.get(t) for t in column], dtype=object)
 
     return F.pandas_udf(run, "string")(json_text)
 

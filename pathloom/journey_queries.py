@@ -31,8 +31,8 @@ def query(sql: str):
     return keep
 
 
-def depot_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of each order, from a literal of the plan."""
+def depot_turns(spark: SparkSession, sf_dir: str, name: str = "orders", key: str = "o_orderkey") -> DataFrame:
+    """Turns of each order (or row of another table), from a literal of the plan."""
     turn = "struct<node_id:string,outcome:string,error_code:string,retryable:boolean>"
 
     def one(parts: tuple) -> Column:
@@ -40,8 +40,8 @@ def depot_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.struct(*(F.lit(x).cast(kind).alias(name) for x, kind, name in ((node, "string", "node_id"), (outcome, "string", "outcome"), (error, "string", "error_code"), (retry, "boolean", "retryable"))))
 
     scripts = F.array(*(F.array(*map(one, examples.DEPOT_TURNS[k])).cast(f"array<{turn}>") for k in range(KINDS)))
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("unit_id"), F.posexplode(F.get(scripts, (F.col("o_orderkey") % KINDS).cast("int"))).alias("ord", "t"))
-    return orders.select("unit_id", "ord", "t.*", F.lit(None).cast("string").alias("output_json"))
+    units = table(spark, sf_dir, name).select(F.col(key).cast("string").alias("unit_id"), F.posexplode(F.get(scripts, (F.col(key) % KINDS).cast("int"))).alias("ord", "t"))
+    return units.select("unit_id", "ord", "t.*", F.lit(None).cast("string").alias("output_json"))
 
 
 def depot_journeys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,11 +84,11 @@ def _records(journey: DataFrame) -> DataFrame:
     return journey.groupBy("unit_id").agg(F.array_join(kinds, " ").alias("kinds"), F.count_if(~sound).cast("int").alias("refused"))
 
 
-@query(ORACLE_SQL["replay_records"])
+@query(ORACLE_SQL["replay_records"].replace("o_orderkey", "c_custkey").replace("FROM orders", "FROM customer"))
 def replay_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same records from a stream of the turns in several files, appended once."""
+    """The same records of customers as units, from a stream of their turns in several files, appended once."""
     at = f"{_folder(spark)}/stream-{uuid.uuid4().hex}"
-    turns = depot_turns(spark, sf_dir)
+    turns = depot_turns(spark, sf_dir, "customer", "c_custkey")
     for low in (0, 2, 4):  # three files, read in the order in which they come
         turns.where(F.col("ord").between(low, low + 1 + 10 * (low == 4))).coalesce(1).write.mode("append").parquet(f"{at}/turns")
     stream = spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/turns")
@@ -117,13 +117,13 @@ def unit_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("unit_id", number("queue_id").alias("number"), "node_id", F.col("queued_by").cast("int").alias("queued_by"), "state", *(F.col(c).cast("int").alias(c) for c in ("attempts", "failures")), "outcome", "error_code")
 
 
-@query(by_kind("(node_id, status, offered, impossible, late_offers, number, selected)", examples.DEPOT_JOINS))
+@query(by_kind("(node_id, status, offered, impossible, late_offers, number, selected)", {k: [(*j[:5], j[5] or 0, j[6]) for j in rows] for k, rows in examples.DEPOT_JOINS.items()}))
 def unit_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each unit's joins as its routing effects tell of them."""
     found = joins.states(depot_journeys(spark, sf_dir))
     return found.select(
         "unit_id", "node_id", "status", F.array_join("offered_edges", ",").alias("offered"), F.array_join("impossible_edges", ",").alias("impossible"),
-        F.col("late_offers").cast("int").alias("late_offers"), number("queue_id").alias("number"), F.col("selected_edge_id").alias("selected"),
+        F.col("late_offers").cast("int").alias("late_offers"), F.coalesce(number("queue_id"), F.lit(0)).alias("number"), F.col("selected_edge_id").alias("selected"),
     )
 
 

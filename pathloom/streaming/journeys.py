@@ -29,7 +29,7 @@ def replay_stream(turns: DataFrame, graph: dict, remembered_ms: int | None = Non
     graph; ``ord`` orders turns of one batch, and a turn at or below the last one seen is a replay and changes nothing. Of a concluded
     unit only counters are kept, so that replays of its turns change nothing; with ``remembered_ms`` these go after that time (only for
     triggers by processing time: a stream with such timeouts never runs out of batches)."""
-    plan = Plan(graph)
+    plan, columns = Plan(graph), [f.split(" ")[0] for f in JOURNEY.split(", ")]
 
     def run(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -42,8 +42,7 @@ def replay_stream(turns: DataFrame, graph: dict, remembered_ms: int | None = Non
         else:
             unit = Unit(key[0], plan)
             made += unit.admit()
-        rows = pd.concat(list(batches)).sort_values("ord").astype(object)
-        for t in rows.where(rows.notna(), None).to_dict("records"):
+        for t in _rows(batches):
             if t["ord"] > last:
                 last = t["ord"]
                 made += take(unit, t)
@@ -51,11 +50,20 @@ def replay_stream(turns: DataFrame, graph: dict, remembered_ms: int | None = Non
         if remembered_ms and not unit.open:
             state.setTimeoutDuration(remembered_ms)
         if made:
-            yield pd.DataFrame(made)[[f.split(" ")[0] for f in JOURNEY.split(", ")]]
+            yield pd.DataFrame({c: [m[c] for m in made] for c in columns}, dtype=object)
 
     return turns.groupBy("unit_id").applyInPandasWithState(run, JOURNEY, "last bigint, unit string", "append", GroupStateTimeout.ProcessingTimeTimeout if remembered_ms else GroupStateTimeout.NoTimeout)
 
 
+def _rows(batches: Iterable[pd.DataFrame]) -> list[dict]:
+    """A group's rows in their order, nulls as None."""
+    rows: list[dict] = []
+    for batch in batches:
+        names = list(batch.columns)
+        rows += [dict(zip(names, (None if x is None or x != x else x for x in values), strict=True)) for values in zip(*(batch[c].tolist() for c in names), strict=True)]
+    return sorted(rows, key=lambda r: r["ord"])
+
+
 def lease_stream(commands: DataFrame, graph: dict) -> DataFrame:
     """The decisions on a stream of commands, with the state of a unit's turns at a node kept by their key; ``ord`` orders the
     commands of one batch, and a command at or below the last one seen has its decision already."""

@@ -34,14 +34,14 @@ def query(sql: str):
 
 @query("""WITH t AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'part-' || p_partkey WHEN 1 THEN 'Part-' || p_partkey WHEN 2 THEN 'part ' || p_partkey ELSE 'part.' || p_partkey || '.v' || p_partkey % 12 END AS word FROM part)
 SELECT p_partkey, regexp_full_match(word, '[a-z0-9][a-z0-9._:-]{0,159}') AS is_identifier, regexp_full_match(word, '[a-z0-9][a-z0-9._:-]*\\.v[1-9][0-9]*') AS is_contract,
-  CASE WHEN regexp_full_match(word, '.*\\.v[1-9][0-9]*') THEN regexp_replace(word, '\\.v[0-9]*$', '') ELSE '' END AS name, CASE WHEN regexp_full_match(word, '.*\\.v[1-9][0-9]*') THEN CAST(regexp_extract(word, '([0-9]*)$', 1) AS BIGINT) END AS version FROM t""")
+  CASE WHEN regexp_full_match(word, '.*\\.v[1-9][0-9]*') THEN regexp_replace(word, '\\.v[0-9]*$', '') ELSE '' END AS name, CASE WHEN regexp_full_match(word, '.*\\.v[1-9][0-9]*') THEN CAST(regexp_extract(word, '([0-9]*)$', 1) AS BIGINT) ELSE 0 END AS version FROM t""")
 def names_and_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which words are identifiers and contracts, and the contracts' names and versions."""
     key, k = F.col("p_partkey").cast("string"), F.col("p_partkey") % 4
     word = F.when(k == 0, F.concat(F.lit("part-"), key)).when(k == 1, F.concat(F.lit("Part-"), key)).when(k == 2, F.concat(F.lit("part "), key)).otherwise(F.concat(F.lit("part."), key, F.lit(".v"), (F.col("p_partkey") % 12).cast("string")))
     t = table(spark, sf_dir, "part").select("p_partkey", word.alias("word"))
     w = F.col("word")
-    return t.select("p_partkey", columns.is_identifier(w).alias("is_identifier"), columns.is_contract_id(w).alias("is_contract"), columns.contract_name(w).alias("name"), columns.contract_version(w).alias("version"))
+    return t.select("p_partkey", columns.is_identifier(w).alias("is_identifier"), columns.is_contract_id(w).alias("is_contract"), columns.contract_name(w).alias("name"), F.coalesce(columns.contract_version(w), F.lit(0)).alias("version"))
 
 
 @query("""SELECT event_id, event_id % 3 = 0 AS canonical, epoch_us(ts) // 1000 + 30000 AS expires_ms FROM events""")
@@ -127,14 +127,14 @@ def admitted_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH a AS (SELECT DISTINCT sha256(text) AS digest, strlen(text) AS bytes FROM conversations), wanted AS (SELECT conv_id, turn, CASE WHEN conv_id % 7 = 0 THEN repeat('0', 64) ELSE sha256(text) END AS digest FROM conversations WHERE turn % 3 = 0)
-SELECT conv_id, turn, digest, bytes FROM wanted LEFT JOIN a USING (digest)""")
+SELECT conv_id, turn, digest, coalesce(bytes, 0) AS bytes FROM wanted LEFT JOIN a USING (digest)""")
 def artifact_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Artifacts by contract and digest, kept once whatever repeats them; an unknown digest finds nothing."""
     c = table(spark, sf_dir, "conversations")
     digest = columns.raw_body_digest(F.col("text"))
     known = tables.artifacts(c.select(F.lit("text.v1").alias("contract_id"), digest.alias("digest"), F.octet_length("text").cast("bigint").alias("bytes"), F.col("text").alias("payload_json")))
     wanted = c.where("turn % 3 = 0").select("conv_id", "turn", F.lit("text.v1").alias("contract_id"), F.when(F.col("conv_id") % 7 == 0, "0" * 64).otherwise(digest).alias("digest"))
-    return tables.lookup(wanted, known).select("conv_id", "turn", "digest", "bytes")
+    return tables.lookup(wanted, known).select("conv_id", "turn", "digest", F.coalesce("bytes", F.lit(0).cast("bigint")).alias("bytes"))
 
 
 @query("""WITH u AS (SELECT o_orderkey FROM orders WHERE o_orderkey % 50 <> 0), l AS (SELECT l_orderkey, l_orderkey || '/' || l_linenumber AS q FROM lineitem)
@@ -293,10 +293,10 @@ def graph_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "source string, target string, outcomes string, edges string, depth int")
 
 
-@query(_graph_rows("(graph_id, version, cycle_edges, principals, most_turns)", [("example.depot", 1, "retry,a-again", "picker", None), ("example.picking", 1, "", "picker", 10), ("example.picking", 2, "retry", "picker", None)]))
+@query(_graph_rows("(graph_id, version, cycle_edges, principals, most_turns)", [("example.depot", 1, "retry,a-again", "picker", -1), ("example.picking", 1, "", "picker", 10), ("example.picking", 2, "retry", "picker", -1)]))
 def graph_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges that close cycles, principals of workers, and the most turns a unit can take (none where a cycle has no bound)."""
+    """Edges that close cycles, principals of workers, and the most turns a unit can take (-1 where a cycle has no bound)."""
     rows = []
     for g in (DEPOT, PICKING_OLD, PICKING):
-        rows.append((g["graphId"], g["version"], ",".join(graphs.cycle_edges(g)), ",".join(graphs.principals([g])), graphs.turn_budget(g)["max_turns"]))
+        rows.append((g["graphId"], g["version"], ",".join(graphs.cycle_edges(g)), ",".join(graphs.principals([g])), -1 if (most := graphs.turn_budget(g)["max_turns"]) is None else most))
     return spark.createDataFrame(rows, "graph_id string, version int, cycle_edges string, principals string, most_turns int")
