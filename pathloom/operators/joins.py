@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathloom.operators.folds import spread
+
 
 def status(offered: Column, impossible: Column, inbound: Column, need: Column) -> Column:
     """Of counts: satisfied, else unsatisfiable when too few edges can still offer, else pending."""
@@ -20,7 +22,20 @@ def thresholds(states: DataFrame, join: list[str], n_of: int | None = None) -> D
     return counts.withColumn("need", need).withColumn("status", status(F.col("offered"), F.col("impossible"), F.col("inbound"), need))
 
 
-def dispositions(offers: DataFrame, join: list[str], need: Column) -> DataFrame:
+def thresholds_of_bits(joined: DataFrame, join: list[str], inbound: int, n_of: int) -> DataFrame:
+    """``thresholds`` of joins whose edges aren't spread to rows: a row of ``joined`` has ``inbound`` edges, the bits in ``offered`` (bigint, null:
+    none) of those that have offered, and ``ended``, whether the others can't offer any more."""
+    have = F.bit_count(F.coalesce("offered", F.lit(0).cast("bigint"))).cast("bigint")
+    ended = F.coalesce("ended", F.lit(False))
+    left = F.lit(inbound).cast("bigint") - have
+    counts = joined.groupBy(*join).agg(
+        F.sum(F.lit(inbound).cast("bigint")).alias("inbound"), F.sum(have).alias("offered"), F.sum(F.when(ended, left).otherwise(0)).alias("impossible"), F.sum(F.when(ended, 0).otherwise(left)).alias("pending"),
+    )
+    need = F.lit(n_of).cast("bigint")
+    return counts.withColumn("need", need).withColumn("status", status(F.col("offered"), F.col("impossible"), F.col("inbound"), need))
+
+
+def dispositions(offers: DataFrame, join: list[str], need: Column, arrival: list[str] | None = None) -> DataFrame:
     """Each offer as accepted, a repeat of an edge, or late for a join that has fired, with ``fired_at``, the sequence at which its
     join fires (null: never). All offers of one settlement count together; of an edge only the first can be accepted.
 

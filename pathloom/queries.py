@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pathloom import graph_sql
 from pathloom.functions import columns
 from pathloom.operators import joins, leases, paths, replay, routing
+from pathloom.operators.folds import spread
 from pathloom.plans import checks, gates, graphs
 from pathloom.plans.examples import GATE, PICKING, PICKING_BROKEN, PICKING_OLD
 from pathloom.sources import tables
@@ -114,11 +115,11 @@ def enqueued_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT *, CAST(3 AS BIGINT) AS need, CASE WHEN offered >= 3 THEN 'satisfied' WHEN inbound - impossible < 3 THEN 'unsatisfiable' ELSE 'pending' END AS status FROM c""")
 def join_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Joins of three of seven edges, one an order; edges of a finished order can't offer any more."""
-    inbound = F.explode(F.sequence(F.lit(1), F.lit(7))).alias("edge_ord")
-    edges = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("unit_id"), "o_orderstatus", inbound)
-    offered = line_offers(spark, sf_dir).select("unit_id", "edge_ord", F.lit(True).alias("offered")).distinct()
-    state = F.when(F.col("offered"), "offered").when(F.col("o_orderstatus") == "F", "impossible").otherwise("pending")
-    return joins.thresholds(edges.join(offered, ["unit_id", "edge_ord"], "left").select("unit_id", state.alias("state")), ["unit_id"], 3)
+    lines = line_offers(spark, sf_dir).where("edge_ord between 1 and 7").select("unit_id", "edge_ord")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("unit_id"), (F.col("o_orderstatus") == "F").alias("ended"))
+    n = spread(lines, 4)  # of both sides, so that they meet where they are
+    bits = lines.repartition(*n, "unit_id").groupBy("unit_id").agg(F.bit_or(F.expr("shiftleft(1L, edge_ord - 1)")).alias("offered"))
+    return joins.thresholds_of_bits(orders.repartition(*n, "unit_id").join(bits, "unit_id", "left"), ["unit_id"], 7, 3)
 
 
 FIRED_SQL = f"""{LINE_OFFERS_SQL}, firsts AS (SELECT unit_id, edge_ord, min(sequence) AS sequence FROM offers GROUP BY ALL),
