@@ -42,8 +42,8 @@ def dispositions(offers: DataFrame, join: list[str], need: Column, arrival: list
     One exchange by the join: the first offers of edges are found after a sort within it, and the fire point is the least
     sequence at which enough of them have come.
     """
-    rows = offers.repartition(*join)
-    first = F.row_number().over(Window.partitionBy(*join, "edge_id").orderBy("sequence", "edge_ord"))
+    rows = offers.repartition(*spread(offers, 4), *join)
+    first = F.row_number().over(Window.partitionBy(*join, "edge_id").orderBy("sequence", "edge_ord", *(arrival or ())))
     rows = rows.withColumn("again", first > 1)
     running = F.count_if(~F.col("again")).over(Window.partitionBy(*join).orderBy("sequence").rangeBetween(Window.unboundedPreceding, Window.currentRow))
     rows = rows.withColumn("running", running)
