@@ -37,7 +37,8 @@ def thresholds_of_bits(joined: DataFrame, join: list[str], inbound: int, n_of: i
 
 def dispositions(offers: DataFrame, join: list[str], need: Column, arrival: list[str] | None = None) -> DataFrame:
     """Each offer as accepted, a repeat of an edge, or late for a join that has fired, with ``fired_at``, the sequence at which its
-    join fires (null: never). All offers of one settlement count together; of an edge only the first can be accepted.
+    join fires (null: never). All offers of one settlement count together; of an edge only the first can be accepted: of several in
+    one settlement that which came first by the columns ``arrival``.
 
     One exchange by the join: the first offers of edges are found after a sort within it, and the fire point is the least
     sequence at which enough of them have come.

@@ -40,10 +40,19 @@ EVENT_JOURNEY_SQL = """journey AS (
 )"""
 
 
-def line_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Offers to a join of each order: a line offers the edge of its number, ships with its settlement's date."""
+#: Where an offer stands in the table, which tells the first of several in one settlement.
+ARRIVAL = ["file", "row"]
+
+
+def line_offers(spark: SparkSession, sf_dir: str, arrival: bool = False) -> DataFrame:
+    """Offers to a join of each order: a line offers the edge of its number, ships with its settlement's date. With ``arrival`` they have
+    ARRIVAL, their file (null where there is one only) and their row in it."""
     l = table(spark, sf_dir, "lineitem")  # noqa: E741
-    return l.select(F.col("l_orderkey").alias("unit_id"), F.datediff("l_shipdate", F.lit("1990-01-01").cast("timestamp_ntz")).cast("bigint").alias("sequence"), F.col("l_linenumber").alias("edge_ord"), F.concat(F.lit("line-"), F.col("l_linenumber").cast("string")).alias("edge_id"), F.col("l_partkey").alias("artifact"))
+    place = []
+    if arrival:
+        file = F.col("_metadata.file_name") if len(l.inputFiles()) > 1 else F.lit(None).cast("string")
+        place = [file.alias("file"), F.col("_metadata.row_index").alias("row")]
+    return l.select(F.col("l_orderkey").alias("unit_id"), F.datediff("l_shipdate", F.lit("1990-01-01").cast("timestamp_ntz")).cast("bigint").alias("sequence"), F.col("l_linenumber").alias("edge_ord"), F.concat(F.lit("line-"), F.col("l_linenumber").cast("string")).alias("edge_id"), F.col("l_partkey").alias("artifact"), *place)
 
 
 LINE_OFFERS_SQL = """offers AS (

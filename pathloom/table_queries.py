@@ -14,7 +14,7 @@ from pathloom.operators import execution, joins, paths
 from pathloom.plans import documents, graphs
 from pathloom.plans.examples import DEPOT, PICKING, PICKING_OLD
 from pathloom.sources import graph_store, tables
-from pathloom.sources.derived import EVENT_JOURNEY_SQL, LINE_OFFERS_SQL, event_journey, line_offers, table
+from pathloom.sources.derived import ARRIVAL, EVENT_JOURNEY_SQL, LINE_OFFERS_SQL, event_journey, line_offers, table
 from pathloom.streaming import journeys
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -194,7 +194,7 @@ SELECT unit_id, sha256(t) AS input_digest FROM j""")
 def join_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The digests of the composed inputs of each order's join of three edges, whatever order the offers came in."""
     part = F.concat(F.lit('{"part":'), F.col("artifact").cast("string"), F.lit("}"))
-    found = joins.dispositions(line_offers(spark, sf_dir), ["unit_id"], F.lit(3))
+    found = joins.dispositions(line_offers(spark, sf_dir, arrival=True), ["unit_id"], F.lit(3), ARRIVAL)
     head = {"schemaVersion": joins.quoted(F.lit("join-input.v1")), "unitId": joins.quoted(F.col("unit_id").cast("string"))}
     return joins.canonical_inputs(found, ["unit_id"], head, {"edgeId": joins.quoted(F.col("edge_id")), "artifact": part}).select("unit_id", "input_digest")
 
