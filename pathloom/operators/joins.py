@@ -89,8 +89,10 @@ def states(journey: DataFrame) -> DataFrame:
     accepted, gone = (kind == "join_offer") & (F.col("e.disposition") == "accepted"), (kind == "join_impossible") & (F.col("e.disposition") == "resolved")
     ordered = lambda cond: F.transform(F.sort_array(F.collect_list(F.when(cond, F.struct("sequence", "place", F.get(F.col("e.edge_ids"), F.lit(0)).alias("edge"))))), lambda x: x["edge"])
     only = lambda cond, value: F.max(F.when(cond, F.col(value)))
+    told = "digest" in journey.schema["effects"].dataType.elementType.names  # journeys can be made without
+    synthetic = only(kind == "join_unsatisfiable", "e.digest") if told else F.lit(None).cast("string")
     status = F.when(F.bool_or(kind == "join_queued"), "queued").when(F.bool_or(kind == "join_unsatisfiable"), "unsatisfiable").otherwise("pending")
     return effects.groupBy("unit_id", F.col("e.node_id").alias("node_id")).agg(
         status.alias("status"), ordered(accepted).alias("offered_edges"), ordered(gone).alias("impossible_edges"), F.count_if((kind == "join_offer") & (F.col("e.disposition") != "accepted")).alias("late_offers"),
-        only(kind == "join_queued", "e.queue_id").alias("queue_id"), only(kind == "join_queued", "e.selected_edge_id").alias("selected_edge_id"), only(kind == "join_unsatisfiable", "e.digest").alias("synthetic_digest"),
+        only(kind == "join_queued", "e.queue_id").alias("queue_id"), only(kind == "join_queued", "e.selected_edge_id").alias("selected_edge_id"), synthetic.alias("synthetic_digest"),
     )

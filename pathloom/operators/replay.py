@@ -9,14 +9,18 @@ from __future__ import annotations
 
 import json
 from collections import defaultdict, deque
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from pathloom.functions import canon
-from pathloom.operators.folds import folded
+from pathloom.operators import scripts
+from pathloom.operators.folds import spread
 from pathloom.operators.routing import matches
 from pathloom.plans.graphs import JOIN_INPUT_CONTRACT, UNSATISFIABLE, UNSATISFIABLE_CONTRACT
 
@@ -80,7 +84,8 @@ class Plan:
 class Unit:
     """A unit's state, and the records that its turns make."""
 
-    def __init__(self, unit_id: str, plan: Plan, seed: dict | None = None) -> None:
+    def __init__(self, unit_id: str, plan: Plan, seed: dict | None = None, seals=canon) -> None:
+        self.seals = seals  # what makes digests and artifacts
         self.unit_id, self.plan, self.graph, self.sequence = unit_id, plan, plan.graph, 0
         self.nodes, self.out, self.source = plan.nodes, plan.out, plan.source
         self.joins = {n: Join(edges, need, dict.fromkeys(edges, "pending")) for n, (edges, need) in plan.joins.items()}
@@ -159,7 +164,7 @@ class Unit:
 
     def _evidence(self) -> str:
         if self.cause["evidence"] is None:
-            self.cause["evidence"] = canon.digest(self.cause["of"])
+            self.cause["evidence"] = self.seals.digest(self.cause["of"])
         return self.cause["evidence"]
 
     @staticmethod
@@ -204,7 +209,7 @@ class Unit:
                 join.status = "queued"
                 artifact = join.offers[accepted[0]]["artifact"]
                 if self.nodes[name]["join"].get("compose") == "envelope":
-                    artifact = join_input(self.plan, self.unit_id, name, [join.offers[x] for x in accepted])
+                    artifact = join_input(self.plan, self.unit_id, name, [join.offers[x] for x in accepted], self.seals)
                 self._queue(name, accepted, artifact, effects, "join_queued", accepted[0])
 
     def _reaches(self, source: str) -> bool:
@@ -246,8 +251,8 @@ class Unit:
                     "schemaVersion": UNSATISFIABLE_CONTRACT, "unitId": self.unit_id, "graph": self.plan.ref, "nodeId": name, "require": self.nodes[name]["join"]["require"],
                     "accepted": [o | {"artifact": o["artifact"] and canon.artifact_ref(o["artifact"])} for o in offers], "impossible": legs, "causeEvidenceDigest": evidence, "resolvedAt": at,
                 }
-                artifact = canon.artifact(UNSATISFIABLE_CONTRACT, payload)
-                synthetic = canon.digest({
+                artifact = self.seals.artifact(UNSATISFIABLE_CONTRACT, payload)
+                synthetic = self.seals.digest({
                     "unitId": self.unit_id, "graphDigest": self.plan.ref["digest"], "nodeId": name, "outcome": UNSATISFIABLE, "accepted": [o["edgeId"] for o in offers], "impossible": [x["edgeId"] for x in legs],
                     "causeEvidenceDigest": evidence, "resolvedAt": at, "artifactDigest": artifact["digest"],
                 })
@@ -259,7 +264,7 @@ class Unit:
         return records
 
 
-def join_input(plan: Plan, unit_id: str, node_id: str, offers: list[dict]) -> dict:
+def join_input(plan: Plan, unit_id: str, node_id: str, offers: list[dict], seals=canon) -> dict:
     """The composed input of an envelope join: what was accepted with where it came from, in authored order whatever
     order it came in, so its digest doesn't depend on arrival."""
     node = plan.nodes[node_id]
@@ -277,7 +282,7 @@ def join_input(plan: Plan, unit_id: str, node_id: str, offers: list[dict]) -> di
         known = {k: offer[k] for k in ("edgeId", "sourceNodeId", "sourceQueueId", "sourceEvidenceDigest", "offeredAt", "artifact") if k in offer}
         accepted.append(known | {"sourceNodeRef": source["ref"]} | ({"sourceConfiguration": source["configuration"]} if "configuration" in source else {}))
     payload = {"schemaVersion": JOIN_INPUT_CONTRACT, "unitId": unit_id, "graph": plan.ref, "nodeId": node_id, "nodeRef": node["ref"], "require": node["join"]["require"], "accepted": accepted}
-    return canon.artifact(JOIN_INPUT_CONTRACT, payload | ({"configuration": node["configuration"]} if "configuration" in node else {}))
+    return seals.artifact(JOIN_INPUT_CONTRACT, payload | ({"configuration": node["configuration"]} if "configuration" in node else {}))
 
 
 def check_join_input(plan: Plan, artifact: dict) -> dict:
@@ -294,53 +299,97 @@ def take(unit: Unit, turn: dict) -> list[dict]:
     node, output = unit.nodes.get(turn["node_id"]), None
     try:
         if turn.get("output_json") and node:
-            output = canon.artifact(node.get("outputs", {}).get(turn.get("outcome"), node["input"]), json.loads(turn["output_json"]))
+            output = unit.seals.artifact(node.get("outputs", {}).get(turn.get("outcome"), node["input"]), json.loads(turn["output_json"]))
         return unit.turn(turn["node_id"], turn.get("outcome"), output, turn.get("error_code"), turn.get("retryable") is not False, None, turn.get("evidence"), turn.get("at"))
     except ValueError:  # what isn't JSON, or what the unit's state doesn't allow
         return [unit.refuse(turn)]
 
 
-def fold(unit_id: str, plan: Plan, turns: Iterable[dict]) -> Iterator[dict]:
-    """The journey of one unit: ``turns`` in order, each with node_id and outcome, output_json, error_code, retryable, and if known
-    evidence and at."""
-    unit = Unit(unit_id, plan)
-    yield from unit.admit()
-    for t in turns:
-        yield from take(unit, t)
+class Journey:
+    """The fold of one unit into the records of its journey."""
+
+    def __init__(self, unit_id: str, plan: Plan, seals=canon) -> None:
+        self.unit = Unit(unit_id, plan, seals=seals)
+
+    def take(self, turn: dict | None) -> list[dict]:
+        """The records of a turn: node_id and outcome, output_json, error_code, retryable, and if known evidence and at. None is the
+        unit's admission."""
+        return self.unit.admit() if turn is None else take(self.unit, turn)
+
+    def end(self) -> Iterable[dict]:
+        return ()
+
+
+class JoinStates(Journey):
+    """The fold of one unit into what its joins have come to after its turns: a row an inbound edge."""
+
+    def take(self, turn: dict | None) -> list[dict]:
+        super().take(turn)
+        return []
+
+    def end(self) -> Iterable[dict]:
+        for name, join in self.unit.joins.items():
+            for k, edge in enumerate(join.inbound):
+                yield {"unit_id": self.unit.unit_id, "node_id": name, "status": join.status, "edge_id": edge, "edge_ord": k, "need": join.need, "state": join.state[edge]}
+
 
+class Projection(Journey):
+    """The fold of one unit into what ``project`` makes of its journey's records."""
 
-def states(unit_id: str, plan: Plan, turns: Iterable[dict]) -> Iterator[dict]:
-    """What one unit's joins have come to after its turns: a row an inbound edge."""
-    unit = Unit(unit_id, plan)
-    unit.admit()
-    for t in turns:
-        take(unit, t)
-    for name, join in unit.joins.items():
-        for k, edge in enumerate(join.inbound):
-            yield {"unit_id": unit_id, "node_id": name, "status": join.status, "edge_id": edge, "edge_ord": k, "need": join.need, "state": join.state[edge]}
+    def __init__(self, unit_id: str, plan: Plan, seals, project: Callable[[list[dict]], Iterable[dict]]) -> None:
+        super().__init__(unit_id, plan, seals)
+        self.records: list[dict] = []
+        self.project = project
 
+    def take(self, turn: dict | None) -> list[dict]:
+        self.records += super().take(turn)
+        return []
 
-TURN = ("unit_id", "node_id", "outcome", "output_json", "error_code", "retryable", "evidence", "at")
+    def end(self) -> Iterable[dict]:
+        return [{"unit_id": self.unit.unit_id} | row for row in self.project(self.records)]
 
 
-def _folded(turns: DataFrame, graph: dict, work, schema: str) -> DataFrame:
-    def start():
+def fold(unit_id: str, plan: Plan, turns: Iterable[dict]) -> Iterator[dict]:
+    """The journey of one unit, of its ``turns`` in order."""
+    unit = Journey(unit_id, plan)
+    for t in (None, *turns):
+        yield from unit.take(t)
+
+
+TURN = ("node_id", "outcome", "output_json", "error_code", "retryable", "evidence", "at")
+
+
+def _folded(turns: DataFrame, graph: dict, work: Callable[..., Journey], schema: str) -> DataFrame:
+    """The records of every unit. Units meet by a hash of their names and are folded one after the other as their sorted turns
+    stream by."""
+    kind = T._parse_datatype_string(schema)
+    arrow, marked = to_arrow_schema(kind), scripts.MARK in json.dumps(graph, ensure_ascii=False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = Plan(graph)
-        return lambda key, own: work(key[0], plan, own)
+        return scripts.run(batches, TURN, arrow, lambda unit_id, seals: work(unit_id, plan, seals), marked)
 
     for name in ("evidence", "at"):
         if name not in turns.columns:
             turns = turns.withColumn(name, F.lit(None).cast("string"))
-    return folded(turns, ("unit_id",), TURN, schema, start)
+    return turns.repartition(*spread(turns, 2), "unit_id").sortWithinPartitions("unit_id", "ord").select("unit_id", *TURN).mapInArrow(run, kind)
 
 
-def replay(turns: DataFrame, graph: dict) -> DataFrame:
+def replay(turns: DataFrame, graph: dict, digests: bool = True) -> DataFrame:
     """Journeys of ``unit_id, ord, node_id, outcome, output_json, error_code, retryable`` rows over one graph, with ``evidence`` and
-    ``at`` where they are known. Turns that a unit's state refuses are records of kind turn_rejected, outside the sequence."""
-    return _folded(turns, graph, fold, JOURNEY)
+    ``at`` where they are known. Turns that a unit's state refuses are records of kind turn_rejected, outside the sequence. Without
+    ``digests`` the effects lack these: a kernel's columns aren't pruned by what reads them."""
+    return _folded(turns, graph, Journey, JOURNEY if digests else JOURNEY.replace(",digest:string>", ">"))
 
 
 def join_states(turns: DataFrame, graph: dict) -> DataFrame:
     """``unit_id, node_id, status, edge_id, edge_ord, need, state`` of every join's inbound edges after each unit's turns, from one
     pass of the kernel."""
-    return _folded(turns, graph, states, PROGRESS)
+    return _folded(turns, graph, JoinStates, PROGRESS)
+
+
+def projected(turns: DataFrame, graph: dict, project: Callable[[list[dict]], Iterable[dict]], schema: str) -> DataFrame:
+    """``unit_id`` and what ``project`` makes of each unit's records (``unit_paths``), in the task that replays the unit: no record
+    leaves it. ``project`` reads names of units and occurrences only to tell them apart and to return them, or the number of an
+    occurrence; ``schema`` has its members beside ``unit_id``."""
+    return _folded(turns, graph, lambda unit_id, plan, seals: Projection(unit_id, plan, seals, project), f"unit_id string, {schema}")

@@ -282,9 +282,11 @@ def picking_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM (SELECT o_orderkey, CAST((o_custkey + 1) % 5 <> 0 AS INTEGER) + CAST((o_custkey + 2) % 5 <> 0 AS INTEGER) + CAST((o_custkey + 3) % 5 <> 0 AS INTEGER) AS d FROM orders)""")
 def replay_liveness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order replayed: whether its join of all picks fired or became unsatisfiable."""
-    made = replay.replay(picking_turns(spark, sf_dir), PICKING_OLD)
-    fired = F.exists("effects", lambda e: e["kind"] == "join_queued")
-    return made.groupBy("unit_id").agg(F.count("*").alias("records"), F.bool_or(fired).alias("fired"), F.bool_or(F.col("kind") == "join_unsatisfiable").alias("unsatisfiable"))
+    def told(records: list[dict]) -> list[dict]:
+        kinds = {x["kind"] for r in records for x in (r, *r["effects"])}
+        return [{"records": len(records), "fired": "join_queued" in kinds, "unsatisfiable": any(r["kind"] == "join_unsatisfiable" for r in records)}]
+
+    return replay.projected(picking_turns(spark, sf_dir), PICKING_OLD, told, "records bigint, fired boolean, unsatisfiable boolean")
 
 
 @query("""SELECT conv_id AS unit_id, turn AS queue_id, role AS node_id, CASE WHEN role = 'user' THEN 'human' ELSE 'model' END AS kind, strlen(text) AS bytes, sha256(text) AS output_digest,
