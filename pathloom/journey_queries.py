@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.graph_sql import literal
-from pathloom.operators import joins, paths, replay
+from pathloom.operators import paths, replay, unit_paths
 from pathloom.plans import examples
 from pathloom.sources.derived import table
 from pathloom.streaming import journeys
@@ -45,7 +45,11 @@ def depot_turns(spark: SparkSession, sf_dir: str, name: str = "orders", key: str
 
 
 def depot_journeys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replay.replay(depot_turns(spark, sf_dir), examples.DEPOT)
+    return replay.replay(depot_turns(spark, sf_dir), examples.DEPOT, digests=False)
+
+
+def depot_projection(spark: SparkSession, sf_dir: str, project, schema: str) -> DataFrame:
+    return replay.projected(depot_turns(spark, sf_dir), examples.DEPOT, project, schema)
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
@@ -57,11 +61,6 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
-def number(queue_id: str) -> Column:
-    """The number of an occurrence in its unit."""
-    return F.substring_index(F.col(queue_id), "/", -1).cast("int")
-
-
 def by_kind(head: str, rows: dict[int, list[tuple]]) -> str:
     """SQL: a literal of rows by kind, joined to the orders of the kind as ``unit_id``."""
     names = head.split("(")[1].rstrip(")")
@@ -75,7 +74,7 @@ REFUSED = {3: 1, 5: 1}
 @query(by_kind("(kinds, refused)", {k: [(kinds, REFUSED.get(k, 0))] for k, kinds in examples.DEPOT_RECORDS.items()}))
 def replay_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The kinds of each unit's records in order, and how many turns its state refused."""
-    return _records(depot_journeys(spark, sf_dir))
+    return depot_projection(spark, sf_dir, lambda records: [unit_paths.kinds(records)], "kinds string, refused int")
 
 
 def _records(journey: DataFrame) -> DataFrame:
