@@ -164,8 +164,7 @@ def _latest(rows: list[tuple]) -> list[tuple]:
 @query(by_kind("(node_id, state, occurrences)", {k: _latest(rows) for k, rows in examples.DEPOT_OCCURRENCES.items()}))
 def unit_node_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The state of each node that a unit came to: that of its latest occurrence."""
-    found = paths.node_states(paths.occurrences(depot_journeys(spark, sf_dir)))
-    return found.select("unit_id", "node_id", "state", F.col("occurrences").cast("int").alias("occurrences"))
+    return depot_projection(spark, sf_dir, lambda records: unit_paths.node_states(unit_paths.occurrences(records)), "node_id string, state string, occurrences int")
 
 
 @query(f"""SELECT CAST(o_orderkey AS VARCHAR) AS unit_id, CASE o_orderkey % 4 WHEN 1 THEN 'sequence' WHEN 2 THEN 'never_queued' ELSE 'other_node' END AS rule,
