@@ -149,9 +149,7 @@ def _summary(rows: list[tuple]) -> tuple:
 @query(by_kind("(open_numbers, concluded, dead, turns, failures)", {k: [_summary(rows)] for k, rows in examples.DEPOT_OCCURRENCES.items()}))
 def unit_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each unit's open occurrences in order, and whether it is concluded."""
-    found = paths.unit_summaries(paths.occurrences(depot_journeys(spark, sf_dir)))
-    opened = F.array_join(F.transform("open_queue_ids", lambda q: F.substring_index(q, "/", -1)), ",")
-    return found.select("unit_id", opened.alias("open_numbers"), "concluded", *(F.col(c).cast("int").alias(c) for c in ("dead", "turns", "failures")))
+    return depot_projection(spark, sf_dir, lambda records: [unit_paths.summary(unit_paths.occurrences(records))], "open_numbers string, concluded boolean, dead int, turns int, failures int")
 
 
 def _latest(rows: list[tuple]) -> list[tuple]:
