@@ -112,8 +112,7 @@ def _folder(spark: SparkSession) -> str:
 @query(by_kind("(number, node_id, queued_by, state, attempts, failures, outcome, error_code)", examples.DEPOT_OCCURRENCES))
 def unit_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each occurrence of each unit."""
-    found = paths.occurrences(depot_journeys(spark, sf_dir))
-    return found.select("unit_id", number("queue_id").alias("number"), "node_id", F.col("queued_by").cast("int").alias("queued_by"), "state", *(F.col(c).cast("int").alias(c) for c in ("attempts", "failures")), "outcome", "error_code")
+    return depot_projection(spark, sf_dir, unit_paths.occurrences, "number int, node_id string, queued_by int, state string, attempts int, failures int, outcome string, error_code string")
 
 
 @query(by_kind("(node_id, status, offered, impossible, late_offers, number, selected)", {k: [(*j[:5], j[5] or 0, j[6]) for j in rows] for k, rows in examples.DEPOT_JOINS.items()}))
