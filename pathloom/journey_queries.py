@@ -128,8 +128,7 @@ def unit_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(by_kind("(edge_id, taken)", examples.DEPOT_TAKEN))
 def edge_traversals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each unit took each edge: ordinary targets and accepted offers."""
-    effects = depot_journeys(spark, sf_dir).select("unit_id", F.inline("effects"))
-    return paths.edge_counts(effects).withColumn("taken", F.col("taken").cast("int"))
+    return depot_projection(spark, sf_dir, unit_paths.edge_counts, "edge_id string, taken int")
 
 
 @query(by_kind("(goal_id, status, resolution, open_members, dead_members, turns)", examples.DEPOT_CLOSURES))
