@@ -118,11 +118,8 @@ def unit_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(by_kind("(node_id, status, offered, impossible, late_offers, number, selected)", {k: [(*j[:5], j[5] or 0, j[6]) for j in rows] for k, rows in examples.DEPOT_JOINS.items()}))
 def unit_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each unit's joins as its routing effects tell of them."""
-    found = joins.states(depot_journeys(spark, sf_dir))
-    return found.select(
-        "unit_id", "node_id", "status", F.array_join("offered_edges", ",").alias("offered"), F.array_join("impossible_edges", ",").alias("impossible"),
-        F.col("late_offers").cast("int").alias("late_offers"), F.coalesce(number("queue_id"), F.lit(0)).alias("number"), F.col("selected_edge_id").alias("selected"),
-    )
+    listed = lambda j: j | {"offered": ",".join(j["offered"]), "impossible": ",".join(j["impossible"])}
+    return depot_projection(spark, sf_dir, lambda records: map(listed, unit_paths.join_states(records)), "node_id string, status string, offered string, impossible string, late_offers int, number int, selected string")
 
 
 @query(by_kind("(edge_id, taken)", examples.DEPOT_TAKEN))
