@@ -131,9 +131,8 @@ def edge_traversals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(by_kind("(goal_id, status, resolution, open_members, dead_members, turns)", examples.DEPOT_CLOSURES))
 def goal_closure_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The goals of each unit, from its occurrences and joins."""
-    made = kept(depot_journeys(spark, sf_dir), "journeys")
-    found = paths.goal_closures(paths.occurrences(made), joins.states(made), examples.DEPOT_GOALS)
-    return found.select("unit_id", "goal_id", "status", "resolution", "open_members", "dead_members", F.col("turns").cast("int").alias("turns"))
+    closures = lambda records: unit_paths.goal_closures(unit_paths.occurrences(records), unit_paths.join_states(records), examples.DEPOT_GOALS)
+    return depot_projection(spark, sf_dir, closures, "goal_id string, status string, resolution string, open_members string, dead_members string, turns int")
 
 
 def _summary(rows: list[tuple]) -> tuple:
