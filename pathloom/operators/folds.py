@@ -14,13 +14,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 BATCH = 4000
 
 
-def spread(df: DataFrame, mb: int) -> list[int]:
+def spread(df: DataFrame, mb: float) -> list[int]:
     """The number of partitions for an exchange of ``df``, to be given to ``repartition``, so that a task's share doesn't grow with the
     input: one for ``mb`` megabytes of the files read, if these are more than the session's number; nothing where the session's is enough."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.size())]
     files = sum(s for s in sizes if s < 2**50)  # what isn't known counts as boundless
-    wanted = min(-(-files // (mb << 20)), 8192)
+    wanted = min(-(-files // int(mb * 2**20)), 8192)
     return [wanted] if wanted > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathloom.operators.folds import spread
+
 TURNS = ("turn_settled", "turn_failed")
 
 
@@ -110,23 +112,43 @@ def unit_summaries(found: DataFrame) -> DataFrame:
 
 def journey_faults(journey: DataFrame) -> DataFrame:
     """``unit_id, rule, subject`` of journeys that can't have happened: sequences with gaps, no admission first, occurrences queued
-    twice or out of order, turns on what was never queued, on another node, or on a closed occurrence."""
-    rows = journey.where("kind <> 'turn_rejected'")
-    gaps = sequence_faults(rows).select("unit_id", F.lit("sequence").alias("rule"), F.lit(None).cast("string").alias("subject"))
-    firsts = rows.groupBy("unit_id").agg(F.min_by("kind", "sequence").alias("first"), F.count_if(F.col("kind") == "unit_admitted").alias("n")).where("first <> 'unit_admitted' or n <> 1")
-    firsts = firsts.select("unit_id", F.lit("admission"), F.lit(None).cast("string"))
-    queued = rows.select("unit_id", "sequence", F.posexplode("effects").alias("place", "e")).where("e.kind in ('queue_enqueued', 'join_queued')")
-    queued = queued.select("unit_id", "sequence", "place", F.col("e.queue_id").alias("queue_id"), F.col("e.node_id").alias("on_node"), F.col("e.enqueue_sequence").alias("enqueue_sequence"))
-    before = F.max("enqueue_sequence").over(Window.partitionBy("unit_id").orderBy("sequence", "place").rowsBetween(Window.unboundedPreceding, -1))
-    disorder = queued.withColumn("before", before).where("enqueue_sequence <= before").select("unit_id", F.lit("enqueue_order"), "queue_id")
-    turns = rows.where(F.col("kind").isin(*TURNS)).select("unit_id", "sequence", "queue_id", "node_id", ((F.col("kind") == "turn_settled") | F.coalesce("terminal", F.lit(False))).alias("closes"))
-    closed = F.coalesce(F.bool_or("closes").over(Window.partitionBy("unit_id", "queue_id").orderBy("sequence").rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
-    turns = turns.withColumn("closed", closed)
-    known = queued.groupBy("unit_id", "queue_id").agg(F.min("on_node").alias("on_node"), F.min("sequence").alias("since"))
-    met = turns.join(known, ["unit_id", "queue_id"], "left")
-    rule = F.when(F.col("on_node").isNull() | (F.col("since") >= F.col("sequence")), "never_queued").when(F.col("on_node") != F.col("node_id"), "other_node").when(F.col("closed"), "closed")
-    wrong = met.select("unit_id", rule.alias("rule"), "queue_id").where("rule is not null")
-    return gaps.union(firsts).union(disorder).union(wrong).distinct()
+    twice or out of order, turns on what was never queued, on another node, or on a closed occurrence. One exchange by unit: records and what
+    they queue stand in one order there."""
+    turn, placed = F.col("kind").isin(*TURNS), F.lit(-1)
+    closes = F.when(turn, (F.col("kind") == "turn_settled") | F.coalesce("terminal", F.lit(False)))
+    none = lambda kind: F.lit(None).cast(kind)
+    record = F.struct(placed.alias("place"), F.col("kind").alias("kind"), turn.alias("turn"), F.col("queue_id").alias("queue_id"), F.col("node_id").alias("node_id"), closes.alias("closes"), none("bigint").alias("enqueue_sequence"))
+    effects = F.transform(F.coalesce("effects", F.array()), lambda e, k: F.struct(
+        k.alias("place"), e["kind"].alias("kind"), F.lit(False).alias("turn"), e["queue_id"].alias("queue_id"), e["node_id"].alias("node_id"), none("boolean").alias("closes"), e["enqueue_sequence"].alias("enqueue_sequence"),
+    ))
+    queued = F.filter(effects, lambda e: e["kind"].isin("queue_enqueued", "join_queued"))
+    rows = journey.where("kind <> 'turn_rejected'").select("unit_id", "sequence", F.inline(F.concat(F.array(record), queued)))
+    rows = rows.repartition(*spread(journey, 0.5), "unit_id")
+
+    is_record, sequence = F.col("place") == -1, F.col("sequence")
+    occurrence = Window.partitionBy("unit_id", "queue_id").orderBy("sequence")
+    whole, before = (Window.unboundedPreceding, Window.unboundedFollowing), (Window.unboundedPreceding, -1)
+    queues = ~is_record & F.col("queue_id").isNotNull() & F.col("unit_id").isNotNull()
+    rows = rows.select(
+        "*", F.coalesce(F.bool_or("closes").over(occurrence.rowsBetween(*before)), F.lit(False)).alias("closed"),
+        *(F.min(F.when(queues, c)).over(occurrence.rowsBetween(*whole)).alias(name) for c, name in ((F.col("node_id"), "on_node"), (sequence, "since"))),
+    )
+    unit = Window.partitionBy("unit_id").orderBy("sequence", "place")
+    own = unit.rowsBetween(*whole)
+    again = is_record & (F.lag("place").over(unit) == -1) & (F.lag("sequence").over(unit) == sequence)
+    rows = rows.select(
+        "*", F.max("enqueue_sequence").over(unit.rowsBetween(*before)).alias("before"), again.alias("again"), F.row_number().over(unit).alias("nth"),
+        F.count_if(is_record).over(own).alias("n"), F.count(F.when(is_record, sequence)).over(own).alias("numbered"), F.min(F.when(is_record, sequence)).over(own).alias("least"), F.max(F.when(is_record, sequence)).over(own).alias("most"),
+        F.first(F.when(is_record & sequence.isNotNull(), F.col("kind")), ignorenulls=True).over(own).alias("first"), F.count_if(is_record & (F.col("kind") == "unit_admitted")).over(own).alias("admitted"),
+    ).withColumn("repeats", F.count_if("again").over(own))
+    rule = F.when(F.col("on_node").isNull() | (F.col("since") >= sequence), "never_queued").when(F.col("on_node") != F.col("node_id"), "other_node").when(F.col("closed"), "closed")
+    fault = lambda cond, rule, subject: F.when(cond, F.struct(rule.alias("rule"), subject.alias("subject")))
+    first_row, subject, nothing = F.col("nth") == 1, F.col("queue_id"), none("string")
+    found = F.array(
+        fault(first_row & F.expr("not (least = 1 and most = n and numbered - repeats = n)"), F.lit("sequence"), nothing), fault(first_row & F.expr("first <> 'unit_admitted' or admitted <> 1"), F.lit("admission"), nothing),
+        fault(~is_record & F.expr("enqueue_sequence <= before"), F.lit("enqueue_order"), subject), fault(F.col("turn") & rule.isNotNull(), rule, subject),
+    )
+    return rows.select("unit_id", F.inline(F.filter(found, lambda x: x.isNotNull()))).distinct()
 
 
 def edge_counts(effects: DataFrame) -> DataFrame:

@@ -50,3 +50,42 @@ def test_partitions_follow_the_files_read(spark):
         assert spread(spark.range(10).toDF("k"), 1) == [] and spread(spark.createDataFrame([(1,)], "k int"), 1) == []
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", at)
+
+
+def test_faults_replay_each_journey_once(spark):
+    from pathloom import journey_queries
+
+    plan = journey_queries.journey_faults(spark, SF)._jdf.queryExecution()
+    assert plan.optimizedPlan().toString().count("MapInArrow") == 1 and plan.executedPlan().toString().count("Exchange hashpartitioning") == 2
+
+
+def test_a_batch_is_computed_once(spark, tmp_path):
+    """The sink reads a batch several times; what makes it runs once."""
+    from pathloom.streaming import journeys
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    journeys.append_once(str(tmp_path / "out"), ["id"])(spark.range(100).mapInArrow(count, "id bigint"), 0)
+    assert seen.value == 100 and spark.read.parquet(str(tmp_path / "out")).count() == 100
+
+
+def test_states_of_a_stream_are_kept_by_buckets(spark, tmp_path):
+    from pyspark.sql.streaming.state import GroupStateTimeout  # noqa: F401
+
+    from pathloom.plans import examples
+    from pathloom.streaming import journeys
+
+    schema = "unit_id string, ord bigint, node_id string, outcome string, output_json string, error_code string, retryable boolean"
+    src, mark = str(tmp_path / "src"), str(tmp_path / "mark")
+    for part in (0, 1):
+        spark.createDataFrame([(f"u{k}", part, "intake" if part == 0 else "scan-b", "ok" if part == 0 else "done", None, None, None) for k in range(40)], schema).coalesce(1).write.mode("append").json(src)
+        stream = journeys.replay_stream(spark.readStream.schema(schema).json(src), examples.DEPOT, buckets=5).writeStream.foreachBatch(journeys.append_once(str(tmp_path / "out"), ["unit_id", "sequence"]))
+        stream.option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "out")).groupBy("unit_id").count().collect()
+    assert len(rows) == 40 and {r["count"] for r in rows} == {3}
+    assert spark.read.format("statestore").load(mark).count() <= 5
