@@ -76,15 +76,15 @@ def _records(journey: DataFrame) -> DataFrame:
 
 @query(ORACLE_SQL["replay_records"].replace("o_orderkey", "c_custkey").replace("FROM orders", "FROM customer"))
 def replay_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same records of customers as units, from a stream of their turns in several files, appended once."""
+    """The same records of customers as units, from a stream of their turns that is started three times, appended once."""
     at = f"{_folder(spark)}/stream-{uuid.uuid4().hex}"
     turns = depot_turns(spark, sf_dir, "customer", "c_custkey")
-    for low in (0, 2, 4):  # three files, read in the order in which they come
-        turns.where(F.col("ord").between(low, low + 1 + 10 * (low == 4))).coalesce(1).write.mode("append").parquet(f"{at}/turns")
-    stream = spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/turns")
     sink = journeys.append_once(f"{at}/journeys", ["unit_id", "sequence", "kind", "node_id", "outcome"], buckets=8)
-    made = journeys.replay_stream(_in_order(stream), examples.DEPOT).writeStream.foreachBatch(sink)
-    made.option("checkpointLocation", f"{at}/mark").trigger(availableNow=True).start().awaitTermination()
+    for low in (0, 2, 4):  # each start finds what came since the last one
+        turns.where(F.col("ord").between(low, low + 1 + 10 * (low == 4))).write.mode("append").parquet(f"{at}/turns")
+        stream = spark.readStream.schema(turns.schema).parquet(f"{at}/turns")
+        made = journeys.replay_stream(_in_order(stream), examples.DEPOT).writeStream.foreachBatch(sink)
+        made.option("checkpointLocation", f"{at}/mark").trigger(availableNow=True).start().awaitTermination()
     return _records(spark.read.parquet(f"{at}/journeys"))
 
 

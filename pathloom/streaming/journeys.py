@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -9,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from pathloom.operators.folds import BATCH
 from pathloom.operators.leases import COMMAND, DECISION, Turns
 from pathloom.operators.replay import JOURNEY, Plan, Unit, take
 
@@ -24,35 +27,54 @@ def first_of(records: DataFrame, key: str, at: str, late: str) -> DataFrame:
     return records.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
 
 
-def replay_stream(turns: DataFrame, graph: dict, remembered_ms: int | None = None) -> DataFrame:
-    """The journeys of a stream of turns, as ``replay`` makes them of a table. A unit's state is kept by its key as JSON without the
-    graph; ``ord`` orders turns of one batch, and a turn at or below the last one seen is a replay and changes nothing. Of a concluded
-    unit only counters are kept, so that replays of its turns change nothing; with ``remembered_ms`` these go after that time (only for
-    triggers by processing time: a stream with such timeouts never runs out of batches)."""
+def replay_stream(turns: DataFrame, graph: dict, remembered_ms: int | None = None, buckets: int = 1024) -> DataFrame:
+    """The journeys of a stream of turns, as ``replay`` makes them of a table. A unit's state is JSON without the graph, kept with those of
+    the units in its bucket (a hash of its name), so that a batch calls the kernel once a bucket and not once a unit; the state of an
+    untouched bucket isn't read. ``ord`` orders turns of one batch, and a turn at or below the last one seen is a replay and changes
+    nothing. Of a concluded unit only counters are kept, so that replays of its turns change nothing; with ``remembered_ms`` these go
+    after that time (only for triggers by processing time: a stream with such timeouts never runs out of batches)."""
     plan, columns = Plan(graph), [f.split(" ")[0] for f in JOURNEY.split(", ")]
 
-    def run(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+    def run(_: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = {unit_id: own for unit_id, *own in json.loads(state.get[0])} if state.exists else {}  # last, state, when to forget
+        now = state.getCurrentProcessingTimeMs() if remembered_ms else 0
+        of: dict[str, list[dict]] = defaultdict(list)
+        if not state.hasTimedOut:
+            for t in _rows(batches):
+                of[t["unit_id"]].append(t)
+        made: list[dict] = []
+        for unit_id, own in of.items():
+            last, text, _ = held.get(unit_id, (-1, None, None))
+            if text is None:
+                unit = Unit(unit_id, plan)
+                made += unit.admit()
+            else:
+                unit = Unit.load(unit_id, plan, text)
+            for t in own:
+                if t["ord"] > last:
+                    last = t["ord"]
+                    made += take(unit, t)
+            held[unit_id] = [int(last), unit.dump(), now + remembered_ms if remembered_ms and not unit.open else None]
+            if len(made) >= BATCH:
+                yield _frame(made, columns)
+                made = []
+        if made:
+            yield _frame(made, columns)
+        if remembered_ms:
+            held = {u: own for u, own in held.items() if own[2] is None or own[2] > now}
+        if not held:
             state.remove()
             return
-        last, unit, made = -1, None, []
-        if state.exists:
-            last, text = state.get
-            unit = Unit.load(key[0], plan, text)
-        else:
-            unit = Unit(key[0], plan)
-            made += unit.admit()
-        for t in _rows(batches):
-            if t["ord"] > last:
-                last = t["ord"]
-                made += take(unit, t)
-        state.update((int(last), unit.dump()))
-        if remembered_ms and not unit.open:
-            state.setTimeoutDuration(remembered_ms)
-        if made:
-            yield pd.DataFrame({c: [m[c] for m in made] for c in columns}, dtype=object)
+        state.update((json.dumps([[u, *own] for u, own in held.items()], separators=(",", ":")),))
+        if due := [own[2] for own in held.values() if own[2] is not None]:
+            state.setTimeoutDuration(max(min(due) - now, 1))
 
-    return turns.groupBy("unit_id").applyInPandasWithState(run, JOURNEY, "last bigint, unit string", "append", GroupStateTimeout.ProcessingTimeTimeout if remembered_ms else GroupStateTimeout.NoTimeout)
+    keyed = turns.withColumn("unit_bucket", F.pmod(F.xxhash64("unit_id"), F.lit(buckets)).cast("int"))
+    return keyed.groupBy("unit_bucket").applyInPandasWithState(run, JOURNEY, "units string", "append", GroupStateTimeout.ProcessingTimeTimeout if remembered_ms else GroupStateTimeout.NoTimeout)
+
+
+def _frame(made: list[dict], columns: list[str]) -> pd.DataFrame:
+    return pd.DataFrame({c: [m[c] for m in made] for c in columns}, dtype=object)
 
 
 def _rows(batches: Iterable[pd.DataFrame]) -> list[dict]:
@@ -90,10 +112,17 @@ class AppendError(ValueError):
 
 def append_once(path: str, keys: list[str], seal: str | None = None, buckets: int = 64):
     """A ``foreachBatch`` function that appends rows whose keys the table at ``path`` lacks, so a batch that runs again
-    adds nothing. With ``seal``, a column of the content's digest, a key that the table or the batch has with another seal refuses
+    adds nothing. A batch is computed once and kept while it is appended. With ``seal``, a column of the content's digest, a key that the table or the batch has with another seal refuses
     the whole batch. The table is partitioned by a hash of the keys, and a batch reads only the partitions that it touches."""
 
     def sink(batch: DataFrame, _: int) -> None:
+        kept = batch.persist()
+        try:
+            append(kept)
+        finally:
+            kept.unpersist()
+
+    def append(batch: DataFrame) -> None:
         spark = batch.sparkSession
         part = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
         rows = batch.withColumn("key_bucket", part)
